@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, langid, mixing, token_store
 
 QUERIES = {
+    "op2_token_store": token_store.op2_token_store,
     "op4_chat_format": chat.op4_chat_format,
     "op5_mix": mixing.op5_mix,
+    "op8_language_id": langid.op8_language_id,
 }
 
 ORACLES = {
