@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, token_store
+from . import chat, decontaminate, langid, mixing, token_store
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_store": token_store.op2_token_store,
     "op4_chat_format": chat.op4_chat_format,
     "op5_mix": mixing.op5_mix,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op4_chat_format": chat.ORACLE,
 }
