@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, mixing, token_store
+from . import chat, decontaminate, langid, mixing, pii, token_store
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_store": token_store.op2_token_store,
+    "op3_pii": pii.op3_pii,
     "op4_chat_format": chat.op4_chat_format,
     "op5_mix": mixing.op5_mix,
     "op8_language_id": langid.op8_language_id,

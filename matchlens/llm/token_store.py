@@ -17,6 +17,7 @@ order of text); null ids come first; an empty table gives no shards and no rows;
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
@@ -39,11 +40,12 @@ HEADER = "<4sII4x"
 END_ID = 2
 BUCKET_KEYS = 2000
 GROUP_KEYS = 4
-#: Entries of a worker's cache of encoded pieces; it is emptied when full.
-CACHE = 200_000
-#: Pieces are looked up for texts of these characters only, whose classes no Unicode version changes; other texts go
-#: to the library whole.
-PLAIN = regex.compile(r"[^\u0000-ɏ]")
+#: Entries of a worker's caches of chunks and of pieces; a cache is emptied when full.
+CHUNKS, PIECE_CACHE = 200_000, 1_000_000
+#: Texts with other characters, whose classes depend on the Unicode version, go to the library whole.
+RARE = regex.compile(r"[^\u0000-ɏ]")
+#: Without white space next to white space every single space or line break is a boundary of the tokenizer's own split.
+WIDE = regex.compile(r"\s\s")
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0"
 #: The byte-level pre-tokenizer's split (fixed by the tokenizer file's format).
 PIECES = regex.compile(
@@ -51,8 +53,19 @@ PIECES = regex.compile(
 )
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters that a byte-level model writes bytes as: visible Latin-1 as itself, the rest in order from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """The tokenizer with a cache of pieces: text -> ids as raw bytes. Same ids as encoding the whole text."""
+    """The tokenizer with caches: text -> ids as raw bytes. Same ids as encoding the whole text.
+
+    A text is cut into chunks at spaces and line breaks, a chunk that isn't known into pieces as the tokenizer itself cuts it, and a
+    piece that isn't known goes to the library's merges.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,30 +73,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if PLAIN.search(text):
-            return self._ids(text)
-        pieces = PIECES.findall(text)
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(dict.fromkeys(pieces))
-        local = {p: np.asarray(e.ids, self.dtype).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        if len(local) <= CACHE:
-            cache.update(local)
-            local = cache
-        return b"".join([local[p] for p in pieces])
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if RARE.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if WIDE.search(text):
+            return self._from_pieces(text)
+        # a chunk starts with a line break, or else stands for itself with a space before it
+        first, *chunks = text.replace("\n", " \n").split(" ")
+        known = self.chunks
+        out = [self._from_pieces(first)]
+        for c in chunks:
+            got = known.get(c)
+            if got is None:
+                if len(known) >= CHUNKS:
+                    known.clear()
+                got = known[c] = self._from_pieces(c if c[:1] == "\n" else " " + c)
+            out.append(got)
+        return b"".join(out)
+
+    def _from_pieces(self, text: str) -> bytes:
+        known, out = self.pieces, []
+        for p in PIECES.findall(text):
+            got = known.get(p)
+            if got is None:
+                if len(known) >= PIECE_CACHE:
+                    known.clear()
+                spelt = p.encode().decode("latin-1").translate(self.alphabet)
+                got = known[p] = np.asarray([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
+            out.append(got)
+        return b"".join(out)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's own encoder: Spark reuses workers, and so do tasks what earlier ones have encoded."""
+    return Encoder(path)
 
 
 ENTRY = "doc_id long, copy int, shard int, file string, width int, off long, n long"
@@ -94,7 +123,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = EN
     shards = shards or common.shuffle_partitions(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         width, shard = encoder.dtype.itemsize, TaskContext.get().partitionId()
         end = np.asarray([end_id], encoder.dtype).tobytes()
         name = f"{out_dir}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
