@@ -102,3 +102,66 @@ def rows_of(first: np.ndarray, n: int) -> np.ndarray:
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
+    """For each window of w values the place of the first smallest one (by the leading 40 bits)."""
+    n = len(values)
+    if n < w:
+        return np.zeros(0, np.int64)
+    if n >= 1 << 24:
+        raise ValueError("cut the array first")
+    low = _U((1 << 24) - 1)
+    x = (values & ~low) | np.arange(n, dtype=np.uint64)
+    pad = (-n) % w
+    blocks = np.concatenate([x, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(back[: n - w + 1], ahead[w - 1 : n]) & low).astype(np.int64)
+
+
+def anchored_runs(grams: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups the windows of `width` tokens by their anchor, the window's `gram` tokens with the least hash.
+
+    grams: the hash of the `gram` tokens from each place on; first: where each row's tokens begin. Returns for each run of
+    consecutive windows of one row with one anchor: row, first window, last window, anchor's place. Windows with the same tokens
+    have anchors with the same tokens, wherever they stand.
+    """
+    total = int(first[-1])
+    if total < width:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    at = sliding_argmin(grams, width - gram + 1)
+    row = rows_of(first, total)[: len(at)]
+    inside = np.flatnonzero(np.arange(len(at)) + width <= first[1:][row])
+    if not len(inside):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    a, r = at[inside], row[inside]
+    new = np.ones(len(inside), bool)
+    new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
+    start = np.flatnonzero(new)
+    stop = np.concatenate([start[1:], [len(inside)]]) - 1
+    return r[start], inside[start], inside[stop], a[start]
+
+
+def token_span_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """span_hashes over an array of token hashes."""
+    size = 1 << max(16, int(len(tokens)).bit_length())
+    _, up, down = _powers(size, seed)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(mix(tokens, seed) * up[: len(tokens)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15), seed)
+
+
+def pack(x: np.ndarray, delta: bool = False) -> bytes:
+    """An array's bytes by planes, so that the shuffle's compression finds the empty ones; delta: of the differences."""
+    if delta and len(x):
+        x = np.concatenate([x[:1], np.diff(x)])
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unpack(data: bytes, dtype, delta: bool = False) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    n = len(data) // width
+    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(dtype).ravel() if n else np.zeros(0, dtype)
+    return np.cumsum(x, dtype=dtype) if delta else x
