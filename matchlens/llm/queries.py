@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, langid, mixing, pii, suffix_dedup, token_store, window_index
+from . import chat, decontaminate, jaccard_join, langid, mixing, pii, simhash, suffix_dedup, token_store, window_index
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_chat_format": chat.op4_chat_format,
     "op5_mix": mixing.op5_mix,
+    "op6_simhash": simhash.op6_simhash,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_language_id": langid.op8_language_id,
     "op9_window_index": window_index.op9_window_index,
