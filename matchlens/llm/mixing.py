@@ -29,10 +29,14 @@ BITS = sum(LEVELS)
 ROUNDS = 64
 
 
+def place(doc_id: Column, text: Column) -> Column:
+    """A document's hash in [0, 2**BITS)."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, F.coalesce(text, F.lit(""))), 64 - BITS)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the document's hash in [0, 2**BITS)."""
-    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))), 64 - BITS)
-    return docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), h.alias("h"))
+    """doc_id, source, size in words, and the document's place."""
+    return docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -129,6 +133,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeat: fl
     )
 
 
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeat: float = MAX_REPEAT) -> DataFrame:
+    """docs themselves, each row as many times as the mixture takes it. Only the table of sources is joined."""
+    hashed = common.written(sizes(docs), "mix-sizes")
+    per_source = common.written(hashed.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    if per_source.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
+    cut = thresholds(hashed, targets(per_source, weights, budget, max_repeat)).select(F.col("source").alias("s"), "passes", "threshold")
+    rows = docs.join(F.broadcast(cut), F.expr("source <=> s"))
+    times = F.col("passes") + (place(F.col("doc_id"), F.col("text")) < F.col("threshold")).cast("long")
+    return rows.withColumn("times", times.cast("int")).where("times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
+
+
 #: Bound of the broadcast table of sources.
 MAX_SOURCES = 100_000
 
