@@ -1,6 +1,624 @@
-"""Registered queries of the engine and their DuckDB equivalents."""
+"""Registered queries of the engine on the supplied tables, each with its DuckDB equivalent."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import aggregates as A
+from .operators import joins as J
+from .operators import windows as W
+from .plans import features, odds, reports
+from .standins import GAMES, PLAYS, PREDICTIONS, games, plays, predictions, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+D = {"total": 2500, "steepness": 3, "floor": 0.05}
+
+
+def query(sql: str, name: str | None = None):
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        ORACLES[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def r(df: DataFrame, places: int = 6, **columns: int) -> DataFrame:
+    """Rounds the double columns, and turns -0.0 into 0.0, for comparison."""
+    return df.select(*[(F.round(c, columns.get(c, places)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- statistics ---------------------------------------------------------------------------------------------------
+
+DECAY = PLAYS + """, f as (select * from plays where {where} and game_date is not null), m as (select max(game_date) as last from f),
+w as (select f.*, greatest(exp(-{s} * pow(date_diff('day', game_date, last) / {t}, 3)), {floor}) as w from f, m), z as (select sum(w) as z from w)"""
+
+
+def decay_sql(where: str, select: str, group: str = "team", s: float = 3.0, t: float = 2500.0, floor: float = 0.05) -> str:
+    return "with " + DECAY.format(where=where, s=s, t=t, floor=floor) + f" select {group}, {select} from w, z where team is not null group by {group}"
+
+
+@query(decay_sql("play_type in ('A', 'R')", "round(coalesce(sum(nstat * w), 0) / sum(w), 6) as stat"))
+def decay_mean(spark, d):
+    return r(A.decay_stat(A.keep(plays(spark, d), "play_type", ["A", "R"]), "game_date", ["team"], "nstat", "mean", **D).withColumnRenamed("nstat", "stat"))
+
+
+@query(decay_sql("play_type = 'N'", "round(coalesce(sum(nstat * w), 0) / any_value(z), 9) as stat"))
+def decay_sum(spark, d):
+    return r(A.decay_stat(A.keep(plays(spark, d), "play_type", "N"), "game_date", ["team"], "nstat", "sum", **D).withColumnRenamed("nstat", "stat"), 9)
+
+
+@query(decay_sql("true", "count(*) as stat"))
+def row_count(spark, d):
+    return A.decay_stat(A.keep(plays(spark, d), "play_type", None), "game_date", ["team"], "nstat", "count", **D).withColumnRenamed("nstat", "stat")
+
+
+@query(decay_sql("status = 'O'", "round(coalesce(sum(stat * w), 0) / sum(w), 6) as stat", "team, play_type", 4.0, 2500.0, 0.4))
+def decay_mean_player(spark, d):
+    return r(A.decay_stat(A.keep(plays(spark, d), "status", "O"), "game_date", ["team", "play_type"], "stat", "mean", 2500, 4, 0.4))
+
+
+RANKED = """with o as (select o_custkey % 50 as team, cast(o_orderdate as date) as day, nullif(round(o_totalprice), 1) as stat from orders),
+k as (select *, rank() over (order by day) + (count(*) over (partition by day) - 1) / 2.0 as rk from o), z as (select sum(rk) as z from k) """
+
+
+def _ranked(spark, d):
+    o = table(spark, d, "orders")
+    return o.select((F.col("o_custkey") % 50).alias("team"), F.col("o_orderdate").cast("date").alias("day"), F.nullif(F.round("o_totalprice"), F.lit(1.0)).alias("stat"))
+
+
+@query(RANKED + "select team, round(sum(stat * rk) / sum(rk), 4) as stat from k group by team")
+def rank_weight_mean(spark, d):
+    return r(A.rank_weight_stat(_ranked(spark, d), "day", ["team"], "stat", "mean"), 4)
+
+
+@query(RANKED + "select team, round(sum(stat * rk) / any_value(z), 6) as stat from k, z group by team")
+def rank_weight_sum(spark, d):
+    return r(A.rank_weight_stat(_ranked(spark, d), "day", ["team"], "stat", "sum"))
+
+
+@query("select event_type, user_id % 10 as team, round(avg(nullif(value, 0)), 6) as value from events where event_type in ('click', 'error') group by all")
+def plain_stat(spark, d):
+    e = table(spark, d, "events").select("event_type", (F.col("user_id") % 10).alias("team"), F.nullif("value", F.lit(0.0)).alias("value"))
+    return r(A.plain_stat(A.keep(e, "event_type", ["click", "error"]), ["event_type", "team"], "value", "mean"))
+
+
+@query("select event_type, count(*) as n_rows, count(case when value >= 10 then value end) as n_values, round(coalesce(sum(case when value >= 10 then value end), 0), 4) as total from events group by event_type")
+def nonnull_vs_rows(spark, d):
+    e = table(spark, d, "events").select("event_type", F.when(F.col("value") >= 10, F.col("value")).alias("v"))
+    rows = e.groupBy("event_type").agg(F.count("*").alias("n_rows"))
+    values = A.plain_stat(e, ["event_type"], "v", "count").withColumnRenamed("v", "n_values")
+    return r(rows.join(values, "event_type").join(A.plain_stat(e, ["event_type"], "v", "sum").withColumnRenamed("v", "total"), "event_type"), 4)
+
+
+@query("with " + PLAYS + """ select team, round(count(*) filter (play_type = 'A') / count(*) filter (play_type in ('A', 'R')), 6) as run_share,
+round(count(*) filter (play_type = 'R') / count(*) filter (play_type in ('A', 'R')), 6) as pass_share from plays group by team""")
+def share_of_filter(spark, d):
+    n = lambda *kinds: F.count_if(F.col("play_type").isin(*kinds))
+    return r(plays(spark, d).groupBy("team").agg(S.ratio(n("A"), n("A", "R")).alias("run_share"), S.ratio(n("R"), n("A", "R")).alias("pass_share")))
+
+
+@query("with " + PLAYS + " select team, play_type, round(sum(made) / nullif(sum(made) + sum(failed), 0), 6) as rate from plays where game_id % 3 = 0 group by all")
+def ratio_conv_failed(spark, d):
+    p = plays(spark, d).where("game_id % 3 = 0").groupBy("team", "play_type").agg(F.sum("made").alias("m"), F.sum("failed").alias("f"))
+    return r(p.select("team", "play_type", S.ratio(F.col("m"), F.col("m") + F.col("f")).alias("rate")))
+
+
+@query("with " + PLAYS + """, s as (select game_id, series, team, coalesce(sum(nstat), 0) / count(*) as m from plays group by all)
+select team, round(sum(m) / count(*), 6) as nstat from s group by team""")
+def two_level(spark, d):
+    return r(A.two_level(plays(spark, d), ["game_id", "series"], "team", "nstat"))
+
+
+@query("with " + PLAYS + """, a as (select game_id, drive, team, coalesce(sum(nstat), 0) / count(*) as m from plays group by all),
+b as (select game_id, team, sum(m) / 3600 as s from a group by all) select team, round(sum(s) / count(*), 9) as nstat from b group by team""")
+def three_level(spark, d):
+    return r(A.three_level(plays(spark, d), ["game_id"], ["drive"], "team", "nstat"), 9)
+
+
+@query("""select o_orderstatus, year(o_orderdate)::int as season, round(sum(o_totalprice), 2) as price, sum(o_custkey)::bigint as custs, sum(o_orderkey)::bigint as orders from orders group by all""")
+def multi_sum(spark, d):
+    o = table(spark, d, "orders").withColumn("season", F.year("o_orderdate"))
+    return r(o.groupBy("o_orderstatus", "season").agg(F.sum("o_totalprice").alias("price"), F.sum("o_custkey").alias("custs"), F.sum("o_orderkey").alias("orders")), 2)
+
+
+@query("select l_partkey, l_suppkey, max(l_shipdate) as last_update, round(median(l_extendedprice), 4) as point from lineitem group by all")
+def max_median(spark, d):
+    return r(table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_shipdate").alias("last_update"), F.median("l_extendedprice").alias("point")), 4)
+
+
+@query("select p_brand, p_type, round(avg(p_retailprice), 6) as mean, round(var_samp(p_retailprice), 4) as var from part group by all")
+def mean_var(spark, d):
+    return r(table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.avg("p_retailprice").alias("mean"), F.var_samp("p_retailprice").alias("var")), mean=6, var=4)
+
+
+@query("select distinct year(o_orderdate)::int as season, month(o_orderdate)::int as week from orders")
+def distinct_keys(spark, d):
+    return table(spark, d, "orders").select(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week")).distinct()
+
+
+@query("select max(o_orderdate) as last_day, min(o_orderdate) as first_day, max(month(o_orderdate))::int as last_week, count(*) as n from orders")
+def scalar_minmax(spark, d):
+    return table(spark, d, "orders").agg(F.max("o_orderdate").alias("last_day"), F.min("o_orderdate").alias("first_day"), F.max(F.month("o_orderdate")).alias("last_week"), F.count("*").alias("n"))
+
+
+@query("select l_suppkey, round(avg(l_quantity), 6) as q, round(avg(l_extendedprice), 4) as p, round(avg(l_discount), 6) + 0.0 as disc from lineitem group by l_suppkey")
+def group_mean_multi(spark, d):
+    return r(table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_extendedprice").alias("p"), F.avg("l_discount").alias("disc")), p=4)
+
+
+@query("select year(l_shipdate)::int as season, month(l_shipdate)::int as week, l_suppkey, round(avg(l_quantity), 6) as rating from lineitem group by all")
+def group_mean_composite(spark, d):
+    return r(table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"), "l_suppkey").agg(F.avg("l_quantity").alias("rating")))
+
+
+@query("with " + DECAY.format(where="true", s=3.0, t=2500.0, floor=0.05) + """, c as (select sum(nstat * w) / sum(w) as c from w)
+select opponent as team, round(coalesce(sum(nstat * w), 0) / sum(w) - any_value(c), 6) as allowed from w, c group by opponent""")
+def centred_group_mean(spark, d):
+    p = plays(spark, d)
+    last = p.agg(F.max("game_date").alias("last"))
+    weighted = p.join(F.broadcast(last)).withColumn("w", S.decay(S.days_between(F.col("last"), F.col("game_date")), **D))
+    return r(A.centred(weighted, "opponent", "nstat", "w", "allowed").withColumnRenamed("opponent", "team"))
+
+
+BETS = PREDICTIONS + """, bets as (select *, -prediction + 0.0 as pred, spread_line - (-prediction) as diff,
+  case when spread_line + prediction < 0 then home_team when spread_line + prediction > 0 then away_team end as pick,
+  case when result < spread_line then away_team when result > spread_line then home_team end as winner from predictions)"""
+
+
+@query("with " + BETS + " select pick, sum(coalesce(pick = winner, false)::int)::bigint as hits, count(winner) as n, round(sum(coalesce(pick = winner, false)::int) / nullif(count(winner), 0), 6) as rate from bets where winner is not null and pick is not null group by pick")
+def hit_rate(spark, d):
+    return r(A.hit_rate(reports.graded(predictions(spark, d)).na.drop(subset=["winner"]), ["pick"], "hit", "winner"))
+
+
+@query("with " + BETS + " select round(avg(coalesce(pick = winner, false)::int), 6) as rate, count(*) as n from bets where winner is not null")
+def global_rate(spark, d):
+    return r(reports.graded(predictions(spark, d)).na.drop(subset=["winner"]).agg(F.avg("hit").alias("rate"), F.count("*").alias("n")))
+
+
+CROSSTAB = "with " + BETS + """, b as (select * from (select i::int as bin, i * {top:.1f} / {n} as lo, (i + 1) * {top:.1f} / {n} as hi from range({n}) t(i)))
+select bin, round(lo, 6) as lo, round(hi, 6) as hi, count(*) filter (x > lo and coalesce(pick = winner, false)::int = 0) as miss,
+  count(*) filter (x > lo and coalesce(pick = winner, false)::int = 1) as hit
+from b left join (select *, {value} as x from bets where winner is not null and {where}) e on x > lo and x <= hi group by bin, lo, hi"""
+
+
+@query(CROSSTAB.format(top=10, n=100, value="abs(diff)", where="abs(diff) <= 100 and var / nullif(abs(spread_line), 0) <= 0.5"))
+def bin_crosstab(spark, d):
+    return r(A.bin_crosstab(reports.back_test_rows(predictions(spark, d), most_var=0.5), "diff_abs", "hit", 100, 10))
+
+
+@query(CROSSTAB.format(top=1, n=50, value="var / nullif(abs(spread_line), 0)", where="true"))
+def bin_crosstab_var(spark, d):
+    return r(A.bin_crosstab(reports.graded(predictions(spark, d)).na.drop(subset=["winner"]), "rel_var", "hit", 50, 1))
+
+
+@query("with " + PREDICTIONS + " select round(1 - sum((result - prediction) ** 2) / (var_pop(result) * count(*)), 6) as r2, round(avg(abs(result - prediction)), 6) as mae, round(avg((result - prediction) ** 2), 6) as mse from predictions")
+def reg_metrics(spark, d):
+    return r(A.regression_metrics(predictions(spark, d), "result", "prediction"))
+
+
+@query("with " + PREDICTIONS + " select round(avg(case when result * prediction < 0 then 1.3 else 1 end * (result - prediction) ** 2), 6) as loss from predictions")
+def sign_loss(spark, d):
+    return r(A.sign_loss(predictions(spark, d), "result", "prediction"))
+
+
+@query("with " + PREDICTIONS + " select away_team, home_team, round(avg(prediction), 6) as prediction, round(var_samp(prediction), 6) as var from predictions group by all")
+def ensemble_aggregate(spark, d):
+    return r(A.ensemble(predictions(spark, d), ["away_team", "home_team"]))
+
+
+GATE = "with " + PREDICTIONS + """, q as (select away_team % 20 as m, 1 - sum((result - (result + prediction / (away_team % 7 + 1)) / 2) ** 2) / nullif(var_pop(result) * count(*), 0) as r2 from predictions group by 1)"""
+
+
+@query(GATE + " select away_team % 20 as member, count(*) as n, round(sum(prediction), 3) as total from predictions where away_team % 20 in (select m from q where r2 > 0) group by 1")
+def quality_gate(spark, d):
+    p = predictions(spark, d).withColumn("member", F.col("away_team") % 20).withColumn("guess", (F.col("result") + F.col("prediction") / (F.col("away_team") % 7 + 1)) / 2)
+    return r(A.gated(p, "member", "result", "guess").groupBy("member").agg(F.count("*").alias("n"), F.sum("prediction").alias("total")), 3)
+
+
+# --- ranks and windows --------------------------------------------------------------------------------------------
+
+@query("select c_custkey, round((rank() over (partition by c_nationkey order by round(c_acctbal, -3)) + (count(*) over (partition by c_nationkey, round(c_acctbal, -3)) - 1) / 2.0) / count(*) over (partition by c_nationkey), 9) as pct from customer")
+def pct_rank(spark, d):
+    c = table(spark, d, "customer").withColumn("v", F.round("c_acctbal", -3))
+    return r(c.select("c_custkey", W.pct_rank("v", ["c_nationkey"]).alias("pct")), 9)
+
+
+@query("select s_suppkey, round((count(*) over (partition by s_nationkey % 5) - (rank() over (partition by s_nationkey % 5 order by round(s_acctbal, -3)) + (count(*) over (partition by s_nationkey % 5, round(s_acctbal, -3)) - 1) / 2.0) + 1) / count(*) over (partition by s_nationkey % 5), 9) as pct from supplier")
+def rev_pct_rank(spark, d):
+    s = table(spark, d, "supplier").withColumn("v", F.round("s_acctbal", -3)).withColumn("g", F.col("s_nationkey") % 5)
+    return r(s.select("s_suppkey", W.pct_rank("v", ["g"], True).alias("pct")), 9)
+
+
+@query("""with c as (select c_custkey, c_nationkey, case when c_acctbal > 0 then c_acctbal end as v from customer),
+m as (select c_nationkey, median(v) as mid from c group by 1), x as (select c_custkey, c.c_nationkey, coalesce(v, mid) as v from c join m using (c_nationkey))
+select c_custkey, round(v, 4) as v, round((rank() over (partition by c_nationkey order by v) + (count(*) over (partition by c_nationkey, v) - 1) / 2.0) / count(*) over (partition by c_nationkey), 9) as pct from x""")
+def median_impute_rank(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
+    x = W.impute_median(c, "v", ["c_nationkey"])
+    return r(x.select("c_custkey", "v", W.pct_rank("v", ["c_nationkey"]).alias("pct")), v=4, pct=9)
+
+
+WEEKS = GAMES + """, weeks as (select season, week, max((game_type = 'REG')::int) as reg from games group by 1, 2),
+cal as (select *, sum(reg) over (order by season, week) as ro, row_number() over (order by season, week) as ord from weeks),
+pairs as (select t.season, t.week, t.ord, h.season as h_season, h.week as h_week, h.ord as h_ord, p.ro - h.ro + h.reg as back,
+  case when p.season = t.season and p.week = t.week - 1 then p.reg else 0 end as free, p.season = t.season and p.week = t.week - 1 as next
+  from cal t join cal p on p.ord = t.ord - 1 join cal h on h.ord < t.ord)"""
+HISTORY = WEEKS + """, hist as (select season, week, h_season, h_week from (select *, max(back - free) over (partition by season, week) as most from pairs)
+  where most >= {n} and ((next and h_ord = ord - 1) or back - free < {n}))"""
+
+
+@query("with " + HISTORY.format(n=3) + " select season, week, h_season, h_week from hist")
+def history_weeks(spark, d):
+    return W.history_weeks(W.calendar(games(spark, d)), 3)
+
+
+@query("with " + WEEKS + " select season, week from cal where season = 2000 and week = 3 union all select h_season, h_week from pairs where season = 2000 and week = 3 and back <= 5")
+def target_weeks(spark, d):
+    return W.target_weeks(W.calendar(games(spark, d)), 2000, 3, 5)
+
+
+@query("with " + HISTORY.format(n=3) + """, g as (select h.season, h.week, away_team as team, price, kickoff from hist h join games g on g.season = h_season and g.week = h_week),
+w as (select *, greatest(exp(-3.0 * pow(date_diff('day', kickoff::date, max(kickoff::date) over (partition by season, week)) / 160.0, 3)), 0.05) as w from g)
+select season, week, team, round(sum(price * w) / sum(w), 4) as price, round(sum(price * w) / any_value(z), 6) as price_sum, count(*) as n
+from (select *, sum(w) over (partition by season, week) as z from w) group by season, week, team""")
+def lookback_stat(spark, d):
+    g = games(spark, d).withColumn("day", F.to_date("kickoff"))
+    hist = W.history_weeks(W.calendar(g), 3)
+    return r(features.window_stat(g, hist, "day", "away_team", "price").withColumnRenamed("away_team", "team"), price=4, price_sum=6)
+
+
+# --- matchups -----------------------------------------------------------------------------------------------------
+
+MATCHUP = "with " + PLAYS + """, s as (select team, avg(case when play_type = 'A' then stat end) as off_run_ypp, avg(case when play_type = 'A' then discount end) as def_run_ypp,
+  count(*) filter (play_type = 'A') / count(*) filter (play_type in ('A', 'R')) as share, avg(tax) as off_pen from plays group by team),
+n as (select count(*) as n from s),
+k as (select team, share, (rank() over (order by off_run_ypp) + (count(*) over (partition by off_run_ypp) - 1) / 2.0) / n as off_run,
+  (n - (rank() over (order by def_run_ypp) + (count(*) over (partition by def_run_ypp) - 1) / 2.0) + 1) / n as def_run from s, n),
+p as (select distinct team as away_team, opponent as home_team from plays)
+select away_team, home_team, round((a.off_run - h.def_run) * (a.share + 0.5), 9) as away_off_run_ypp, round(a.def_run - h.off_run, 9) as away_def_run_ypp
+from p left join k a on a.team = away_team left join k h on h.team = home_team"""
+
+
+@query(MATCHUP)
+def matchup_diff(spark, d):
+    p = plays(spark, d)
+    stats = p.groupBy("team").agg(
+        F.avg(F.when(F.col("play_type") == "A", F.col("stat"))).alias("off_run_ypp"), F.avg(F.when(F.col("play_type") == "A", F.col("discount"))).alias("def_run_ypp"),
+        S.ratio(F.count_if(F.col("play_type") == "A"), F.count_if(F.col("play_type").isin("A", "R"))).alias("off_run_%"),
+    ).withColumn("target", F.lit(1))
+    pairs = p.select(F.lit(1).alias("target"), F.col("team").alias("away_team"), F.col("opponent").alias("home_team"))
+    out = features.matchup_features(stats, pairs, ["target"], wanted=["away_off_run_ypp", "away_def_run_ypp"])
+    return r(out.select("away_team", "home_team", "away_off_run_ypp", "away_def_run_ypp"), 9)
+
+
+@query("with " + GAMES + """ select game_id, a.n_name as away_name, a.n_regionkey as away_region, h.n_name as home_name, h.n_regionkey as home_region
+from games left join nation a on a.n_nationkey = away_team left join nation h on h.n_nationkey = home_team""")
+def role_join(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    out = J.role_join(games(spark, d), n, "n_nationkey", {"away_team": "away_", "home_team": "home_"})
+    return out.select("game_id", "away_name", "away_region", "home_name", "home_region")
+
+
+@query("with " + GAMES + " select season, week, away_team as team, home_team as opponent from games union all select season, week, home_team, away_team from games")
+def role_union(spark, d):
+    return J.role_union(games(spark, d), ["season", "week"], [{"away_team": "team", "home_team": "opponent"}, {"home_team": "team", "away_team": "opponent"}])
+
+
+@query("with " + GAMES + " select distinct t as team from (select away_team as t from games union all select home_team from games)")
+def unique_two_cols(spark, d):
+    return J.distinct_over(games(spark, d), ["away_team", "home_team"], "team")
+
+
+@query("with " + GAMES + """, t as (select season, week, away_team, home_team, round(median(price), 4) as total from games where status = 'O' group by 1, 2, 3, 4),
+s as (select season, week, away_team, home_team, round(median(price), 4) as spread from games where status = 'F' group by 1, 2, 3, 4) select * from t join s using (season, week, away_team, home_team)""")
+def inner_multi(spark, d):
+    keys, g = ["season", "week", "away_team", "home_team"], games(spark, d)
+    mid = lambda status, name: g.where(F.col("status") == status).groupBy(*keys).agg(F.median("price").alias(name))
+    return r(mid("O", "total").join(mid("F", "spread"), keys), 4)
+
+
+@query("with " + GAMES + """ select season, week, g.away_team, g.home_team, p.n, p.mean from (select distinct season, week, away_team, home_team from games) g
+left join (select away_team, home_team, count(*) as n, round(avg(price), 4) as mean from games where game_type <> 'REG' group by 1, 2) p using (away_team, home_team)""")
+def left_multi(spark, d):
+    g, keys = games(spark, d), ["away_team", "home_team"]
+    p = g.where("game_type != 'REG'").groupBy(*keys).agg(F.count("*").alias("n"), F.avg("price").alias("mean"))
+    return r(g.select("season", "week", *keys).distinct().join(p, keys, "left").select("season", "week", *keys, "n", "mean"), 4)
+
+
+@query("with " + GAMES + """ select season, week, away_team, game_id, c_acctbal as rating from games join (select c_nationkey::bigint as away_team, c_acctbal from customer where c_acctbal > 9500) using (away_team)""")
+def right_then_drop(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").cast("long").alias("away_team"), F.col("c_acctbal").alias("rating"))
+    return J.right_then_drop(games(spark, d), c, ["away_team"], "game_id").select("season", "week", "away_team", "game_id", "rating")
+
+
+NULLSAFE = """with a as (select nullif(c_nationkey, 3) as k, nullif(c_mktsegment, 'MACHINERY') as m, count(*) as a_n from customer group by 1, 2),
+b as (select nullif(s_nationkey, 3) as k, s_suppkey from supplier) select a.k, m, a_n, s_suppkey from a left join b on a.k is not distinct from b.k"""
+
+
+@query(NULLSAFE)
+def nullsafe_join(spark, d):
+    a = table(spark, d, "customer").groupBy(F.nullif("c_nationkey", F.lit(3)).alias("k"), F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("m")).agg(F.count("*").alias("a_n"))
+    b = table(spark, d, "supplier").select(F.nullif("s_nationkey", F.lit(3)).alias("k"), "s_suppkey")
+    return J.nullsafe_left(a, b, ["k"]).select("k", "m", "a_n", "s_suppkey")
+
+
+@query("select distinct o_custkey, o_orderstatus from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity > 49)")
+def semi_keys(spark, d):
+    keys = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return J.semi_keys(table(spark, d, "orders"), keys, ["o_orderkey"]).select("o_custkey", "o_orderstatus").distinct()
+
+
+@query("with " + GAMES + ", w as (select distinct season, week, home_team, kickoff::date as game_date from games where game_id % 2 = 0) select distinct g.season, g.week, g.home_team, game_date::varchar as game_date from games g left join w using (season, week, home_team)")
+def attr_lookup(spark, d):
+    g, keys = games(spark, d), ["season", "week", "home_team"]
+    other = g.where("game_id % 2 = 0").withColumn("game_date", F.to_date("kickoff"))
+    return J.attr_lookup(g.select(*keys), other, keys, "game_date").withColumn("game_date", F.col("game_date").cast("string"))
+
+
+# --- filters and projections --------------------------------------------------------------------------------------
+
+@query("with " + GAMES + " select game_id, (season = 1999 and week = 5)::int as predict from games where not (season = 2000 and week > 3)")
+def train_split(spark, d):
+    return reports.split_rows(reports.without_future(games(spark, d), 2000, 3), 1999, 5).select("game_id", "predict")
+
+
+@query("with " + GAMES + " select count(*) as n, max(season * 100 + week)::int as last from games where not (season = 2000 and week > 3) and season <= 2000")
+def future_cut(spark, d):
+    g = reports.without_future(games(spark, d), 2000, 3).where("season <= 2000")
+    return g.agg(F.count("*").alias("n"), F.max(F.col("season") * 100 + F.col("week")).alias("last"))
+
+
+@query("select 0::bigint as leaked")
+def leak_check(spark, d):
+    return reports.leaked(reports.without_future(games(spark, d), 2000, 3), 2000, 3)
+
+
+@query("with " + BETS + " select game_id, member, pick, winner, (coalesce(pick = winner, false))::int as hit from bets")
+def pick_rules(spark, d):
+    return reports.graded(predictions(spark, d)).select("game_id", "member", "pick", "winner", "hit")
+
+
+@query("with " + BETS + " select game_id, member, (spread_line * prediction < 0)::int as underdog, ((pred >= 0) <> (spread_line >= 0))::int as switched from bets")
+def sign_flag(spark, d):
+    g = reports.graded(predictions(spark, d))
+    return g.select("game_id", "member", S.disagree(F.col("spread_line"), -F.col("pred")).alias("underdog"), "switched")
+
+
+@query("with " + BETS + " select game_id, member from bets where abs(pred) > 1 and var <= 2.5 and abs(diff) > 3")
+def range_chain(spark, d):
+    return reports.picks(reports.graded(predictions(spark, d)), least_pred=1, most_var=2.5, least_diff=3).select("game_id", "member")
+
+
+@query("select n_nationkey, case n_name when 'NATION_1' then 'ONE' when 'NATION_2' then 'TWO' else n_name end as n_name from nation")
+def replace_map(spark, d):
+    n = table(spark, d, "nation")
+    mapping = n.where("n_name in ('NATION_1', 'NATION_2')").select(F.col("n_name").alias("old"), F.when(F.col("n_name") == "NATION_1", "ONE").otherwise("TWO").alias("new"))
+    return J.replace_values(n, mapping, ["n_name"]).select("n_nationkey", "n_name")
+
+
+@query("select n_nationkey, replace(n_name, 'NATION_3', 'THREE') as n_name from nation where n_name <> 'NATION_3' or true and length(n_name) = 8 union all select n_nationkey, n_name from nation where false")
+def replace_everywhere(spark, d):
+    return table(spark, d, "nation").na.replace({"NATION_3": "THREE"}).select("n_nationkey", "n_name")
+
+
+ORACLES["replace_everywhere"] = "select n_nationkey, case when n_name = 'NATION_3' then 'THREE' else n_name end as n_name from nation"
+
+
+@query("select event_id, coalesce(case when value > 10 then value end, 0) as value from events")
+def fill_zero(spark, d):
+    return table(spark, d, "events").select("event_id", F.when(F.col("value") > 10, F.col("value")).alias("value")).na.fill(0.0)
+
+
+@query("select event_id, value, event_type from (select event_id, nullif(event_type, 'click') as event_type, case when value > 10 then value end as value from events) where value is not null and event_type is not null")
+def drop_any(spark, d):
+    return table(spark, d, "events").select("event_id", F.nullif("event_type", F.lit("click")).alias("event_type"), F.when(F.col("value") > 10, F.col("value")).alias("value")).na.drop("any")
+
+
+@query("select event_id, event_type from (select event_id, nullif(event_type, 'click') as event_type, case when value > 10 then value end as value from events) where value is not null")
+def drop_subset(spark, d):
+    e = table(spark, d, "events").select("event_id", F.nullif("event_type", F.lit("click")).alias("event_type"), F.when(F.col("value") > 10, F.col("value")).alias("value"))
+    return e.na.drop(subset=["value"]).select("event_id", "event_type")
+
+
+@query("select event_id, try_cast(case when event_id % 3 = 0 then event_type else value::int::varchar end as int) as number from events")
+def try_numeric(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", text.try_cast("int").alias("number"))
+
+
+ORACLES["try_numeric"] = "select event_id, try_cast(case when event_id % 3 = 0 then event_type else event_id::varchar end as int) as number from events"
+
+
+@query("with " + GAMES + " select home_team as host, away_team as guest, season, 1 as weight, 'logos/' || away_team || '.png' as logo from games")
+def project_rename(spark, d):
+    g = games(spark, d).withColumnsRenamed({"home_team": "host", "away_team": "guest"})
+    return g.withColumn("weight", F.lit(1)).withColumn("logo", S.keyed_path("logos/", F.col("guest").cast("string"), ".png")).select("host", "guest", "season", "weight", "logo")
+
+
+@query("select n_nationkey, n_name as off_n_name, n_regionkey as off_n_regionkey from nation")
+def role_prefix(spark, d):
+    return J.prefixed(table(spark, d, "nation"), "off_", keep=["n_nationkey"])
+
+
+@query("select (select count(*) from orders) as all_rows, (select count(*) from orders where o_orderstatus = 'O') as one, (select count(*) from orders where o_orderstatus in ('O', 'F')) as several")
+def optional_filter(spark, d):
+    o = table(spark, d, "orders")
+    n = lambda v, name: A.keep(o, "o_orderstatus", v).agg(F.count("*").alias(name))
+    return n(None, "all_rows").join(F.broadcast(n("O", "one"))).join(F.broadcast(n(["O", "F"], "several")))
+
+
+@query("with " + GAMES + " select game_id from games where away_team = home_team")
+def col_eq_col(spark, d):
+    return games(spark, d).where(F.col("away_team") == F.col("home_team")).select("game_id")
+
+
+@query("with " + GAMES + " select game_id, away_team, home_team from games where season = 1998 and week = 4")
+def key_filter(spark, d):
+    return games(spark, d).where((F.col("season") == 1998) & (F.col("week") == 4)).select("game_id", "away_team", "home_team")
+
+
+@query("with " + GAMES + """, k as (select distinct season, week from games where game_type = 'REG') select season, week from (select *, row_number() over (order by season, week) as rn from k) where rn > 20""")
+def row_slice(spark, d):
+    return W.newest_without_oldest(games(spark, d).where("game_type = 'REG'"), ["season", "week"], 20)
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 5")
+def head_sorted(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select("o_orderkey", "o_totalprice")
+
+
+@query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as idx from orders")
+def row_number_out(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).alias("idx"))
+
+
+@query("select n_name as team_name, case 'N' || n_nationkey when 'N1' then 'X1' else 'N' || n_nationkey end as abbr from nation")
+def abbr_dimension(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("team_name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("abbr"))
+    return odds.team_dimension(n, {"N1": "X1"})
+
+
+@query("with " + GAMES + " select season, count(*) as n, count(distinct week) as weeks from games group by season")
+def landed_tables(spark, d):
+    return games(spark, d).groupBy("season").agg(F.count("*").alias("n"), F.countDistinct("week").alias("weeks"))
+
+
+@query("with " + GAMES + " select game_id, kickoff, away_team from games order by kickoff nulls last, away_team, game_id limit 50")
+def report_sort(spark, d):
+    return games(spark, d).orderBy(F.asc_nulls_last("kickoff"), F.asc_nulls_last("away_team"), "game_id").limit(50).select("game_id", "kickoff", "away_team")
+
+
+@query("with " + GAMES + ", k as (select distinct season, week from games) select season, week from (select *, row_number() over (order by season, week) as rn from k) where rn > 12")
+def newest_minus_oldest(spark, d):
+    return W.newest_without_oldest(games(spark, d), ["season", "week"], 12)
+
+
+@query("with " + BETS + " select game_id, member, abs(diff) as diff from bets order by abs(diff) desc, game_id, member, away_team limit 3")
+def top3(spark, d):
+    return reports.top_picks(reports.graded(predictions(spark, d)), "diff_abs", ["game_id", "member", "away_team"], 3).select("game_id", "member", F.col("diff_abs").alias("diff"))
+
+
+@query("select c_custkey as id, c_name as name, c_acctbal as balance from customer union all select s_suppkey, s_name, null from supplier")
+def union_all(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return c.unionByName(s, allowMissingColumns=True)
+
+
+@query("select distinct c_nationkey, c_mktsegment from customer")
+def distinct_rows(spark, d):
+    return table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
+
+
+# --- scalar functions ---------------------------------------------------------------------------------------------
+
+@query("select p_partkey, left(split_part(p_name, ' ', 1), 1) || '.' || split_part(p_name, ' ', 2) as short from part where p_name like '% %'")
+def short_name(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.short_name(F.col("p_name")).alias("short")).where("short is not null")
+
+
+@query("select p_partkey, regexp_replace(p_name || case p_partkey % 5 when 0 then ' Jr.' when 1 then ' III' when 2 then ' IV' when 3 then ' Sr.' else '' end, '\\s+(Jr\\.|Sr\\.|I{1,3})$', '') as name from part".replace("\\\\", "\\"))
+def strip_suffix(spark, d):
+    k = F.col("p_partkey") % 5
+    suffix = F.when(k == 0, " Jr.").when(k == 1, " III").when(k == 2, " IV").when(k == 3, " Sr.").otherwise("")
+    return table(spark, d, "part").select("p_partkey", S.strip_suffix(F.concat("p_name", suffix)).alias("name"))
+
+
+@query("select event_id, (event_id % 900 / 60)::int as minutes, (event_id % 900)::int as seconds from events")
+def mmss(spark, d):
+    s = (F.col("event_id") % 900).cast("int")
+    text = F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    return table(spark, d, "events").select("event_id", F.get(F.split(text, ":"), F.lit(0)).cast("int").alias("minutes"), S.clock_seconds(text).alias("seconds"))
+
+
+ORACLES["mmss"] = "select event_id, (event_id % 900 // 60)::int as minutes, (event_id % 900)::int as seconds from events"
+
+
+@query("select o_orderkey, date_diff('day', o_orderdate::date, date '2001-08-01')::int as days from orders")
+def day_diff(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", S.days_between(F.lit("2001-08-01").cast("date"), F.to_date("o_orderdate")).alias("days"))
+
+
+@query("select event_id, strftime(ts, '%H:%M') as tod, strftime(ts, '%a %m/%d') as day, (case when hour(ts) % 12 = 0 then 12 else hour(ts) % 12 end)::varchar || strftime(ts, ':%M %p') as clock, ts::date::varchar as iso_day from events")
+def time_fmt(spark, d):
+    ts = F.col("ts")
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, d, "events").select("event_id", S.time_of_day(ts).alias("tod"), S.report_day(F.to_date(ts)).alias("day"), S.report_time(ts).alias("clock"), S.iso_date(iso).cast("string").alias("iso_day"))
+
+
+@query("select event_id, round_even(value, 1) as value from events")
+def round_even(spark, d):
+    return table(spark, d, "events").select("event_id", S.round_even(F.col("value"), 1).alias("value"))
+
+
+@query("select s_suppkey, case when x > 0 then printf('+%.1f', x) else printf('%.1f', x) end as text from (select s_suppkey, floor(s_acctbal) / 10 as x from supplier)")
+def signed_fmt(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", S.signed(F.floor("s_acctbal") / 10).alias("text"))
+
+
+@query("select event_type, max(ts) as last_update, round(median(k), 4) as point from (select event_type, ts, json_extract(props, '$.k')::double as k from events) where k is not null group by event_type")
+def json_flatten_median(spark, d):
+    e = table(spark, d, "events").select("event_type", "ts", F.from_json("props", "k double")["k"].alias("k")).where("k is not null")
+    return r(e.groupBy("event_type").agg(F.max("ts").alias("last_update"), F.median("k").alias("point")), 4)
+
+
+ODDS = """with e as (select date_trunc('day', ts)::date as date, user_id % 9 as away, user_id % 7 + 20 as home, event_type as book, date_trunc('hour', ts) as upd,
+  case when event_id % 2 = 0 then 'Over' when event_id % 3 = 0 then 'Under' else (user_id % 9)::varchar end as name, nullif((event_id % 40) / 2.0, 3.5) as point from events),
+x as (select distinct date, away, home, upd, name, point from e where point is not null),
+t as (select date, away, home, median(point) as total from x where name = 'Over' group by 1, 2, 3), s as (select date, away, home, median(point) as spread from x where name = away::varchar group by 1, 2, 3)
+select date::varchar as date, case away when 1 then 'ONE' else away::varchar end as away_team, spread, home::varchar as home_team, total from t join s using (date, away, home)"""
+
+
+@query(ODDS)
+def consensus_odds(spark, d):
+    """The nested feed is built from events (books nest updates, these nest outcomes) and flattened again."""
+    e = table(spark, d, "events")
+    name = F.when(F.col("event_id") % 2 == 0, "Over").when(F.col("event_id") % 3 == 0, "Under").otherwise((F.col("user_id") % 9).cast("string"))
+    outcome = F.struct(name.alias("name"), F.lit(1.9).alias("price"), F.nullif((F.col("event_id") % 40) / 2, F.lit(3.5)).alias("point"))
+    books = (
+        e.select(F.date_trunc("day", "ts").alias("day"), (F.col("user_id") % 9).cast("string").alias("away_team"), (F.col("user_id") % 7 + 20).cast("string").alias("home_team"), F.date_trunc("hour", "ts").alias("u"), outcome.alias("o"))
+        .groupBy("day", "away_team", "home_team", "u").agg(F.collect_list("o").alias("outcomes"))
+        .select("day", "away_team", "home_team", F.struct(F.date_format("u", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_update"), F.array(F.struct("outcomes")).alias("markets")).alias("b"))
+        .groupBy("day", "away_team", "home_team").agg(F.collect_list("b").alias("bookmakers"))
+        .select(F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("commence_time"), "away_team", "home_team", "bookmakers")
+    )
+    mapping = e.where("user_id % 9 = 1").select(F.lit("1").alias("old"), F.lit("ONE").alias("new")).distinct()
+    return odds.consensus(books, mapping).withColumn("date", F.col("date").cast("string"))
+
+
+@query("with " + PLAYS + """ select team, round(-2.2 * sum(stat) + 3.7 * sum(made) + sum(price) / 5 - 14.1 * sum(failed) - 1.1 * coalesce(sum(case when play_type = 'A' then stat end) + sum(made), 0), 2) as value from plays group by team""")
+def value_formula(spark, d):
+    p = plays(spark, d).groupBy("team").agg(F.sum("stat").alias("pass_attempt"), F.sum("made").alias("complete_pass"), F.sum("price").alias("passing_yards"), F.sum("failed").alias("interception"), (F.sum(F.when(F.col("play_type") == "A", F.col("stat"))) + F.sum("made")).alias("rush_attempt"))
+    filled = p.na.fill(0.0).withColumns({c: F.lit(0.0) for c in ("pass_touchdown", "sack", "rushing_yards", "rush_touchdown")})
+    return r(filled.select("team", S.passer_value().alias("value")), 2)
+
+
+@query("with " + PREDICTIONS + " select game_id, member, away_team * 1.0 as f1, home_team * 1.0 as f2, result - prediction as label from predictions")
+def feature_list(spark, d):
+    return predictions(spark, d).select("game_id", "member", F.col("away_team").cast("double").alias("f1"), F.col("home_team").cast("double").alias("f2"), (F.col("result") - F.col("prediction")).alias("label"))
+
+
+ORACLES["feature_list"] = "with " + PREDICTIONS + " select game_id, member, away_team::double as f1, home_team::double as f2, result - prediction as label from predictions"
+
+
+@query("with " + GAMES + " select game_id, (away_team - home_team)::bigint as label from games")
+def label_margin(spark, d):
+    return games(spark, d).select("game_id", (F.col("away_team") - F.col("home_team")).alias("label"))
+
+
+@query("with " + GAMES + """, a as (select season, week, away_team, home_team, avg(price) as prediction from games group by 1, 2, 3, 4), s as (select season, week, away_team, home_team, max(game_id) % 50 as hs, min(game_id) % 40 as as_ from games where status = 'F' group by 1, 2, 3, 4)
+select season, week, away_team, home_team, round(prediction, 4) as prediction, hs - as_ as actual from a left join s using (season, week, away_team, home_team)""")
+def pred_vs_actual(spark, d):
+    g, keys = games(spark, d), ["season", "week", "away_team", "home_team"]
+    pred = g.groupBy(*keys).agg(F.avg("price").alias("prediction"))
+    sched = g.where("status = 'F'").groupBy(*keys).agg((F.max("game_id") % 50).alias("home_score"), (F.min("game_id") % 40).alias("away_score"))
+    return r(reports.pred_vs_actual(pred, sched).select(*keys, "prediction", "actual"), 4)
