@@ -341,3 +341,19 @@ def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
+
+
+ORACLE = r"""
+with recursive d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] end) as g from d),
+c as materialized (select doc_id, len(g) as n, md5(array_to_string(list_sort(g), chr(10))) as k from s),
+u as materialized (select min(doc_id) as doc_id, k, any_value(n) as n from c where n > 0 group by k),
+e as materialized (select u.doc_id, n, unnest(g) as x from u join s on s.doc_id = u.doc_id),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as an, any_value(b.n) as bn, count(*) as m from e a join e b on a.x = b.x and a.doc_id < b.doc_id and a.n * 100 >= 90 * b.n and b.n * 100 >= 90 * a.n group by 1, 2),
+l as materialized (select a, b from p where 100 * m >= 90 * (an + bn - m)),
+sym as materialized (select a, b from l union all select b, a from l),
+reach(a, b) as (select doc_id, doc_id from u union select reach.a, sym.b from reach join sym on sym.a = reach.b),
+m as (select a, min(b) as first from reach group by a)
+select c.doc_id, c.n::bigint as n_shingles, case when c.n = 0 then c.doc_id else m.first end as component_id
+from c left join u on c.k = u.k and c.n > 0 left join m on m.a = u.doc_id
+"""

@@ -131,3 +131,15 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
 
 def op9_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents")).select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+with d as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, len(w) as n, i, array_to_string(w[i:i + 19], ' ') as k from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from d where len(w) >= 20)),
+f as (select doc_id, i, row_number() over (partition by k order by doc_id, i) > 1 as again from s),
+t as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+g as (select t.doc_id, t.i, word, coalesce(max(f.again::int) over (partition by t.doc_id order by t.i rows between 19 preceding and current row), 0) as gone
+      from t left join f on t.doc_id = f.doc_id and t.i = f.i)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join (select doc_id, sum(gone) as n_removed, string_agg(word, ' ' order by i) filter (gone = 0) as kept from g group by doc_id) x using (doc_id)
+"""
