@@ -104,8 +104,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, agree:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated ones (documents without an id are judged as one)."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.expr("doc_id <=> bad_id"), "left_anti")
+    bad = contaminated(docs, items).select(F.col("doc_id").alias("__bad_id")).distinct()
+    return docs.join(bad, F.expr("doc_id <=> __bad_id"), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

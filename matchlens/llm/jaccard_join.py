@@ -335,8 +335,8 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     """docs without all but the first document of each class."""
-    drop = classes(docs, rule).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(drop, F.expr("doc_id <=> dropped"), "left_anti")
+    drop = classes(docs, rule).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(drop, F.expr("doc_id <=> __dropped"), "left_anti")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

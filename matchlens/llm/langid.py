@@ -43,7 +43,7 @@ def held_out() -> Column:
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """lang, text of about per_language documents of each language, the same ones in every run."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = labelled.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     # one row a language

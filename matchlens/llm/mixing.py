@@ -139,10 +139,11 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_rep
     per_source = common.written(hashed.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     if per_source.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    cut = thresholds(hashed, targets(per_source, weights, budget, max_repeat)).select(F.col("source").alias("s"), "passes", "threshold")
-    rows = docs.join(F.broadcast(cut), F.expr("source <=> s"))
-    times = F.col("passes") + (place(F.col("doc_id"), F.col("text")) < F.col("threshold")).cast("long")
-    return rows.withColumn("times", times.cast("int")).where("times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
+    cut = thresholds(hashed, targets(per_source, weights, budget, max_repeat)).select(F.col("source").alias("__source"), F.col("passes").alias("__passes"), F.col("threshold").alias("__threshold"))
+    rows = docs.join(F.broadcast(cut), F.expr("source <=> __source"))
+    times = F.col("__passes") + (place(F.col("doc_id"), F.col("text")) < F.col("__threshold")).cast("long")
+    copies = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(copies).alias("__copy")).drop("__copy")
 
 
 #: Bound of the broadcast table of sources.
