@@ -4,8 +4,8 @@ The index holds what history has shown: for each run of windows (see repeats.py)
 where it first stood. It consists of runs, in the other sense of the word: immutable tables, each made from one batch of documents,
 dealt into buckets by anchor and sorted by (anchor, fingerprint) within. A new batch is laid out the same way, and each bucket is merged
 with that bucket of the index's tables: equal entries decide windows at once. Where an anchor has several fingerprints the
-windows are verified on the words themselves. The batch's new entries become the next table; when there are more than
-`MAX_TABLES`, they are merged into one.
+windows are verified on the words themselves. The batch's new entries become the next table; where there
+are `MAX_TABLES` already, the merge, which has all of them in hand, writes one compacted table in their place.
 
 Batches are taken in order of doc_id, so everything in the index is earlier than the batch.
 
@@ -42,18 +42,6 @@ class Index:
             out = t if out is None else out.unionByName(t)
         return out
 
-    def compact(self) -> None:
-        """Merges all tables into one; entries of one fingerprint become the earliest."""
-        if len(self.tables) < 2:
-            return
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for bucket, rows in repeats.by_bucket(batches):
-                s = repeats.sort_runs(rows)
-                yield _entries(s, bucket, s.new_content, 0)
-
-        self.tables = [common.written(repeats.dealt(self.rows()).mapInArrow(merge, repeats.RUNS), "index-table")]
-
 
 def _entries(s: repeats.Sorted, bucket: int, pick: np.ndarray, table: int) -> pa.RecordBatch:
     k = s.key[pick]
@@ -67,7 +55,7 @@ MERGED = f"{repeats.RUNS}, found array<struct<doc_id:long,lo:int,hi:int,check:in
 
 def add_batch(index: Index, docs: DataFrame, w: repeats.Windows) -> DataFrame:
     """Decides the batch's runs against the index, adds its new entries, and returns FOUND rows (open runs may be history's)."""
-    number = len(index.tables)
+    number, compacting = len(index.tables), len(index.tables) >= MAX_TABLES
     rows = repeats.run_rows(docs, w, index.buckets)
     if index.tables:
         rows = rows.unionByName(index.rows())
@@ -75,16 +63,14 @@ def add_batch(index: Index, docs: DataFrame, w: repeats.Windows) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, packed in repeats.by_bucket(batches):
             s = repeats.sort_runs(packed)
-            new = _entries(s, bucket, s.new_content & ~s.old, number)
+            new = _entries(s, bucket, s.new_content if compacting else s.new_content & ~s.old, number)
             found = repeats.found_batch(s, bucket, *repeats.decide(s, w))
             structs = pa.StructArray.from_arrays([found[c] for c in found.schema.names], names=found.schema.names)
             lists = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
             yield pa.RecordBatch.from_arrays([*new.columns, lists], names=[*new.schema.names, "found"])
 
     merged = common.written(repeats.dealt(rows).mapInArrow(merge, MERGED), "index-merge")
-    index.tables.append(merged.drop("found"))
-    if len(index.tables) > MAX_TABLES:
-        index.compact()
+    index.tables = [*([] if compacting else index.tables), merged.drop("found")]
     return merged.select(F.explode("found").alias("f")).select("f.*")
 
 
