@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 #: Runs that a task gathers before it hands them on in packed form.
-GATHER = 1_000_000
+GATHER = 400_000
 #: Buckets of anchors a shuffle partition.
 BUCKETS_EACH = 4
 #: Documents without an id count as the last ones.

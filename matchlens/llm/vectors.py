@@ -57,9 +57,12 @@ def window_hashes(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
 
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of consecutive rows with about PIECE_BYTES of text; a null text is empty."""
-    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+    texts = batch.column(batch.schema.get_field_index(column))
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     _, offsets, data = texts.buffers()
-    off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
     while a < len(texts):
