@@ -121,7 +121,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def with_next(base: DataFrame) -> DataFrame:
-    """a, b, next_a, next_b of every row of keyed(): the next in descending order of doc_id, after the last the first.
+    """a, b, doc_id, next_a, next_b of every row of keyed(): the next in descending order of doc_id, after the last the first.
 
     Ids are range-partitioned; inside a partition a window finds the next one, and the partitions' ends meet in a table of
     one row a partition.
@@ -135,13 +135,14 @@ def with_next(base: DataFrame) -> DataFrame:
     tops = placed.groupBy("p").agg(F.max(rank).alias("top"))
     everything = Window.partitionBy(F.lit(0)).orderBy(F.desc("p"))
     tops = tops.select("p", F.coalesce(F.lead("top").over(everything), F.first("top").over(everything)).alias("after"))
-    return inside.join(tops, "p").select("a", "b", F.coalesce("next.a", "after.a").alias("next_a"), F.coalesce("next.b", "after.b").alias("next_b")).distinct()
+    return inside.join(tops, "p").select("a", "b", "doc_id", F.coalesce("next.a", "after.a").alias("next_a"), F.coalesce("next.b", "after.b").alias("next_b")).distinct()
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """a, b, doc_id, next_a, next_b, text, edited: the last third of the code points replaced by the next text's first as many.
+def edited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, text, edited) and (a, b, doc_id, next_a, next_b): the last third of the code points replaced by the next text's first as many.
 
-    Texts are dealt out once, by key; what moves besides is keys, lengths and the heads that are put in.
+    Texts are dealt out once, by key (all uses read the same columns, so Spark reuses that exchange); what moves besides is keys,
+    lengths and the heads that are put in.
     """
     base = keyed(docs)
     n, kinds = base.select("a", "b").agg(F.count("*"), F.countDistinct("a", "b")).first()
@@ -150,19 +151,20 @@ def edited(docs: DataFrame) -> DataFrame:
     wants = base.select("a", "b", F.floor(F.length("text") / 3).cast("int").alias("k"))
     need = common.written(with_next(base).join(wants, ["a", "b"]).distinct(), "simhash-next")
     moved = need.select(F.col("next_a").alias("a"), F.col("next_b").alias("b"), F.col("a").alias("to_a"), F.col("b").alias("to_b"), "k")
-    heads = base.join(moved, ["a", "b"]).select("to_a", "to_b", F.expr("substring(text, 1, k)").alias("head"), F.col("a").alias("next_a"), F.col("b").alias("next_b"))
-    joined = base.join(heads.withColumnsRenamed({"to_a": "a", "to_b": "b"}), ["a", "b"])
-    return joined.select("a", "b", "doc_id", "next_a", "next_b", "text", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), "head").alias("edited"))
+    texts = base.select("a", "b", "text")
+    heads = texts.join(moved, ["a", "b"]).select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), F.expr("substring(text, 1, k)").alias("head"))
+    kept = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))")
+    return texts.join(heads, ["a", "b"]).select("a", "b", "text", F.concat(kept, "head").alias("edited")), need.drop("k")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = edited(common.table(spark, sf_dir, "documents"))
+    docs, order = edited(common.table(spark, sf_dir, "documents"))
     body = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))
     fps = fingerprints(docs.select("a", "b", F.explode(body).alias("x")).select("a", "b", "x.which", "x.body"), ["a", "b", "which"], "body")
     fp = lambda which: F.max(F.when(F.col("which") == which, F.col("fp")))
     pairs = fps.groupBy("a", "b").agg(fp(0).alias("fp"), fp(1).alias("edited_fp"))
-    facts = docs.select("a", "b", "doc_id", "next_a", "next_b", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")).dropDuplicates(["a", "b"])
-    own = common.written(pairs.join(facts, ["a", "b"]), "simhash-fps")
+    facts = docs.select("a", "b", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    own = common.written(pairs.join(facts, ["a", "b"]).join(order, ["a", "b"]), "simhash-fps")
     after = own.select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.col("fp").alias("next_fp"))
     return own.join(after, ["next_a", "next_b"]).select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),

@@ -153,14 +153,14 @@ def test_mix(spark):
 def test_simhash_edits_and_likeness(spark):
     rnd = random.Random(8)
     rows = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(30, 200)))) for i in range(60)] + [(100, None), (101, ""), (102, "one"), (103, "é" * 9)]
-    docs = simhash.edited(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, a int, head string"))
+    texts, keys = simhash.edited(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, a int, head string"))
     order = sorted(rows, reverse=True)
     want = {}
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1] or ""
         t = t or ""
         want[i] = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
-    assert {r.doc_id: r.edited for r in docs.collect()} == want
+    assert {r.doc_id: r.edited for r in texts.join(keys, ["a", "b"]).collect()} == want
     fps = simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
     fp = {r.doc_id: r.fp for r in fps.collect()}
     # against a direct count of the votes
