@@ -26,11 +26,9 @@ def attr_lookup(df: DataFrame, other: DataFrame, keys: Sequence[str], attribute:
 def role_join(df: DataFrame, dim: DataFrame, dim_key: str, roles: Mapping[str, str], on: Sequence[str] = ()) -> DataFrame:
     """Joins one dimension once for each role: roles maps a key column of df to the prefix of what it brings."""
     for key, prefix in roles.items():
-        side = prefixed(dim, prefix, keep=on)
-        df = df.join(side, [F.col(key) == F.col(prefix + dim_key)] if not on else [*[df[c] == side[c] for c in on], df[key] == side[prefix + dim_key]], "left")
-        for c in on:
-            df = df.drop(side[c])
-        df = df.drop(prefix + dim_key)
+        side = dim.select(*[F.col(c).alias(("__on_" if c in on else prefix) + c) for c in dim.columns])
+        match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__on_{c}") for c in on], F.col(key) == F.col(prefix + dim_key))
+        df = df.join(side, match, "left").drop(prefix + dim_key, *[f"__on_{c}" for c in on])
     return df
 
 
