@@ -87,7 +87,7 @@ def thresholds(sized: DataFrame, goals: DataFrame, levels=LEVELS) -> DataFrame:
         )
         run = Window.partitionBy("source").orderBy("bucket")
         hist = hist.withColumn("upto", F.sum("n").over(run)).select(F.col("source").alias("s"), "bucket", "n", "upto")
-        at = state.select("source", "want").join(F.broadcast(hist), F.expr("source <=> s"), "left")
+        at = state.select("source", "want").join(hist, F.expr("source <=> s"), "left")
         # the bucket in which the running sum reaches what is wanted, and what the buckets before it give
         found = at.groupBy("source").agg(
             F.min(F.when(F.col("upto") >= F.col("want"), F.struct(F.col("bucket"), (F.col("upto") - F.col("n")).alias("before")))).alias("hit"),
