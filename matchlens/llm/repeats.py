@@ -5,7 +5,8 @@ the least hash; equal windows have equal anchors at equal distance, wherever the
 run, about one for every eight words or fourteen bytes.
 
 1. Runs are dealt out by their anchor's hash, as packed columns. Runs with the same tokens are repeats as a whole: all
-   but the first are decided.
+   but the first are decided. What a task finds repeated among its own runs is decided before the shuffle, so of a text that
+   stands in very many documents each task hands on one run only.
 2. Where one anchor has runs with different tokens, their first ones stay open: some windows may be shared, others not.
    Only of these the tokens are fetched, and dealt out by anchor; what is equal is decided window by window.
 3. Decided windows go back to their documents as intervals, each with a check sum of its tokens.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,9 @@ BUCKETS_EACH = 4
 #: Documents without an id count as the last ones.
 LAST = np.iinfo(np.int64).max
 
+#: Marks packed rows of runs that were decided before the shuffle; rows of at most so many.
+LOCAL, LOCAL_ROWS = -2, 20_000
+
 RUNS = "bucket int, run int, key32 binary, key16 binary, content binary, doc binary, lo binary, len binary"
 FOUND = "doc_id long, lo int, hi int, check int, key long"
 
@@ -66,14 +71,31 @@ def _tokens(data: np.ndarray, off: np.ndarray, w: Windows):
     return first, grams, spans, text
 
 
+def decided_among(key: np.ndarray, content: np.ndarray, doc: np.ndarray, lo: np.ndarray, w: Windows) -> np.ndarray:
+    """Runs whose tokens stand in an earlier one of these runs."""
+    order = np.lexsort((lo, doc, content, key))
+    k, c, d = key[order], content[order], doc[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+    later = ~new if w.same_document else d[np.flatnonzero(new)][np.cumsum(new) - 1] < d
+    out = np.zeros(len(key), bool)
+    out[order] = later
+    return out
+
+
 def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
-    """All runs of docs (doc_id, text), packed by bucket."""
+    """All runs of docs (doc_id, text), packed by bucket; those decided here in rows of their own (run = LOCAL), in any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, spread = [], 0, TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
+            nonlocal spread
             key, content, doc, lo, n = (np.concatenate(x) for x in zip(*parts))
+            known = decided_among(key, content, doc, lo, w)
+            at = np.flatnonzero(known)
+            at = at[np.lexsort((lo[at], doc[at]))]
+            local = (doc[at], lo[at].astype(np.int32), n[at].astype(np.int32), (content[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            key, content, doc, lo, n = (x[~known] for x in (key, content, doc, lo, n))
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((lo, doc, bucket))
             key, content, doc, lo, n, bucket = (x[order] for x in (key, content, doc, lo, n, bucket))
@@ -85,6 +107,12 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
                        vectors.pack(content[a:b]), vectors.pack(doc[a:b], True), vectors.pack(lo[a:b].astype(np.int32)), vectors.pack(n[a:b].astype(np.int32)))
                 for c, x in zip(cols, row):
                     c.append(x)
+            for a in range(0, len(at), LOCAL_ROWS):
+                d, first, length, check = (x[a : a + LOCAL_ROWS] for x in local)
+                spread += 1
+                row = (spread * 7919 % buckets, LOCAL, b"", b"", vectors.pack(check), vectors.pack(d, True), vectors.pack(first), vectors.pack(length))
+                for c, x in zip(cols, row):
+                    c.append(x)
             return packed_batch(cols)
 
         for batch in batches:
@@ -146,17 +174,22 @@ class Sorted:
 
 
 def sort_runs(rows: list[dict]) -> Sorted:
+    rows = [r for r in rows if r["run"] != LOCAL]
     parts = [(*unpacked(r), np.full(len(r["key32"]) // 4, r["run"] >= 0)) for r in rows]
+    parts = parts or [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32, bool))]
     key, content, doc, lo, n, old = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((lo, doc, content, key))
     key, content, doc, lo, n, old = (x[order] for x in (key, content, doc, lo, n, old))
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new_content = new_key | np.concatenate([[True], content[1:] != content[:-1]])
+    new_key, new_content = np.ones(len(key), bool), np.ones(len(key), bool)
+    new_key[1:] = key[1:] != key[:-1]
+    new_content[1:] = new_key[1:] | (content[1:] != content[:-1])
     return Sorted(key, content, doc, lo, n, old, new_content, np.cumsum(new_content) - 1, np.cumsum(new_key) - 1)
 
 
 def decide(s: Sorted, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(decided, open) runs of a bucket. Runs that an index already holds (old) are open again if a new one joins their anchor."""
+    if not len(s.key):
+        return np.zeros(0, bool), np.zeros(0, bool)
     first = np.flatnonzero(s.new_content)
     if w.same_document:
         decided = ~s.new_content
@@ -175,15 +208,25 @@ def decide(s: Sorted, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     return decided & ~s.old, undecided & several & (fresh > 0)[s.key_no]
 
 
-def found_batch(s: Sorted, bucket: int, decided: np.ndarray, still_open: np.ndarray) -> pa.RecordBatch:
+def found_batch(s: Sorted, bucket: int, decided: np.ndarray, still_open: np.ndarray, rows: list[dict]) -> pa.RecordBatch:
+    """FOUND rows of a bucket: its decided and open runs, and those that were decided before the shuffle."""
+    local = [r for r in rows if r["run"] == LOCAL]
     at = np.concatenate([np.flatnonzero(decided), np.flatnonzero(still_open)])
     nd = int(decided.sum())
     # a key's value is only a name here: the bucket is added so that equal bits of two buckets stay apart
     key = vectors.mix(s.key[at], bucket).view(np.int64)
     check = (s.content[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    valid = np.arange(len(at)) >= nd
+    more = lambda name, kind, delta=False: [vectors.unpack(r[name], kind, delta) for r in local]
+    lo, length = more("lo", np.int32), more("len", np.int32)
+    n = len(at) + sum(map(len, lo))
+    doc_id = np.concatenate([s.doc[at], *more("doc", np.int64, True)])
+    first = np.concatenate([s.lo[at], *lo])
+    last = first + np.concatenate([s.len[at], *length]) - 1
+    check = np.concatenate([check, *[c.view(np.int32) for c in more("content", np.uint32)]])
+    key = np.concatenate([key, np.zeros(n - len(at), np.int64)])
+    unnamed = (np.arange(n) < nd) | (np.arange(n) >= len(at))
     return pa.RecordBatch.from_arrays(
-        [pa.array(s.doc[at]), pa.array(s.lo[at]), pa.array((s.lo + s.len - 1)[at].astype(np.int32)), pa.array(check), pa.array(key, mask=~valid)],
+        [pa.array(doc_id), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(check), pa.array(key, mask=unnamed)],
         names=["doc_id", "lo", "hi", "check", "key"],
     )
 
@@ -202,7 +245,7 @@ def find_runs(docs: DataFrame, w: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
             s = sort_runs(rows)
-            yield found_batch(s, bucket, *decide(s, w))
+            yield found_batch(s, bucket, *decide(s, w), rows)
 
     return dealt(run_rows(docs, w, buckets_for(docs.sparkSession))).mapInArrow(run, FOUND)
 

@@ -64,7 +64,7 @@ def add_batch(index: Index, docs: DataFrame, w: repeats.Windows) -> DataFrame:
         for bucket, packed in repeats.by_bucket(batches):
             s = repeats.sort_runs(packed)
             new = _entries(s, bucket, s.new_content if compacting else s.new_content & ~s.old, number)
-            found = repeats.found_batch(s, bucket, *repeats.decide(s, w))
+            found = repeats.found_batch(s, bucket, *repeats.decide(s, w), packed)
             structs = pa.StructArray.from_arrays([found[c] for c in found.schema.names], names=found.schema.names)
             lists = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
             yield pa.RecordBatch.from_arrays([*new.columns, lists], names=[*new.schema.names, "found"])
