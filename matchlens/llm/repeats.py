@@ -297,7 +297,7 @@ def open_texts(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame:
     return joined.mapInArrow(run, "key long, doc_id long, lo int, data binary")
 
 
-def compare_open(rows: DataFrame, w: Windows, compare: Callable, limit: int = 8 << 20) -> DataFrame:
+def compare_open(rows: DataFrame, w: Windows, compare: Callable, limit: int = 1 << 20) -> DataFrame:
     """FOUND rows of the open runs' repeated windows. compare(tokens of whole anchor groups) marks the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,14 +5,13 @@ Everything works on pieces of about `PIECE_BYTES`, so a worker's memory doesn't
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: ASCII white space, the separators of words.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -28,21 +27,26 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(maxsize=4)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _powers(size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A byte table, powers of an odd base and of its inverse modulo 2**64."""
-    base = (int(mix(np.array([seed], np.uint64))[0]) | 1) % (1 << 64)
-    inverse = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[_U(1)], np.full(size, base, np.uint64)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[_U(1)], np.full(size, inverse, np.uint64)]), dtype=np.uint64)
-    return mix(np.arange(256, dtype=np.uint64), seed + 1), up, down
+    """A byte table, and at least `size` powers of an odd base and of its inverse modulo 2**64. A worker keeps the longest asked for."""
+    kept = _POWERS.get(seed)
+    if kept is None or len(kept[1]) <= size:
+        n = (size // (1 << 18) + 1) << 18
+        base = (int(mix(np.array([seed], np.uint64))[0]) | 1) % (1 << 64)
+        inverse = pow(base, -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            up = np.cumprod(np.concatenate([[_U(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
+            down = np.cumprod(np.concatenate([[_U(1)], np.full(n, inverse, np.uint64)]), dtype=np.uint64)
+        kept = _POWERS[seed] = mix(np.arange(256, dtype=np.uint64), seed + 1), up, down
+    return kept
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span: equal bytes, equal hash, wherever they stand."""
-    size = 1 << max(16, int(len(data)).bit_length())
-    table, up, down = _powers(size, seed)
+    table, up, down = _powers(len(data), seed)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(table[data] * up[: len(data)], out=sums[1:])
@@ -148,8 +152,7 @@ def anchored_runs(grams: np.ndarray, first: np.ndarray, width: int, gram: int) -
 
 def token_span_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """span_hashes over an array of token hashes."""
-    size = 1 << max(16, int(len(tokens)).bit_length())
-    _, up, down = _powers(size, seed)
+    _, up, down = _powers(len(tokens), seed)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(tokens) + 1, np.uint64)
         np.cumsum(mix(tokens, seed) * up[: len(tokens)], out=sums[1:])
