@@ -12,7 +12,7 @@ from .operators import aggregates as A
 from .operators import joins as J
 from .operators import windows as W
 from .plans import features, odds, reports
-from .standins import GAMES, PLAYS, PREDICTIONS, games, plays, predictions, table
+from .standins import FULL_PLAYS, GAMES, PLAYS, PREDICTIONS, full_plays, games, plays, predictions, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,6 +273,57 @@ def lookback_stat(spark, d):
     return r(features.window_stat(g, hist, "day", "away_team", "price").withColumnRenamed("away_team", "team"), price=4, price_sum=6)
 
 
+W_SQL = "greatest(exp(-3.0 * pow(date_diff('day', game_date, max(game_date) over (partition by ts, tw)) / 160.0, 3)), 0.05) as w"
+TEAM_STATS = "with " + FULL_PLAYS + f""", run as (select *, {W_SQL} from l where kind = 'run'), pass as (select *, {W_SQL} from l where kind = 'pass'), rp as (select *, {W_SQL} from l where kind in ('run', 'pass')),
+six as (select *, {W_SQL} from l where kind is not null), zp as (select ts, tw, sum(w) as z from pass group by 1, 2), zs as (select ts, tw, sum(w) as z from six group by 1, 2),
+a as (select ts, tw, pos as team, avg(yards) as off_run_ypp from run where pos is not null group by all), b as (select ts, tw, def as team, sum(yards * w) / sum(w) as def_run_ypp from run group by all),
+c as (select ts, tw, pos as team, sum(complete * w) / any_value(z) / count(*) as off_completion from pass join zp using (ts, tw) group by all),
+d as (select ts, tw, def as team, sum(conv * w) / nullif(sum(conv * w) + sum(failed * w), 0) as def_third from rp group by all),
+e as (select ts, tw, pos as team, sum(lost * w) / any_value(z) / count(*) as off_turnovers from six join zs using (ts, tw) group by all),
+f0 as (select ts, tw, game_id, series, def as team, avg(success) as m from l group by all), f as (select ts, tw, team, avg(m) as def_series from f0 group by all),
+g0 as (select ts, tw, game_id, drive, pos as team, avg(sec) as m from l group by all), g1 as (select ts, tw, game_id, team, sum(m) / 3600 as m from g0 group by all), g as (select ts, tw, team, avg(m) as off_possession from g1 group by all)
+select ts as season, tw as week, team, round(off_run_ypp, 6) as off_run_ypp, round(def_run_ypp, 6) as def_run_ypp, round(off_completion, 9) as off_completion, round(def_third, 6) as def_third,
+  round(off_turnovers, 9) as off_turnovers, round(def_series, 6) as def_series, round(off_possession, 6) as off_possession
+from a left join b using (ts, tw, team) left join c using (ts, tw, team) left join d using (ts, tw, team) left join e using (ts, tw, team) left join f using (ts, tw, team) left join g using (ts, tw, team)"""
+
+
+@query(TEAM_STATS)
+def team_stats(spark, d):
+    """The composite team statistics for all target months at once, a selection of their columns."""
+    p = full_plays(spark, d)
+    history = W.history_weeks(W.calendar(p, regular=F.col("week") <= 10), 3)
+    s = features.team_stats(p, history)
+    c = lambda name, alias: F.col(f"`{name}`").alias(alias)
+    out = s.select(
+        "season", "week", "team", "off_run_ypp", "def_run_ypp", c("off_pass_completion_%", "off_completion"), c("def_third_down_%", "def_third"), c("off_turnovers_pp", "off_turnovers"),
+        c("def_series_success_%", "def_series"), c("off_possession_%", "off_possession"),
+    )
+    return r(out, off_completion=9, off_turnovers=9)
+
+
+PASSERS = """with p as (select year(l_shipdate)::int as season, month(l_shipdate)::int as week, l_shipdate::date as game_date, case when l_returnflag = 'R' then 'P.' || l_suppkey % 20 end as passer,
+  case when l_returnflag = 'A' then 'P.' || l_partkey % 40 end as rusher, (l_discount > 0.08)::int as scr, nullif(l_quantity, 3.0) as ry, (l_tax > 0.05)::int as inc, (l_discount > 0.05)::int as cmp,
+  l_quantity as py, (l_quantity > 45)::int as ptd, (l_quantity = 7)::int as itc, (l_tax < 0.01)::int as sck, (l_quantity > 48)::int as rtd from lineitem),
+a as (select season, week, game_date, passer as name, sum(scr) as scr, coalesce(sum(ry), 0) as sy, sum(inc) as inc, sum(cmp) as cmp, sum(py) as py, sum(ptd) as ptd, sum(itc) as itc, sum(sck) as sck from p where passer is not null group by all),
+b as (select season, week, game_date, rusher as name, count(*) as ra, coalesce(sum(ry), 0) as ry, sum(rtd) as rtd from p where rusher is not null group by all)
+select season, week, game_date::varchar as game_date, name, round(-2.2 * (inc + cmp) + 3.7 * cmp + py / 5 + 11.3 * ptd - 14.1 * itc - 8 * sck - 1.1 * coalesce(ra + scr, 0) + 0.6 * coalesce(b.ry + sy, 0) + 15.9 * coalesce(rtd, 0), 4) as value
+from a left join b using (season, week, game_date, name)"""
+
+
+@query(PASSERS)
+def passer_games(spark, d):
+    """Each passer's value in each game; without a row as a rusher the scrambles are lost."""
+    c, n = F.col, lambda x: x.cast("double")
+    day = c("l_shipdate").cast("date")
+    p = table(spark, d, "lineitem").select(
+        F.year(day).alias("season"), F.month(day).alias("week"), day.alias("game_date"), F.when(c("l_returnflag") == "R", F.concat(F.lit("P."), (c("l_suppkey") % 20).cast("string"))).alias("passer"),
+        F.when(c("l_returnflag") == "A", F.concat(F.lit("P."), (c("l_partkey") % 40).cast("string"))).alias("rusher"), n(c("l_discount") > 0.08).alias("qb_scramble"), F.nullif("l_quantity", F.lit(3.0)).alias("rushing_yards"),
+        n(c("l_tax") > 0.05).alias("incomplete_pass"), n(c("l_discount") > 0.05).alias("complete_pass"), c("l_quantity").alias("passing_yards"), n(c("l_quantity") > 45).alias("pass_touchdown"), n(c("l_quantity") == 7).alias("interception"),
+        n(c("l_tax") < 0.01).alias("sack"), F.lit(1.0).alias("rush_attempt"), n(c("l_quantity") > 48).alias("rush_touchdown"),
+    )
+    return r(features.passer_games(p).withColumn("game_date", F.col("game_date").cast("string")), 4)
+
+
 # --- matchups -----------------------------------------------------------------------------------------------------
 
 MATCHUP = "with " + PLAYS + """, s as (select team, avg(case when play_type = 'A' then stat end) as off_run_ypp, avg(case when play_type = 'A' then discount end) as def_run_ypp,
