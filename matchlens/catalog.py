@@ -306,7 +306,7 @@ PASSERS = """with p as (select year(l_shipdate)::int as season, month(l_shipdate
   l_quantity as py, (l_quantity > 45)::int as ptd, (l_quantity = 7)::int as itc, (l_tax < 0.01)::int as sck, (l_quantity > 48)::int as rtd from lineitem),
 a as (select season, week, game_date, passer as name, sum(scr) as scr, coalesce(sum(ry), 0) as sy, sum(inc) as inc, sum(cmp) as cmp, sum(py) as py, sum(ptd) as ptd, sum(itc) as itc, sum(sck) as sck from p where passer is not null group by all),
 b as (select season, week, game_date, rusher as name, count(*) as ra, coalesce(sum(ry), 0) as ry, sum(rtd) as rtd from p where rusher is not null group by all)
-select season, week, game_date::varchar as game_date, name, round(-2.2 * (inc + cmp) + 3.7 * cmp + py / 5 + 11.3 * ptd - 14.1 * itc - 8 * sck - 1.1 * coalesce(ra + scr, 0) + 0.6 * coalesce(b.ry + sy, 0) + 15.9 * coalesce(rtd, 0), 4) as value
+select season, week, game_date::varchar as game_date, name, round(-2.2 * (inc + cmp) + 3.7 * cmp + py / 5 + 11.3 * ptd - 14.1 * itc - 8 * sck - 1.1 * coalesce(ra + scr, 0) + 0.6 * coalesce(b.ry + sy, 0) + 15.9 * coalesce(rtd, 0), 4) + 0.0 as value
 from a left join b using (season, week, game_date, name)"""
 
 
