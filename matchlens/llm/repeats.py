@@ -12,7 +12,8 @@ run, about one for every eight words or fourteen bytes.
 3. Decided windows go back to their documents as intervals, each with a check sum of its tokens.
 
 Every step deals out by hash over all tasks; what a task holds at once is a bucket of runs or a few groups of open runs.
-A group of open runs holds the distinct surroundings of one anchor: copies have been merged before.
+A group of open runs holds the distinct surroundings of one anchor: copies have been merged before. Groups of more than CROWD are not
+gathered: their windows are dealt out one by one.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BUCKETS_EACH = 4
 #: Documents without an id count as the last ones.
 LAST = np.iinfo(np.int64).max
 
+#: Open runs of one anchor that may meet in a task, and the number of anchors beyond it up to which their list is broadcast.
+CROWD, CROWDED_ROWS = 2_000, 500_000
 #: Marks packed rows of runs that were decided before the shuffle; rows of at most so many.
 LOCAL, LOCAL_ROWS = -2, 20_000
 
@@ -348,6 +351,49 @@ def compare_open(rows: DataFrame, w: Windows, compare: Callable, limit: int = 1
     return spread.mapInArrow(run, FOUND)
 
 
+def compare_crowded(rows: DataFrame, w: Windows) -> DataFrame:
+    """FOUND rows of the repeated windows of open runs around anchors that have very many of them: one row a window, dealt out by
+    the window's own fingerprint, so that no group has to fit in a task (the earliest is a partial aggregate, the join can be split)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = batch["data"].to_pylist()
+            data, off = np.frombuffer(b"".join(body), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in body])]).astype(np.int64)
+            first, _, spans, _ = _tokens(data, off, w)
+            n = np.maximum(0, np.diff(first) - w.width + 1)
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][row]
+            a = spans(at, at + w.width)
+            if w.words:
+                starts, ends, _ = vectors.words(data, off)
+                b = vectors.token_span_hashes(vectors.span_hashes(data, starts, ends, 71), at, at + w.width, 72)
+            else:
+                b = vectors.span_hashes(data, at, at + w.width, 71)
+            place = (at - first[row] + batch["lo"].to_numpy()[row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(batch["doc_id"].to_numpy()[row]), pa.array(place)], names=["a", "b", "doc_id", "lo"])
+
+    windows = rows.select("doc_id", "lo", "data").mapInArrow(run, "a long, b long, doc_id long, lo int")
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
+    later = (F.struct("doc_id", "lo") > F.col("first")) if w.same_document else (F.col("doc_id") > F.col("first.doc_id"))
+    # a fingerprint's low half is the check sum of its tokens
+    check = F.when(F.col("a").bitwiseAND(F.lit(0x80000000)) != 0, F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 32)).otherwise(F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)))
+    hit = windows.join(first, ["a", "b"]).where(later)
+    return hit.select("doc_id", "lo", F.col("lo").alias("hi"), check.cast("int").alias("check"), F.lit(None).cast("long").alias("key"))
+
+
+def repeated_windows(docs: DataFrame, open_rows: DataFrame, w: Windows, compare: Callable) -> DataFrame:
+    """FOUND rows of all open runs: anchors with up to CROWD of them are compared in a task each, the others window by window."""
+    per_key = open_rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(F.col("key").alias("k"))
+    crowded = common.written(per_key, "crowded-anchors")
+    some = crowded.count()
+    if not some:
+        return compare_open(open_texts(docs, open_rows, w), w, compare)
+    marked = F.broadcast(crowded) if some <= CROWDED_ROWS else crowded
+    few = open_rows.join(marked, F.col("key") == F.col("k"), "left_anti")
+    many = open_rows.join(marked, F.col("key") == F.col("k"), "left_semi")
+    return compare_open(open_texts(docs, few, w), w, compare).unionByName(compare_crowded(open_texts(docs, many, w), w))
+
+
 def removed(docs: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
     """doc_id, n_tokens, n_removed, n_spans, kept (text without the removed tokens) of every document."""
 

@@ -72,8 +72,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_tokens (bytes), n_removed, n_spans, kept (the remaining bytes) of every document."""
     w = repeats.Windows(width, gram, words=False, same_document=False)
     found = common.written(repeats.find_runs(docs, w), "suffix-runs")
-    open_runs = repeats.open_texts(docs, found.where("key is not null"), w)
-    windows = repeats.compare_open(open_runs, w, by_doubling)
+    windows = repeats.repeated_windows(docs, found.where("key is not null"), w, by_doubling)
     return repeats.removed(docs, found.where("key is null").unionByName(windows), w)
 
 

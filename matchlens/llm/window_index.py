@@ -110,8 +110,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
     for batch in batches_of(docs, batches):
         one = add_batch(index, batch, w)
         found = one if found is None else found.unionByName(one)
-    open_runs = repeats.open_texts(docs, found.where("key is not null").distinct(), w)
-    windows = repeats.compare_open(open_runs, w, by_words)
+    windows = repeats.repeated_windows(docs, found.where("key is not null").distinct(), w, by_words)
     return repeats.removed(docs, found.where("key is null").unionByName(windows), w)
 
 

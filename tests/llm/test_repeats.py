@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from matchlens.llm import suffix_dedup, vectors, window_index
+from matchlens.llm import repeats, suffix_dedup, vectors, window_index
 
 DOCS = "doc_id long, text string, node int, bucket string, key double, found string, d int"
 
@@ -19,7 +19,9 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, 1, "b", 0.5, None, 3) for r in rows], DOCS).repartition(5)
 
 
-def test_bytes(spark):
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 3])
+def test_bytes(spark, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rnd = random.Random(7)
     parts = ["".join(rnd.choice("abcde é") for _ in range(rnd.randint(5, 120))) for _ in range(30)] + ["a" * 130, "ab" * 80, " " * 70]
     rows = made(1, parts)
@@ -27,7 +29,9 @@ def test_bytes(spark):
     assert got == brute.byte_repeats(rows)
 
 
-def test_words(spark):
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 3])
+def test_words(spark, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rnd = random.Random(7)
     parts = [" ".join(rnd.choice(["a", "bb", "c", "é", "D"]) for _ in range(rnd.randint(5, 40))) + " " for _ in range(30)] + ["a " * 60, "a b " * 40, "\n \t x "]
     rows = made(2, parts)
