@@ -524,7 +524,7 @@ def head_sorted(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select("o_orderkey", "o_totalprice")
 
 
-@query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as idx from orders")
+@query("select o_custkey, o_orderkey, (row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1)::int as idx from orders")
 def row_number_out(spark, d):
     from pyspark.sql import Window
 
