@@ -58,3 +58,10 @@ def n_words(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: fewer rows in an Arrow batch bound what a task holds on both sides. Never raises a smaller setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -133,6 +133,7 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
         if parts:
             yield out()
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RUNS)
 
 
@@ -296,7 +297,8 @@ def open_texts(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame:
                     ids = rows["doc_id"].to_numpy()[row]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array((lo - first[row]).astype(np.int32)), pa.array(body, pa.binary())], names=["key", "doc_id", "lo", "data"])
 
-    joined = _texts(docs).join(_per_document(open_runs), F.expr("doc_id = d")).select("doc_id", "text", "found")
+    # the same columns as removed() reads, so that Spark reuses the one exchange of texts
+    joined = _texts(docs).join(_per_document(open_runs), F.expr("doc_id = d")).select("doc_id", "no_id", "text", "found")
     return joined.mapInArrow(run, "key long, doc_id long, lo int, data binary")
 
 

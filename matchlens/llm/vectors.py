@@ -27,26 +27,23 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+#: Of an odd base (fixed value), and of its inverse modulo 2**64; a worker keeps the longest powers asked for.
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A byte table, and at least `size` powers of an odd base and of its inverse modulo 2**64. A worker keeps the longest asked for."""
-    kept = _POWERS.get(seed)
-    if kept is None or len(kept[1]) <= size:
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least `size` powers of the base and of its inverse. Seeds differ in what they make of a byte, not in the base."""
+    if not _POWERS or len(_POWERS[0]) <= size:
         n = (size // (1 << 18) + 1) << 18
-        base = (int(mix(np.array([seed], np.uint64))[0]) | 1) % (1 << 64)
-        inverse = pow(base, -1, 1 << 64)
         with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[_U(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
-            down = np.cumprod(np.concatenate([[_U(1)], np.full(n, inverse, np.uint64)]), dtype=np.uint64)
-        kept = _POWERS[seed] = mix(np.arange(256, dtype=np.uint64), seed + 1), up, down
-    return kept
+            _POWERS[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span: equal bytes, equal hash, wherever they stand."""
-    table, up, down = _powers(len(data), seed)
+    table, (up, down) = mix(np.arange(256, dtype=np.uint64), seed + 1), _powers(len(data))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(table[data] * up[: len(data)], out=sums[1:])
@@ -152,7 +149,7 @@ def anchored_runs(grams: np.ndarray, first: np.ndarray, width: int, gram: int) -
 
 def token_span_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """span_hashes over an array of token hashes."""
-    _, up, down = _powers(len(tokens), seed)
+    up, down = _powers(len(tokens))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(tokens) + 1, np.uint64)
         np.cumsum(mix(tokens, seed) * up[: len(tokens)], out=sums[1:])
