@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 #: Runs that a task gathers before it hands them on in packed form.
-GATHER = 400_000
+GATHER = 150_000
 #: Buckets of anchors a shuffle partition.
-BUCKETS_EACH = 4
+BUCKETS_EACH = 8
 #: Documents without an id count as the last ones.
 LAST = np.iinfo(np.int64).max
 
