@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 18
+#: Places that sliding_argmin numbers at once (24 bits).
+PLACES = 1 << 24
 #: ASCII white space, the separators of words.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -109,12 +111,24 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values the place of the first smallest one (by the leading 40 bits)."""
+    """For each window of w values the place of the first smallest one (by the leading 40 bits).
+
+    Places take 24 bits, so longer arrays are taken in slices of fewer than `PLACES`, which overlap by a window.
+    """
+    n = max(0, len(values) - w + 1)
+    step = PLACES - w
+    if n <= step:
+        return _argmin_slice(values, w)
+    out = np.empty(n, np.int64)
+    for a in range(0, n, step):
+        out[a : a + step] = _argmin_slice(values[a : a + step + w - 1], w) + a
+    return out
+
+
+def _argmin_slice(values: np.ndarray, w: int) -> np.ndarray:
     n = len(values)
     if n < w:
         return np.zeros(0, np.int64)
-    if n >= 1 << 24:
-        raise ValueError("cut the array first")
     low = _U((1 << 24) - 1)
     x = (values & ~low) | np.arange(n, dtype=np.uint64)
     pad = (-n) % w
