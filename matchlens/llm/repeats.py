@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, vectors
@@ -35,7 +35,7 @@ GATHER = 150_000
 #: Buckets of anchors a shuffle partition.
 BUCKETS_EACH = 8
 #: Documents without an id count as the last ones.
-LAST = np.iinfo(np.int64).max
+LAST = int(np.iinfo(np.int64).max)
 
 #: Open runs of one anchor that may meet in a task, and the number of anchors beyond it up to which their list is broadcast.
 CROWD, CROWDED_ROWS = 2_000, 500_000
@@ -48,12 +48,34 @@ FOUND = "doc_id long, lo int, hi int, check int, key long"
 
 @dataclass(frozen=True)
 class Windows:
-    """width, gram: in tokens. Tokens are bytes or words. same_document: repeats within a document count."""
+    """width, gram: in tokens. Tokens are bytes or words. same_document: repeats within a document count.
+
+    last: the greatest id; what is beyond names documents without one, which are no earlier documents to each other.
+    """
 
     width: int
     gram: int
     words: bool
     same_document: bool
+    last: int = LAST
+
+
+def id_of(w: Windows) -> Column:
+    """A document's id. Without one: LAST, or, if w.last leaves room, a number beyond it that only equal texts share."""
+    own = F.lit(w.last + 1) + F.pmod(F.xxhash64("text"), F.lit(LAST - w.last)) if w.last < LAST else F.lit(LAST)
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
+def later(new: np.ndarray, doc: np.ndarray, lo: np.ndarray, w: Windows) -> np.ndarray:
+    """Of equal entries (groups begin where new holds, sorted by document and place within): those that an earlier document or place
+    has too. The same place of the same document isn't earlier: rows may be repeated."""
+    first = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = (first < doc) & (first <= w.last)
+    if w.same_document:
+        own = new.copy()
+        own[1:] |= doc[1:] != doc[:-1]
+        out |= lo > lo[np.flatnonzero(own)[np.cumsum(own) - 1]]
+    return out
 
 
 def _tokens(data: np.ndarray, off: np.ndarray, w: Windows):
@@ -77,11 +99,10 @@ def _tokens(data: np.ndarray, off: np.ndarray, w: Windows):
 def decided_among(key: np.ndarray, content: np.ndarray, doc: np.ndarray, lo: np.ndarray, w: Windows) -> np.ndarray:
     """Runs whose tokens stand in an earlier one of these runs."""
     order = np.lexsort((lo, doc, content, key))
-    k, c, d = key[order], content[order], doc[order]
+    k, c = key[order], content[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-    later = ~new if w.same_document else d[np.flatnonzero(new)][np.cumsum(new) - 1] < d
     out = np.zeros(len(key), bool)
-    out[order] = later
+    out[order] = later(new, doc[order], lo[order], w)
     return out
 
 
@@ -124,7 +145,7 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
                 row, lo, hi, at = vectors.anchored_runs(grams, first, w.width, w.gram)
                 if not len(row):
                     continue
-                ids = rows["doc_id"].fill_null(LAST).to_numpy()
+                ids = rows["doc_id"].to_numpy()
                 parts.append((grams[at], spans(lo, hi + w.width), ids[row], lo - first[row], hi - lo + 1))
                 held += len(row)
                 if held >= GATHER:
@@ -134,7 +155,7 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
             yield out()
 
     common.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RUNS)
+    return docs.select(id_of(w).alias("doc_id"), "text").mapInArrow(run, RUNS)
 
 
 def packed_batch(cols: list[list]) -> pa.RecordBatch:
@@ -173,7 +194,6 @@ class Sorted:
     len: np.ndarray
     old: np.ndarray
     new_content: np.ndarray
-    content_no: np.ndarray
     key_no: np.ndarray
 
 
@@ -187,7 +207,7 @@ def sort_runs(rows: list[dict]) -> Sorted:
     new_key, new_content = np.ones(len(key), bool), np.ones(len(key), bool)
     new_key[1:] = key[1:] != key[:-1]
     new_content[1:] = new_key[1:] | (content[1:] != content[:-1])
-    return Sorted(key, content, doc, lo, n, old, new_content, np.cumsum(new_content) - 1, np.cumsum(new_key) - 1)
+    return Sorted(key, content, doc, lo, n, old, new_content, np.cumsum(new_key) - 1)
 
 
 def decide(s: Sorted, w: Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -195,10 +215,7 @@ def decide(s: Sorted, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     if not len(s.key):
         return np.zeros(0, bool), np.zeros(0, bool)
     first = np.flatnonzero(s.new_content)
-    if w.same_document:
-        decided = ~s.new_content
-    else:
-        decided = s.doc[first][s.content_no] < s.doc
+    decided = later(s.new_content, s.doc, s.lo, w)
     undecided = ~decided
     contents = np.bincount(s.key_no, s.new_content)
     several = contents[s.key_no] > 1
@@ -254,8 +271,8 @@ def find_runs(docs: DataFrame, w: Windows) -> DataFrame:
     return dealt(run_rows(docs, w, buckets_for(docs.sparkSession))).mapInArrow(run, FOUND)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+def _texts(docs: DataFrame, w: Windows) -> DataFrame:
+    return docs.select(id_of(w).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
 
 
 def _per_document(found: DataFrame) -> DataFrame:
@@ -298,7 +315,7 @@ def open_texts(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array((lo - first[row]).astype(np.int32)), pa.array(body, pa.binary())], names=["key", "doc_id", "lo", "data"])
 
     # the same columns as removed() reads, so that Spark reuses the one exchange of texts
-    joined = _texts(docs).join(_per_document(open_runs), F.expr("doc_id = d")).select("doc_id", "no_id", "text", "found")
+    joined = _texts(docs, w).join(_per_document(open_runs), F.expr("doc_id = d")).select("doc_id", "no_id", "text", "found")
     return joined.mapInArrow(run, "key long, doc_id long, lo int, data binary")
 
 
@@ -376,10 +393,15 @@ def compare_crowded(rows: DataFrame, w: Windows) -> DataFrame:
 
     windows = rows.select("doc_id", "lo", "data").mapInArrow(run, "a long, b long, doc_id long, lo int")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
-    later = (F.struct("doc_id", "lo") > F.col("first")) if w.same_document else (F.col("doc_id") > F.col("first.doc_id"))
+    past = (F.struct("doc_id", "lo") > F.col("first")) if w.same_document else (F.col("doc_id") > F.col("first.doc_id"))
     # a fingerprint's low half is the check sum of its tokens
     check = F.when(F.col("a").bitwiseAND(F.lit(0x80000000)) != 0, F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 32)).otherwise(F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)))
-    hit = windows.join(first, ["a", "b"]).where(later)
+    hit = windows.join(first, ["a", "b"])
+    if w.same_document and w.last < LAST:
+        own = windows.where(F.col("doc_id") > w.last).groupBy("a", "b", "doc_id").agg(F.min("lo").alias("own"))
+        hit = hit.join(own, ["a", "b", "doc_id"], "left")
+        past = F.when(F.col("doc_id") > w.last, (F.col("first.doc_id") <= w.last) | (F.col("lo") > F.col("own"))).otherwise(past)
+    hit = hit.where(past)
     return hit.select("doc_id", "lo", F.col("lo").alias("hi"), check.cast("int").alias("check"), F.lit(None).cast("long").alias("key"))
 
 
@@ -424,7 +446,7 @@ def removed(docs: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
                     names=["doc_id", "no_id", "n_tokens", "n_removed", "n_spans", "kept"],
                 )
 
-    joined = _texts(docs).join(_per_document(found), F.expr("doc_id = d"), "left").select("doc_id", "no_id", "text", "found")
+    joined = _texts(docs, w).join(_per_document(found), F.expr("doc_id = d"), "left").select("doc_id", "no_id", "text", "found")
     out = joined.mapInArrow(run, "doc_id long, no_id boolean, n_tokens long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 

@@ -9,9 +9,9 @@ are `MAX_TABLES` already, the merge, which has all of them in hand, writes one c
 
 Batches are taken in order of doc_id, so everything in the index is earlier than the batch.
 
-Edge cases: null has no words; fewer than 20 words lose nothing; rows of one id and equal place: the one that is sorted
-first counts as earlier, and repeated rows of one id are told apart by their text only; documents without an id come last;
-an empty table gives an empty result; other columns are ignored.
+Edge cases: null has no words; fewer than 20 words lose nothing; rows of one id are one document, and windows at the same place
+of it aren't earlier than each other, so a repeated row loses nothing by its copy; documents without an id come after all
+others and are no repeats of each other (2**63 - 1 counts as no id); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,12 +82,12 @@ def by_words(key, at, doc, place, token_spans, data, w: repeats.Windows) -> np.n
     h = [vectors.span_hashes(data, starts, ends, seed) for seed in (61, 62)]
     a, b = (vectors.token_span_hashes(x, at, at + w.width, 63) for x in h)
     order = np.lexsort((place, doc, b, a, key))
-    same = np.ones(len(order), bool)
+    new = np.zeros(len(order), bool)
     for x in (key, a, b):
-        same[1:] &= x[order][1:] == x[order][:-1]
-    same[:1] = False
+        new[1:] |= x[order][1:] != x[order][:-1]
+    new[:1] = True
     hit = np.zeros(len(at), bool)
-    hit[order] = same
+    hit[order] = repeats.later(new, doc[order], place[order], w)
     return hit
 
 
@@ -103,9 +103,16 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
+def last_id(docs: DataFrame) -> int:
+    """The greatest id (0 at least), if there are documents without one; else what Windows has."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("i"))
+    most, none = ids.agg(F.max("i"), F.count_if(F.col("i").isNull())).first()
+    return min(max(most or 0, 0), repeats.LAST - 1) if none else repeats.LAST
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_tokens (words), n_removed, n_spans, kept (the remaining words, one space between) of every document."""
-    w = repeats.Windows(width, gram, words=True, same_document=True)
+    w = repeats.Windows(width, gram, words=True, same_document=True, last=last_id(docs))
     index, found = Index(docs.sparkSession), None
     for batch in batches_of(docs, batches):
         one = add_batch(index, batch, w)
