@@ -109,6 +109,13 @@ def ratio_conv_failed(spark, d):
     return r(p.select("team", "play_type", S.ratio(F.col("m"), F.col("m") + F.col("f")).alias("rate")))
 
 
+@query("with " + PLAYS + " select team, opponent, play_type, round(sum(made) / nullif(sum(made) + sum(failed), 0), 6) as rate from plays group by all")
+def ratio_conv_failed_all(spark, d):
+    """Of all plays; groups are fine enough for some without a try."""
+    p = plays(spark, d).groupBy("team", "opponent", "play_type").agg(F.sum("made").alias("m"), F.sum("failed").alias("f"))
+    return r(p.select("team", "opponent", "play_type", S.ratio(F.col("m"), F.col("m") + F.col("f")).alias("rate")))
+
+
 @query("with " + PLAYS + """, s as (select game_id, series, team, coalesce(sum(nstat), 0) / count(*) as m from plays group by all)
 select team, round(sum(m) / count(*), 6) as nstat from s group by team""")
 def two_level(spark, d):
@@ -388,6 +395,14 @@ def right_then_drop(spark, d):
     return J.right_then_drop(games(spark, d), c, ["away_team"], "game_id").select("season", "week", "away_team", "game_id", "rating")
 
 
+@query("select c_custkey as team, o_orderkey as game_id, o_orderdate as kickoff, c_acctbal as rating from orders right join customer on o_custkey = c_custkey where o_orderkey is not null")
+def right_then_drop_all(spark, d):
+    """Whole tables over a key that is unique on one side; customers without an order are what is dropped."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("team"), F.col("o_orderkey").alias("game_id"), F.col("o_orderdate").alias("kickoff"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("team"), F.col("c_acctbal").alias("rating"))
+    return J.right_then_drop(o, c, ["team"], "game_id").select("team", "game_id", "kickoff", "rating")
+
+
 NULLSAFE = """with a as (select nullif(c_nationkey, 3) as k, nullif(c_mktsegment, 'MACHINERY') as m, count(*) as a_n from customer group by 1, 2),
 b as (select nullif(s_nationkey, 3) as k, s_suppkey from supplier) select a.k, m, a_n, s_suppkey from a left join b on a.k is not distinct from b.k"""
 
@@ -412,6 +427,14 @@ def attr_lookup(spark, d):
     return J.attr_lookup(g.select(*keys), other, keys, "game_date").withColumn("game_date", F.col("game_date").cast("string"))
 
 
+@query("with " + GAMES + ", w as (select distinct season, week, home_team, away_team, kickoff::date as game_date from games where status = 'F') select distinct g.season, g.week, g.home_team, g.away_team, game_date::varchar as game_date from games g left join w using (season, week, home_team, away_team)")
+def attr_lookup_all(spark, d):
+    """The look-up side has all finished games; others have no date yet."""
+    g, keys = games(spark, d), ["season", "week", "home_team", "away_team"]
+    other = g.where("status = 'F'").withColumn("game_date", F.to_date("kickoff"))
+    return J.attr_lookup(g.select(*keys), other, keys, "game_date").withColumn("game_date", F.col("game_date").cast("string"))
+
+
 # --- filters and projections --------------------------------------------------------------------------------------
 
 @query("with " + GAMES + " select game_id, (season = 1999 and week = 5)::int as predict from games where not (season = 2000 and week > 3)")
