@@ -12,6 +12,7 @@ from .operators import aggregates as A
 from .operators import joins as J
 from .operators import windows as W
 from .plans import features, odds, reports
+from .sources import tables
 from .standins import FULL_PLAYS, GAMES, PLAYS, PREDICTIONS, full_plays, games, plays, predictions, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -563,7 +564,10 @@ def abbr_dimension(spark, d):
 
 @query("with " + GAMES + " select season, count(*) as n, count(distinct week) as weeks from games group by season")
 def landed_tables(spark, d):
-    return games(spark, d).groupBy("season").agg(F.count("*").alias("n"), F.countDistinct("week").alias("weeks"))
+    """Lands all games by season in the shared folder and counts what is read back."""
+    path = tables.shared_path(spark, "landed-games")
+    tables.write_by_season(games(spark, d), path)
+    return tables.parquet(spark, path).groupBy("season").agg(F.count("*").alias("n"), F.countDistinct("week").alias("weeks"))
 
 
 @query("with " + GAMES + " select game_id, kickoff, away_team from games order by kickoff nulls last, away_team, game_id limit 50")
@@ -571,6 +575,12 @@ def report_sort(spark, d):
     return games(spark, d).orderBy(F.asc_nulls_last("kickoff"), F.asc_nulls_last("away_team"), "game_id").limit(50).select("game_id", "kickoff", "away_team")
 
 
+@query("with " + GAMES + " select game_id, kickoff, away_team from games order by kickoff nulls last, away_team, game_id")
+def report_sort_all(spark, d):
+    """All games in order: a full sort, dealt out by ranges."""
+    return games(spark, d).select("game_id", "kickoff", "away_team").orderBy(F.asc_nulls_last("kickoff"), F.asc_nulls_last("away_team"), "game_id")
+
+
 @query("with " + GAMES + ", k as (select distinct season, week from games) select season, week from (select *, row_number() over (order by season, week) as rn from k) where rn > 12")
 def newest_minus_oldest(spark, d):
     return W.newest_without_oldest(games(spark, d), ["season", "week"], 12)

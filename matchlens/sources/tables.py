@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -60,6 +62,12 @@ def predictions_csv(spark: SparkSession, directory: str, lookback: int | None =
     return rows.drop("__file", "__lookback")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses in the folder that driver and executors share; in a local one where the session names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
