@@ -5,7 +5,8 @@ one returns the token store's digest. `run` applies them to the documents table,
 
 Edge cases, for every stage: a null or empty text has no language and goes in the first stage; the other stages keep it (its set is
 like nothing, it holds no passage, the mixture takes its 0 words by the same hash rule as others, its tokens are the end id). Null
-lang, source, doc_id and n_chars are kept as they are, and a null source is a source of its own; repeated rows of one id are one
+lang, source, doc_id and n_chars are kept as they are, and a null source is a source of its own; documents without an id come last in
+their group of near copies, each on its own, so that one stays if all of a group are without; repeated rows of one id are one
 document to the near-copy and passage stages, which keep or drop them together; other columns are dropped; an empty table stays empty.
 """
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common, vectors
+from . import common, repeats, vectors
 from .components import components
 
 BITS = 1024
@@ -334,9 +334,18 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
-    """docs without all but the first document of each class."""
-    drop = classes(docs, rule).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(drop, F.expr("doc_id <=> __dropped"), "left_anti")
+    """docs without all but the first document of each class. Documents without an id come after all others and are told apart by
+    their text; of equal ones a single row stays, unless the text has no word."""
+    last = repeats.last_id(docs)
+    keyed = docs.withColumn("__id", repeats.id_of(last))
+    found = classes(keyed.select(F.col("__id").alias("doc_id"), "text"), rule)
+    drop = found.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    left = keyed.join(drop, F.expr("__id = __dropped"), "left_anti")
+    if last == repeats.LAST:
+        return left.drop("__id")
+    copies = F.col("doc_id").isNull() & (common.n_words(F.col("text")) > 0)
+    once = left.where(copies).groupBy("__id", "text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.where(~copies).drop("__id").unionByName(once)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

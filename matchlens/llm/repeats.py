@@ -60,9 +60,16 @@ class Windows:
     last: int = LAST
 
 
-def id_of(w: Windows) -> Column:
-    """A document's id. Without one: LAST, or, if w.last leaves room, a number beyond it that only equal texts share."""
-    own = F.lit(w.last + 1) + F.pmod(F.xxhash64("text"), F.lit(LAST - w.last)) if w.last < LAST else F.lit(LAST)
+def last_id(docs: DataFrame) -> int:
+    """The greatest id (0 at least), if there are documents without one; else LAST."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("i"))
+    most, none = ids.agg(F.max("i"), F.count_if(F.col("i").isNull())).first()
+    return min(max(most or 0, 0), LAST - 1) if none else LAST
+
+
+def id_of(last: int) -> Column:
+    """A document's id. Without one: LAST, or, if `last` leaves room, a number beyond it that only equal texts share."""
+    own = F.lit(last + 1) + F.pmod(F.xxhash64("text"), F.lit(LAST - last)) if last < LAST else F.lit(LAST)
     return F.coalesce(F.col("doc_id").cast("long"), own)
 
 
@@ -155,7 +162,7 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
             yield out()
 
     common.small_batches(docs.sparkSession)
-    return docs.select(id_of(w).alias("doc_id"), "text").mapInArrow(run, RUNS)
+    return docs.select(id_of(w.last).alias("doc_id"), "text").mapInArrow(run, RUNS)
 
 
 def packed_batch(cols: list[list]) -> pa.RecordBatch:
@@ -272,7 +279,7 @@ def find_runs(docs: DataFrame, w: Windows) -> DataFrame:
 
 
 def _texts(docs: DataFrame, w: Windows) -> DataFrame:
-    return docs.select(id_of(w).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    return docs.select(id_of(w.last).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
 
 
 def _per_document(found: DataFrame) -> DataFrame:

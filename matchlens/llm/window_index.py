@@ -103,16 +103,9 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-def last_id(docs: DataFrame) -> int:
-    """The greatest id (0 at least), if there are documents without one; else what Windows has."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("i"))
-    most, none = ids.agg(F.max("i"), F.count_if(F.col("i").isNull())).first()
-    return min(max(most or 0, 0), repeats.LAST - 1) if none else repeats.LAST
-
-
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_tokens (words), n_removed, n_spans, kept (the remaining words, one space between) of every document."""
-    w = repeats.Windows(width, gram, words=True, same_document=True, last=last_id(docs))
+    w = repeats.Windows(width, gram, words=True, same_document=True, last=repeats.last_id(docs))
     index, found = Index(docs.sparkSession), None
     for batch in batches_of(docs, batches):
         one = add_batch(index, batch, w)
