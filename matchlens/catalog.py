@@ -281,32 +281,43 @@ def lookback_stat(spark, d):
     return r(features.window_stat(g, hist, "day", "away_team", "price").withColumnRenamed("away_team", "team"), price=4, price_sum=6)
 
 
-W_SQL = "greatest(exp(-3.0 * pow(date_diff('day', game_date, max(game_date) over (partition by ts, tw)) / 160.0, 3)), 0.05) as w"
-TEAM_STATS = "with " + FULL_PLAYS + f""", run as (select *, {W_SQL} from l where kind = 'run'), pass as (select *, {W_SQL} from l where kind = 'pass'), rp as (select *, {W_SQL} from l where kind in ('run', 'pass')),
-six as (select *, {W_SQL} from l where kind is not null), zp as (select ts, tw, sum(w) as z from pass group by 1, 2), zs as (select ts, tw, sum(w) as z from six group by 1, 2),
-a as (select ts, tw, pos as team, avg(yards) as off_run_ypp from run where pos is not null group by all), b as (select ts, tw, def as team, sum(yards * w) / sum(w) as def_run_ypp from run group by all),
-c as (select ts, tw, pos as team, sum(complete * w) / any_value(z) / count(*) as off_completion from pass join zp using (ts, tw) group by all),
-d as (select ts, tw, def as team, sum(conv * w) / nullif(sum(conv * w) + sum(failed * w), 0) as def_third from rp group by all),
-e as (select ts, tw, pos as team, sum(lost * w) / any_value(z) / count(*) as off_turnovers from six join zs using (ts, tw) group by all),
-f0 as (select ts, tw, game_id, series, def as team, avg(success) as m from l group by all), f as (select ts, tw, team, avg(m) as def_series from f0 group by all),
-g0 as (select ts, tw, game_id, drive, pos as team, avg(sec) as m from l group by all), g1 as (select ts, tw, game_id, team, sum(m) / 3600 as m from g0 group by all), g as (select ts, tw, team, avg(m) as off_possession from g1 group by all)
-select ts as season, tw as week, team, round(off_run_ypp, 6) as off_run_ypp, round(def_run_ypp, 6) as def_run_ypp, round(off_completion, 9) as off_completion, round(def_third, 6) as def_third,
-  round(off_turnovers, 9) as off_turnovers, round(def_series, 6) as def_series, round(off_possession, 6) as off_possession
-from a left join b using (ts, tw, team) left join c using (ts, tw, team) left join d using (ts, tw, team) left join e using (ts, tw, team) left join f using (ts, tw, team) left join g using (ts, tw, team)"""
+def _weight(cond: str) -> str:
+    return f"case when {cond} then greatest(exp(-3.0 * pow(date_diff('day', game_date, max(game_date) filter (where {cond}) over (partition by ts, tw)) / 160.0, 3)), 0.05) end"
+
+
+def _side(team: str) -> str:
+    """One side's metrics; a sum over nulls alone is 0, as the data-frame library of the original takes it."""
+    sums = lambda x, w: f"coalesce(sum({x} * {w}), 0)"
+    per = lambda x, w: f"{sums(x, 'w' + w)} / any_value(z{w}) / nullif(count(w{w}), 0)"
+    share = lambda x, y: f"sum({x} * wb) / nullif(sum({x} * wb) + sum({y} * wb), 0)"
+    return f"""select ts, tw, {team} as team, avg(yards) filter (where kind = 'run') as plain_ypp, count(*) filter (where kind = 'run') as runs, {sums('yards', 'wr')} / sum(wr) as run_ypp, {sums('yards', 'wp')} / sum(wp) as pass_ypp,
+  count(wr) / nullif(count(wb), 0) as run_share, nullif(count(wp), 0) / nullif(count(wb), 0) as pass_share, {per('complete', 'p')} as completion, {per('first', 'b')} as first_down, {share('conv', 'failed')} as third,
+  {share('conv4', 'failed4')} as fourth, {per('lost', 's')} as turnovers, {per('pen', 'a')} as penalties from u join z using (ts, tw) where {team} is not null group by all"""
+
+
+TEAM_METRICS = {
+    "run_ypp": ("run_ypp", 6), "pass_ypp": ("pass_ypp", 6), "run_%": ("run_share", 6), "pass_%": ("pass_share", 6), "pass_completion_%": ("completion", 9), "first_down_pp": ("first_down", 9),
+    "third_down_%": ("third", 6), "fourth_down_%": ("fourth", 6), "turnovers_pp": ("turnovers", 9), "penalties_pp": ("penalties", 9), "series_success_%": ("series", 6), "possession_%": ("possession", 10),
+}
+#: Statistics' names, their plain names and the places kept.
+TEAM_COLUMNS = [(f"{s}_{k}", f"{s}_{n}", p) for s in ("off", "def") for k, (n, p) in TEAM_METRICS.items() if s == "off" or n not in ("run_share", "pass_share", "possession")]
+TEAM_STATS = "with " + FULL_PLAYS + f""", u as (select *, {_weight("kind = 'run'")} as wr, {_weight("kind = 'pass'")} as wp, {_weight("kind in ('run', 'pass')")} as wb, {_weight("kind is not null")} as ws, {_weight("true")} as wa from l),
+z as (select ts, tw, sum(wp) as zp, sum(wb) as zb, sum(ws) as zs, sum(wa) as za from u group by 1, 2), o as ({_side('pos')}), d as ({_side('def')}),
+so as (select ts, tw, team, avg(m) as series from (select ts, tw, game_id, series, pos as team, avg(success) as m from l group by all) group by all),
+sd as (select ts, tw, team, avg(m) as series from (select ts, tw, game_id, series, def as team, avg(success) as m from l group by all) group by all),
+g0 as (select ts, tw, game_id, drive, pos as team, avg(sec) as m from l group by all), g1 as (select ts, tw, game_id, team, sum(m) / 3600 as m from g0 group by all), g as (select ts, tw, team, avg(m) as possession from g1 group by all)
+select ts as season, tw as week, team, """ + ", ".join(
+    f"round({ {'off_run_ypp': 'o.plain_ypp', 'off_series': 'so.series', 'def_series': 'sd.series', 'off_possession': 'g.possession'}.get(n, n.replace('off_', 'o.').replace('def_', 'd.')) }, {p}) as {n}" for _, n, p in TEAM_COLUMNS
+) + """ from o left join d using (ts, tw, team) left join so using (ts, tw, team) left join sd using (ts, tw, team) left join g using (ts, tw, team) where o.runs > 0"""
 
 
 @query(TEAM_STATS)
 def team_stats(spark, d):
-    """The composite team statistics for all target months at once, a selection of their columns."""
+    """The composite team statistics for all target months at once, all their columns."""
     p = full_plays(spark, d)
     history = W.history_weeks(W.calendar(p, regular=F.col("week") <= 10), 3)
     s = features.team_stats(p, history)
-    c = lambda name, alias: F.col(f"`{name}`").alias(alias)
-    out = s.select(
-        "season", "week", "team", "off_run_ypp", "def_run_ypp", c("off_pass_completion_%", "off_completion"), c("def_third_down_%", "def_third"), c("off_turnovers_pp", "off_turnovers"),
-        c("def_series_success_%", "def_series"), c("off_possession_%", "off_possession"),
-    )
-    return r(out, off_completion=9, off_turnovers=9)
+    return s.select("season", "week", "team", *[(F.round(F.col(f"`{k}`"), places) + 0.0).alias(n) for k, n, places in TEAM_COLUMNS])
 
 
 PASSERS = """with p as (select year(l_shipdate)::int as season, month(l_shipdate)::int as week, l_shipdate::date as game_date, case when l_returnflag = 'R' then 'P.' || l_suppkey % 20 end as passer,

@@ -75,6 +75,7 @@ def full_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 FULL_PLAYS = """p as (select year(l_shipdate)::int as season, month(l_shipdate)::int as week, l_orderkey || '/' || l_shipdate::date as game_id, l_shipdate::date as game_date, nullif((l_suppkey % 32)::varchar, '31') as pos,
   (l_partkey % 32)::varchar as def, case when l_returnflag = 'A' then 'run' when l_returnflag = 'R' then 'pass' when l_linestatus = 'O' then 'punt' end as kind, l_linenumber % 3 as series, l_linenumber % 2 as drive,
   (l_quantity > 25)::int as success, l_linenumber * 60 + l_partkey % 60 as sec, nullif(l_quantity, 1.0) as yards, (l_discount > 0.05)::int as complete, (l_tax > 0.04)::int as conv, (l_tax < 0.02)::int as failed,
+  (l_quantity > 40)::int as first, (l_tax > 0.06)::int as conv4, (l_tax < 0.01)::int as failed4, (l_discount < 0.01)::int as pen,
   (l_quantity in (7, 9))::int as lost from lineitem),
 weeks as (select season, week, (week <= 10)::int as reg from p group by 1, 2),
 cal as (select *, sum(reg) over (order by season, week) as ro, row_number() over (order by season, week) as ord from weeks),
