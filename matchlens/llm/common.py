@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; where the session names none, one of our own in local mode, else an error."""
     where = spark.conf.get(CHECKPOINT_DIR, None)
     if not where:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set(CHECKPOINT_DIR, where)
     return where.rstrip("/")

@@ -6,7 +6,8 @@ a word weighs as one word however it is scored. A text's language is the one wit
 
 Learning is bounded: at most about `SAMPLE_DOCS` labelled documents a language, chosen by hash, and at most `ENTRIES`
 table entries over all languages and lengths, the most frequent ones. Words and n-grams of the sample are counted by Spark;
-only the bounded table reaches the driver and is broadcast.
+only the bounded table passes the driver, as Arrow bytes, and is broadcast; tasks make the scores of it. A word is a run of letters
+(Unicode category L) in learning and in prediction.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, and so is every text if nothing could be learnt; ties
 go to the first language in code point order; rows with a null lang teach nothing; a null doc_id is not held out; repeated
@@ -19,9 +20,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,9 @@ MAX_N = 4
 SMOOTHING = 0.5
 #: Words of which a worker keeps the score at hand; emptied when full.
 CACHE = 100_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: What `\w` takes besides letters, decimal digits and the underscore: number signs.
+NUMBER_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]+")
 
 
 def held_out() -> Column:
@@ -58,7 +63,8 @@ def count_terms(texts: DataFrame, max_n: int = MAX_N) -> DataFrame:
     )
     marked = F.concat(F.lit(" "), F.col("term"), F.lit(" "))
     grams = [
-        words.select("lang", F.lit(n).alias("n"), "c", F.explode(F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))).alias("term"))
+        # a word of one letter has no 4-gram
+        words.where(F.length("term") >= n - 2).select("lang", F.lit(n).alias("n"), "c", F.explode(F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))).alias("term"))
         .where(F.trim("term") != "")
         for n in range(1, max_n + 1)
     ]
@@ -68,48 +74,59 @@ def count_terms(texts: DataFrame, max_n: int = MAX_N) -> DataFrame:
     return out.groupBy("lang", "n", "term").agg(F.sum("c").alias("c"))
 
 
-def learn(labelled: DataFrame, per_language: int = SAMPLE_DOCS, entries: int = ENTRIES, max_n: int = MAX_N) -> dict:
-    """The bounded model: languages, and per n (0: words) a dict term -> log frequencies in each language."""
+@dataclass(frozen=True)
+class Model:
+    """languages; per n (0: words) and language the number of terms and of kinds of terms; the table n, term, lang, c as Arrow bytes."""
+
+    langs: list[str]
+    sizes: np.ndarray
+    terms: bytes
+
+
+def learn(labelled: DataFrame, per_language: int = SAMPLE_DOCS, entries: int = ENTRIES, max_n: int = MAX_N) -> Model:
     terms = common.written(count_terms(sample(labelled, per_language), max_n), "lang-terms")
     totals = terms.groupBy("lang", "n").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).collect()
     langs = sorted({r["lang"] for r in totals})
-    model = {"langs": langs, "tables": [{} for _ in range(max_n + 1)]}
-    if not langs:
-        return model
-    each = max(100, entries // (len(langs) * (max_n + 1)))
+    sizes = np.zeros((max_n + 1, len(langs), 2))
+    for r in totals:
+        sizes[r["n"], langs.index(r["lang"])] = r["total"], r["kinds"]
+    each = max(100, entries // (max(1, len(langs)) * (max_n + 1)))
     best = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "term")
-    kept = terms.withColumn("r", F.row_number().over(best)).where((F.col("r") <= each) & ((F.col("c") > 1) | (F.col("n") > 0))).drop("r")
-    size = {(r["lang"], r["n"]): (r["total"], r["kinds"]) for r in totals}
-    at = {lang: i for i, lang in enumerate(langs)}
-    raw: list[dict] = [{} for _ in range(max_n + 1)]
-    for r in kept.toPandas().itertuples(index=False):
-        raw[r.n].setdefault(r.term, [0] * len(langs))[at[r.lang]] = r.c
-    for n, table in enumerate(raw):
-        floor = [size.get((lang, n), (0, 0)) for lang in langs]
-        model["tables"][n] = {
-            t: tuple(math.log((c + SMOOTHING) / (total + SMOOTHING * (kinds + 1))) for c, (total, kinds) in zip(cs, floor)) for t, cs in table.items()
-        }
-    return model
+    kept = terms.withColumn("r", F.row_number().over(best)).where((F.col("r") <= each) & ((F.col("c") > 1) | (F.col("n") > 0)))
+    table = kept.select("n", "term", "lang", "c").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return Model(langs, sizes, sink.getvalue().to_pybytes())
 
 
 class Scorer:
-    def __init__(self, model: dict):
-        self.langs, self.tables = model["langs"], model["tables"]
-        self.none = (0.0,) * len(self.langs)
+    def __init__(self, model: Model):
+        self.langs, self.tables = model.langs, []
+        table, langs = pa.ipc.open_stream(model.terms).read_all(), pa.array(model.langs, pa.string())
+        for n, size in enumerate(model.sizes):
+            part = table.filter(pc.equal(table["n"], n))
+            term = part["term"].combine_chunks().dictionary_encode()
+            c = np.zeros((len(term.dictionary), len(self.langs)))
+            c[term.indices.to_numpy(), pc.index_in(part["lang"], langs).to_numpy()] = part["c"].to_numpy()
+            with np.errstate(divide="ignore"):
+                scores = np.log((c + SMOOTHING) / (size[:, 0] + SMOOTHING * (size[:, 1] + 1)))
+            self.tables.append((dict(zip(term.dictionary.to_pylist(), range(len(c)))), scores))
         self.rows = np.zeros((CACHE, max(1, len(self.langs))))
         self.at: dict[str, int] = {}
 
-    def word(self, w: str) -> tuple:
-        known = self.tables[0].get(w)
-        if known is not None:
-            return known
+    def word(self, w: str) -> np.ndarray | float:
+        """The word's log frequency in each language (0 if nothing of it is known)."""
+        at, scores = self.tables[0]
+        if (k := at.get(w)) is not None:
+            return scores[k]
         marked = f" {w} "
         for n in range(len(self.tables) - 1, 0, -1):
-            table = self.tables[n]
-            found = [v for i in range(len(marked) - n + 1) if (v := table.get(marked[i:i + n])) is not None]
+            at, scores = self.tables[n]
+            found = [k for i in range(len(marked) - n + 1) if (k := at.get(marked[i:i + n])) is not None]
             if found:
-                return tuple(sum(x) / len(found) for x in zip(*found))
-        return self.none
+                return scores[found].sum(0) / len(found)
+        return 0.0
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
@@ -136,7 +153,7 @@ class Scorer:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """docs' columns `keep` plus lang_pred and score. Only the text is an input of the prediction."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

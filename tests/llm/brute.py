@@ -1,7 +1,10 @@
 """Plain versions of the operators, for comparison on small tables."""
 
+import collections
 import hashlib
+import math
 import re
+import unicodedata
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -109,3 +112,40 @@ def pii(text):
             if good():
                 out.append((kind, m.start(), m.end()))
     return out
+
+
+def languages(train, texts, each, max_n=4, smoothing=0.5):
+    """(lang, text) rows and texts -> (language, score) of each text, word by word and n-gram by n-gram."""
+    letters = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+    langs = sorted({lang for lang, t in train if lang is not None and letters(t)})
+    counts = {(lang, n): collections.Counter() for lang in langs for n in range(max_n + 1)}
+    for lang, t in train:
+        for w in letters(t) if lang in langs else []:
+            counts[lang, 0][w] += 1
+            for n in range(1, max_n + 1):
+                counts[lang, n].update(g for g in (f" {w} "[i:i + n] for i in range(len(w) + 3 - n)) if g.strip())
+    kept = {k: {t: x for t, x in sorted(c.items(), key=lambda e: (-e[1], e[0]))[:each] if x > 1 or k[1]} for k, c in counts.items()}
+
+    def log_frequency(lang, n, t):
+        c = counts[lang, n]
+        return math.log((kept[lang, n].get(t, 0) + smoothing) / (sum(c.values()) + smoothing * (len(c) + 1)))
+
+    def word(w):
+        for n in (0, *range(max_n, 0, -1)):
+            parts = [w] if n == 0 else [f" {w} "[i:i + n] for i in range(len(w) + 3 - n)]
+            known = [t for t in parts if any(t in kept[lang, n] for lang in langs)]
+            if known:
+                return [sum(log_frequency(lang, n, t) for t in known) / len(known) for lang in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        words = letters(text)
+        if not words or not langs:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(x) for x in zip(*map(word, words))]
+        p = [math.exp((x - max(total)) / math.sqrt(len(words))) for x in total]
+        best = total.index(max(total))
+        out.append((langs[best], p[best] / sum(p)))
+    return out
