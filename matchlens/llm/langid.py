@@ -62,15 +62,15 @@ def count_terms(texts: DataFrame, max_n: int = MAX_N) -> DataFrame:
         .groupBy("lang", "term").agg(F.count("*").alias("c"))
     )
     marked = F.concat(F.lit(" "), F.col("term"), F.lit(" "))
-    grams = [
+
+    def grams_of(n: int) -> DataFrame:
+        parts = F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, F.lit(n)))
         # a word of one letter has no 4-gram
-        words.where(F.length("term") >= n - 2).select("lang", F.lit(n).alias("n"), "c", F.explode(F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))).alias("term"))
-        .where(F.trim("term") != "")
-        for n in range(1, max_n + 1)
-    ]
+        return words.where(F.length("term") >= n - 2).select("lang", F.lit(n).alias("n"), "c", F.explode(parts).alias("term")).where(F.trim("term") != "")
+
     out = words.select("lang", F.lit(0).alias("n"), "c", "term")
-    for g in grams:
-        out = out.unionByName(g)
+    for n in range(1, max_n + 1):
+        out = out.unionByName(grams_of(n))
     return out.groupBy("lang", "n", "term").agg(F.sum("c").alias("c"))
 
 
