@@ -2,7 +2,7 @@
 
 Candidates. Per kind the base pattern and looser ones give spans (code points, end exclusive). A base match that passes its
 check (octets, Luhn sum, digit count) is always reported; base matches that fail it and loose matches are open
-candidates.
+candidates: addresses in words, number groups of the usual form that a longer base match has swallowed.
 
 Labelers. Each candidate gets votes of +1, 0 (abstains) or -1 from: the strict pattern with its check, a shape test, a
 gazetteer (top-level domains, card issuers' prefixes, calling codes), words for and words against the kind around it, and a
@@ -33,6 +33,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.95
 ROUNDS = 15
+#: Weight of the prior in the classifier, in spans.
+PRIOR = 4.0
 LABELERS = ("strict", "shape", "gazetteer", "for", "against", "placeholder")
 
 # Patterns. `base`: the contract's patterns, rewritten without nested repetition.
@@ -46,12 +48,14 @@ LONE_SEPARATOR = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[({](?:dot|DOT)[\])}]|\.) ?[A-Za-z0-9-]{1,63}){1,4}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "phone": r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}(?![0-9-])|(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
 }
 #: Cheap tests of a whole text, so that most texts are never split.
 QUICK = {
     "email": r"@", "ip": r"[0-9]\.[0-9]++\.", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]",
     "loose email": r"[\[({](?:at|AT)[\])}]", "loose ip": r"(?:[0-9A-Fa-f]{1,4}:){7}", "loose phone": r"[0-9]{3}[ .-][0-9]{4}",
+    "loose card": r"[0-9](?:[\x20-]?[0-9]){19}",
 }
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 # Gazetteers and context words.
@@ -92,21 +96,41 @@ def _passes(kind: str, text: Column) -> Column:
     return F.when(n.between(13, 19), _luhn(F.substring(_digits(text), 1, 19))).otherwise(F.lit(False)) if kind == "card" else n.between(9, 15)
 
 
-def _matches(text: Column, pattern: str, quick: str) -> Column:
-    """array of (start, end, hit, before, after) of a pattern's matches: what lies between the matches gives their places."""
+def _split(text: Column, pattern: str, quick: str) -> Column:
+    """struct (gap, hit) of arrays: what lies between a pattern's matches, and the matches."""
+    some, none = text.rlike(quick), F.array().cast("array<string>")
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
-    kind = "struct<start:int,end:int,hit:string,before:string,after:string>"
-    empty = F.array().cast(f"array<{kind}>")
+    return F.struct(F.when(some, gaps).otherwise(none).alias("gap"), F.when(some, hits).otherwise(none).alias("hit"))
 
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(48)).alias("before"), F.left(x["next"], F.lit(24)).alias("after"))
-        return F.struct(end.alias("pos"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one.cast(kind)))).alias("out"))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(quick), found).otherwise(empty)
+def _before(x: Column) -> Column:
+    """The sum of all entries before each entry of an array column. Appending copies an array, so the sums are built in blocks of about
+    the root of their number, the blocks' own sums first."""
+    n = F.size(x)
+    step = F.greatest(F.lit(1), F.sqrt(n).cast("int"))
+    blocks = F.transform(F.when(n > 0, F.sequence(F.lit(1), n, step)).otherwise(F.array().cast("array<int>")), lambda at: F.slice(x, at, step))
+
+    def running(block, start):
+        first = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("out"))
+        add = lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+        return F.aggregate(block, first, add, lambda acc: acc["out"])
+
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, v: acc + v))
+    return F.flatten(F.zip_with(blocks, running(totals, F.lit(0)), running))
+
+
+def _matches(parts: Column, before: Column) -> Column:
+    """array of (start, end, hit, before, after) of a pattern's matches, from _split and what is before each part."""
+    gaps, hits = parts["gap"], parts["hit"]
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(hits)).alias("next"), F.slice(before, 1, F.size(hits)).alias("at"))
+
+    def one(x):
+        start = x["at"] + F.length(x["gap"])
+        return F.struct(
+            start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(48)).alias("before"), F.left(x["next"], F.lit(24)).alias("after")
+        )
+
+    return F.transform(zipped, one)
 
 
 def _candidates(kind: str, k: int, found: Column, loose: bool) -> Column:
@@ -115,7 +139,7 @@ def _candidates(kind: str, k: int, found: Column, loose: bool) -> Column:
     def one(m):
         hit = m["hit"]
         near = F.lower(F.concat(m["before"], F.lit(" ... "), F.coalesce(m["after"], F.lit(""))))
-        good = F.lit(False) if loose else _passes(kind, hit)
+        good = F.lit(False) if loose and kind in ("email", "ip") else _passes(kind, hit)
         digits = _digits(hit)
         vote = lambda yes, no=None: F.when(yes, 1).when(F.lit(True) if no is None else no, -1).otherwise(0)
         shape = {
@@ -123,16 +147,18 @@ def _candidates(kind: str, k: int, found: Column, loose: bool) -> Column:
             "card": F.length(digits).between(13, 19), "phone": F.length(digits).between(10, 15),
         }[kind]
         votes = [
-            vote(good), vote(shape), vote((digits if kind in ("card", "phone") else hit).rlike(GAZETTEER[kind])),
+            # the strict pattern has no opinion on another spelling
+            F.lit(0) if loose and kind in ("email", "ip") else vote(good), vote(shape), vote((digits if kind in ("card", "phone") else hit).rlike(GAZETTEER[kind])),
             vote(near.rlike(FOR[kind]), F.lit(False)), F.when(near.rlike(AGAINST), -1).otherwise(0),
             F.when((F.length(digits) > 6) & digits.rlike(r"^(\d)\1+$|^0?123456789|^(?:0+\.){3}0+$"), -1).otherwise(0),
         ]
         form = F.concat_ws(
             "|", F.lit("loose" if loose else "base"), F.least(F.floor(F.length(hit) / 6), F.lit(6)).cast("string"),
             F.when(m["before"].rlike(r"[\s(:,]$") | (m["before"] == ""), "edge").otherwise("inside"),
+            F.when(hit.rlike(r"^\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}$"), "coded").otherwise("plain"),
         )
         return F.struct(
-            F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), good.alias("base"),
+            F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), (F.lit(False) if loose else good).alias("base"),
             F.array(*[v.cast("int") for v in votes]).alias("votes"), form.alias("form"),
         )
 
@@ -147,12 +173,16 @@ def candidates(docs: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", common.text_of().alias("text"))
     card_text = F.when(text.rlike(QUICK["card"]), F.regexp_replace(text, LONE_SEPARATOR, "\u0001")).otherwise(F.lit(""))
     mail_text = F.when(text.rlike(QUICK["email"]), F.regexp_replace(F.translate(text, DOT_MARK, " "), LONE_DOT, DOT_MARK)).otherwise(F.lit(""))
-    found = plain.select(
+    split = plain.select(
         "doc_id",
-        _matches(mail_text, EMAIL, QUICK["email"]).alias("email"), _matches(text, IP, QUICK["ip"]).alias("ip"),
-        _matches(card_text, CARD, QUICK["card"]).alias("card"), _matches(text, PHONE, QUICK["phone"]).alias("phone"),
-        *[_matches(text, LOOSE[kind], QUICK[f"loose {kind}"]).alias(f"loose_{kind}") for kind in LOOSE],
+        _split(mail_text, EMAIL, QUICK["email"]).alias("email"), _split(text, IP, QUICK["ip"]).alias("ip"),
+        _split(card_text, CARD, QUICK["card"]).alias("card"), _split(text, PHONE, QUICK["phone"]).alias("phone"),
+        *[_split(text, LOOSE[kind], QUICK[f"loose {kind}"]).alias(f"loose_{kind}") for kind in LOOSE],
     )
+    names = [*KINDS, *[f"loose_{kind}" for kind in LOOSE]]
+    lengths = split.withColumns({f"{c}_n": F.zip_with(f"{c}.gap", f"{c}.hit", lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0))) for c in names})
+    placed = lengths.withColumns({f"{c}_at": _before(F.col(f"{c}_n")) for c in names})
+    found = placed.select("doc_id", *[_matches(F.col(c), F.col(f"{c}_at")).alias(c) for c in names])
     parts = [_candidates(kind, k, F.col(kind), False) for k, kind in enumerate(KINDS)]
     parts += [_candidates(kind, KINDS.index(kind), F.col(f"loose_{kind}"), True) for kind in LOOSE]
     return found.select("doc_id", F.concat(*parts).alias("cands"))
@@ -192,7 +222,7 @@ def span_classifier(votes: DataFrame, params: dict) -> dict[str, float]:
     p = votes.withColumn("p", _posterior(params))
     names = F.array(
         *[F.concat(F.lit(f"{name}/"), F.element_at("votes", j + 1).cast("string")) for j, name in enumerate(LABELERS)],
-        *[F.concat(F.lit(f"form{i}/"), F.element_at(F.split("form", r"\|"), i + 1)) for i in range(3)],
+        *[F.concat(F.lit(f"form{i}/"), F.element_at(F.split("form", r"\|"), i + 1)) for i in range(4)],
     )
     real, not_real = F.sum(F.col("p") * F.col("c")), F.sum((1 - F.col("p")) * F.col("c"))
     per = p.select("kind", "p", "c", F.explode(names).alias("feature")).groupBy("kind", "feature").agg(real.alias("r"), not_real.alias("n"))
@@ -200,12 +230,13 @@ def span_classifier(votes: DataFrame, params: dict) -> dict[str, float]:
     model = {f"{k}": math.log((r + 1) / (n + 1)) for k, (r, n) in all_of.items()}
     for x in per.collect():
         r, n = all_of[x["kind"]]
-        model[f"{x['kind']}/{x['feature']}"] = math.log((x["r"] + 1) / (r + 2)) - math.log((x["n"] + 1) / (n + 2))
+        share = PRIOR * (x["r"] + x["n"] + 1e-9) / (r + n + 1e-9)  # smoothed towards the feature's share in all, so that rare features say little
+        model[f"{x['kind']}/{x['feature']}"] = math.log((x["r"] + share) / (r + PRIOR)) - math.log((x["n"] + share) / (n + PRIOR))
     return model
 
 
 def probability(x: Column, model: dict[str, float]) -> Column:
-    """The classifier's probability of a candidate; one made of digits also needs a word for its kind nearby."""
+    """The classifier's probability of a candidate; it needs its kind's shape, and if made of digits a word for its kind nearby or a calling code's form."""
     if not model:
         return F.lit(0.0)
     table = F.create_map(*[F.lit(v) for kv in sorted(model.items()) for v in kv])
@@ -214,10 +245,12 @@ def probability(x: Column, model: dict[str, float]) -> Column:
     odds = of(kind)
     for j, name in enumerate(LABELERS):
         odds = odds + of(F.concat(kind, F.lit(f"/{name}/"), F.element_at(x["votes"], j + 1).cast("string")))
-    for i in range(3):
+    for i in range(4):
         odds = odds + of(F.concat(kind, F.lit(f"/form{i}/"), F.element_at(F.split(x["form"], r"\|"), i + 1)))
-    named = (x["kind"] == KINDS.index("email")) | (F.element_at(x["votes"], LABELERS.index("for") + 1) == 1)
-    return F.when(named, 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0))
+    coded = (x["kind"] == KINDS.index("phone")) & x["form"].endswith("coded")
+    named = (x["kind"] == KINDS.index("email")) | coded | (F.element_at(x["votes"], LABELERS.index("for") + 1) == 1)
+    shaped = F.element_at(x["votes"], LABELERS.index("shape") + 1) == 1
+    return F.when(named & shaped, 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0))
 
 
 def spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -230,7 +263,7 @@ def spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     added = F.filter("cands", lambda x: ~x["base"] & (probability(x, model) >= accept))
     out = found.select("doc_id", F.array_sort(F.transform(base, place)).alias("base"), F.transform(added, place).alias("added"))
     clear = F.filter("added", lambda a: ~F.exists("base", lambda b: (a["kind"] == b["kind"]) & (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return out.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", clear))).alias("spans"))
+    return out.select("doc_id", "base", F.array_sort(F.concat("base", F.array_distinct(clear))).alias("spans"))
 
 
 def _joined(column: str) -> Column:
@@ -241,5 +274,6 @@ def _joined(column: str) -> Column:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(common.table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
