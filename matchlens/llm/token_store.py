@@ -61,9 +61,8 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """The tokenizer with caches: text -> ids as raw bytes. Same ids as encoding the whole text.
-
-    A text is cut into chunks at spaces and line breaks, a chunk that isn't known into pieces as the tokenizer itself cuts it, and a
+    """The tokenizer with caches: text -> ids as raw bytes. Same ids as the library's for the whole text, so the string of an added
+    token is that token. A text with one goes to the library whole, as do those with rare characters. Any other text is cut into chunks at spaces and line breaks, a chunk that isn't known into pieces as the tokenizer itself cuts it, and a
     piece that isn't known goes to the library's merges.
     """
 
@@ -72,14 +71,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if RARE.search(text):
+        if any(a in text for a in self.added) or RARE.search(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if WIDE.search(text):
             return self._from_pieces(text)
@@ -173,12 +172,22 @@ def _groups(m: int) -> int:
     return max(1, m // GROUP_KEYS)
 
 
-def build_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct key hashes -> (displacement of each group, place of each key); the places are 0..m-1, each once.
+def _spot(h: np.ndarray, h2: np.ndarray, shift, m: int) -> np.ndarray:
+    """Where a displacement sends keys: by both of their hashes, so that keys with one equal hash part."""
+    with np.errstate(over="ignore"):
+        d = np.asarray(shift).astype(np.uint64)
+        return (_mix(h + h2 * (np.uint64(2) * d + np.uint64(1)), d + np.uint64(1)) % np.uint64(m)).astype(np.int64)
+
+
+def build_hash(h: np.ndarray, h2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each key (one may be shared by keys, both may not) -> (displacement of each group, place of each key); the places
+    are 0..m-1, each once.
 
-    A displacement d >= 0 sends a key to mix(h, d + 1) mod m; -1 - p puts a group's only key at place p.
+    A displacement d >= 0 sends a key to its spot; -1 - p puts a group's only key at place p.
     """
-    m = len(h)
+    m, h2 = len(h), h if h2 is None else h2
+    if len(np.unique(h)) < m and len(np.unique(np.stack([h, h2], 1), axis=0)) < m:
+        raise ValueError("two keys with the same two hashes")
     group = (_mix(h, 0) % np.uint64(_groups(m))).astype(np.int64)
     order = np.argsort(group, kind="stable")
     counts = np.bincount(group, minlength=_groups(m))
@@ -196,7 +205,7 @@ def build_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = 0
         while True:
             tries = np.arange(d, d + 64)
-            at = (_mix(h[keys][None, :], (tries + 1)[:, None]) % np.uint64(m)).astype(np.int64)
+            at = _spot(h[keys][None, :], h2[keys][None, :], tries[:, None], m)
             good = free[at].all(1)
             s = np.sort(at, 1)
             good &= (s[:, 1:] != s[:, :-1]).all(1)
@@ -211,10 +220,10 @@ def build_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shift, place
 
 
-def places(h: np.ndarray, shift: np.ndarray, m: int) -> np.ndarray:
-    """The place of each key hash, known or not."""
+def places(h: np.ndarray, shift: np.ndarray, m: int, h2: np.ndarray | None = None) -> np.ndarray:
+    """The place of each key, known or not."""
     d = shift[(_mix(h, 0) % np.uint64(_groups(m))).astype(np.int64)]
-    return np.where(d < 0, -1 - d, (_mix(h, np.maximum(d, 0) + 1) % np.uint64(m)).astype(np.int64))
+    return np.where(d < 0, -1 - d, _spot(h, h if h2 is None else h2, np.maximum(d, 0), m))
 
 
 def fingerprints(h: np.ndarray) -> np.ndarray:
@@ -222,8 +231,12 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
 
 
 def _keyed(df: DataFrame, buckets: int) -> DataFrame:
-    h = F.xxhash64("doc_id", "copy")
-    return df.withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    keyed = df.withColumns({"h": F.xxhash64("doc_id", "copy"), "h2": F.xxhash64(F.lit(1), "copy", "doc_id")})
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+
+
+def _hashes(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("h", "h2"))
 
 
 INDEX = "bucket long, buckets long, shift array<long>, fp array<long>, shard array<int>, off array<long>, n array<long>"
@@ -234,12 +247,12 @@ def build_index(entries: DataFrame) -> DataFrame:
     buckets = max(1, -(-entries.count() // BUCKET_KEYS))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-        shift, place = build_hash(h)
+        h, h2 = _hashes(pdf)
+        shift, place = build_hash(h, h2)
         by_place = np.argsort(place)
         col = lambda name: pdf[name].to_numpy()[by_place]
         return pd.DataFrame({
-            "bucket": [pdf["bucket"].iat[0]], "buckets": [buckets], "shift": [shift], "fp": [fingerprints(h)[by_place]],
+            "bucket": [pdf["bucket"].iat[0]], "buckets": [buckets], "shift": [shift], "fp": [fingerprints(h2)[by_place]],
             "shard": [col("shard")], "off": [col("off")], "n": [col("n")],
         })
 
@@ -257,9 +270,9 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
         if not len(i) or not len(k):
             return out.assign(shard=0, off=0, n=0).iloc[:0]
         row = i.iloc[0]
-        h = k["h"].to_numpy(np.int64).view(np.uint64)
-        at = places(h, np.asarray(row["shift"]), len(row["fp"]))
-        known = np.asarray(row["fp"])[at] == fingerprints(h)
+        h, h2 = _hashes(k)
+        at = places(h, np.asarray(row["shift"]), len(row["fp"]), h2)
+        known = np.asarray(row["fp"])[at] == fingerprints(h2)
         for c in ("shard", "off", "n"):
             out[c] = np.asarray(row[c])[at]
         return out[known]

@@ -40,7 +40,6 @@ def test_token_store_round_trip(spark):
 
     path = p.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rnd = random.Random(5)
     alphabet = list("ab cdé' \n\t\r\x0b\x1c\x85\xa0.,!'sllre²ßŐ_10") + ["<|endoftext|>", "漢", "😀", " 's", "  ", "᠎", "　"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(300)] + [None, "", "x" * 5000]
@@ -69,6 +68,14 @@ def test_perfect_hash(m):
     assert (token_store.places(h, shift, m) == place).all()
 
 
+def test_perfect_hash_with_equal_hashes():
+    h, h2 = np.array([7, 7, 3, 7], np.uint64), np.array([1, 2, 2, 9], np.uint64)
+    shift, place = token_store.build_hash(h, h2)
+    assert sorted(place) == [0, 1, 2, 3] and (token_store.places(h, shift, 4, h2) == place).all()
+    with pytest.raises(ValueError):
+        token_store.build_hash(h, np.array([1, 1, 2, 9], np.uint64))
+
+
 def test_pii_base_spans(spark):
     rnd = random.Random(3)
     parts = ["1", "22", "256", "4", "+1", " ", "-", ".", "@", "a.b", "_", "x", "(", ")", "é", "😀", "4111 1111 1111 1111", "5500-0000-0000-0004", "1.2.3.4", "a@b.c", "  ", "+49 (30) 1234567", "\n", ""]
