@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op4_chat_format": chat.ORACLE,
+    "op5_mix": mixing.ORACLE,
     "op9_window_index": window_index.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
 }
