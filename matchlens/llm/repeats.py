@@ -4,26 +4,28 @@ Rows for every window would be as many as there are tokens, so windows travel in
 the least hash; equal windows have equal anchors at equal distance, wherever they stand. Consecutive windows of one anchor form a
 run, about one for every eight words or fourteen bytes.
 
-1. Runs are dealt out by their anchor's hash, as packed columns. Runs with the same tokens are repeats as a whole: all
+1. Runs are dealt out by their anchor's hash, as packed columns, and sorted by it. Runs with the same tokens are repeats as a whole: all
    but the first are decided. What a task finds repeated among its own runs is decided before the shuffle, so of a text that
    stands in very many documents each task hands on one run only.
-2. Where one anchor has runs with different tokens, their first ones stay open: some windows may be shared, others not.
-   Only of these the tokens are fetched, and dealt out by anchor; what is equal is decided window by window.
-3. Decided windows go back to their documents as intervals, each with a check sum of its tokens.
-
-Every step deals out by hash over all tasks; what a task holds at once is a bucket of runs or a few groups of open runs.
-A group of open runs holds the distinct surroundings of one anchor: copies have been merged before. Groups of more than CROWD are not
-gathered: their windows are dealt out one by one.
+2. Where one anchor has runs with different tokens, their first ones stay open: some windows may be shared, others not. Of bytes
+   only the halves of such a run stay open whose next ranks (the anchor with half the rest before or after it) another document shares.
+3. Each open window is a row: the rank of its first half, the rank at the offset of its second half, its place. What a task finds
+   equal among its own rows is decided before the shuffle, so a passage of very many documents sends one row a task and gather;
+   Spark sorts the rank pairs of all others, and one pass over them finds the windows that stand elsewhere before.
+4. Decided windows go back to their documents as intervals, each with a check sum of its tokens.
+
+Every step deals out by hash over all tasks; what a task holds at once is a bucket of runs or one gather of rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +39,15 @@ BUCKETS_EACH = 8
 #: Documents without an id count as the last ones.
 LAST = int(np.iinfo(np.int64).max)
 
-#: Open runs of one anchor that may meet in a task, and the number of anchors beyond it up to which their list is broadcast.
-CROWD, CROWDED_ROWS = 2_000, 500_000
+#: Open windows that a task gathers, to decide equal ones before the shuffle.
+WINDOWS_GATHERED = 200_000
 #: Marks packed rows of runs that were decided before the shuffle; rows of at most so many.
 LOCAL, LOCAL_ROWS = -2, 20_000
 
-RUNS = "bucket int, run int, key32 binary, key16 binary, content binary, doc binary, lo binary, len binary"
+RUNS = "bucket int, run int, key32 binary, key16 binary, content binary, doc binary, lo binary, len binary, context binary"
+#: key: null of decided windows; of open ones which halves are open (bits 0 and 1) and how far after the first window its anchor is.
 FOUND = "doc_id long, lo int, hi int, check int, key long"
+WINDOWS = "known boolean, a long, b long, doc_id long, lo int, check int, body binary"
 
 
 @dataclass(frozen=True)
@@ -59,6 +63,11 @@ class Windows:
     same_document: bool
     last: int = LAST
 
+    @property
+    def half(self) -> int:
+        """Windows whose anchor is at least so far in have at least so much before it, the others at least as much after it."""
+        return (self.width - self.gram) // 2
+
 
 def last_id(docs: DataFrame) -> int:
     """The greatest id (0 at least), if there are documents without one; else LAST."""
@@ -103,6 +112,15 @@ def _tokens(data: np.ndarray, off: np.ndarray, w: Windows):
     return first, grams, spans, text
 
 
+def contexts(spans, lo: np.ndarray, at: np.ndarray, total: int, w: Windows) -> np.ndarray:
+    """Of each run of byte windows 12 bits for half the rest before its anchor, 12 for that after it, and the anchor's distance."""
+    if w.words:
+        return np.zeros(len(at), np.uint64)
+    before = spans(np.maximum(at - w.half, 0), at) & np.uint64(0xFFF)
+    after = spans(np.minimum(at + w.gram, total), np.minimum(at + w.gram + w.half, total)) & np.uint64(0xFFF)
+    return before | (after << np.uint64(12)) | ((at - lo).astype(np.uint64) << np.uint64(24))
+
+
 def decided_among(key: np.ndarray, content: np.ndarray, doc: np.ndarray, lo: np.ndarray, w: Windows) -> np.ndarray:
     """Runs whose tokens stand in an earlier one of these runs."""
     order = np.lexsort((lo, doc, content, key))
@@ -121,27 +139,27 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             nonlocal spread
-            key, content, doc, lo, n = (np.concatenate(x) for x in zip(*parts))
+            key, content, doc, lo, n, context = (np.concatenate(x) for x in zip(*parts))
             known = decided_among(key, content, doc, lo, w)
             at = np.flatnonzero(known)
             at = at[np.lexsort((lo[at], doc[at]))]
             local = (doc[at], lo[at].astype(np.int32), n[at].astype(np.int32), (content[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            key, content, doc, lo, n = (x[~known] for x in (key, content, doc, lo, n))
+            key, content, doc, lo, n, context = (x[~known] for x in (key, content, doc, lo, n, context))
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((lo, doc, bucket))
-            key, content, doc, lo, n, bucket = (x[order] for x in (key, content, doc, lo, n, bucket))
+            key, content, doc, lo, n, context, bucket = (x[order] for x in (key, content, doc, lo, n, context, bucket))
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
                 k = key[a:b]
                 row = (int(bucket[a]), -1, vectors.pack((k >> np.uint64(32)).astype(np.uint32)), vectors.pack((k >> np.uint64(16)).astype(np.uint16)),
-                       vectors.pack(content[a:b]), vectors.pack(doc[a:b], True), vectors.pack(lo[a:b].astype(np.int32)), vectors.pack(n[a:b].astype(np.int32)))
+                       vectors.pack(content[a:b]), vectors.pack(doc[a:b], True), vectors.pack(lo[a:b].astype(np.int32)), vectors.pack(n[a:b].astype(np.int32)), vectors.pack(context[a:b]))
                 for c, x in zip(cols, row):
                     c.append(x)
             for a in range(0, len(at), LOCAL_ROWS):
                 d, first, length, check = (x[a : a + LOCAL_ROWS] for x in local)
                 spread += 1
-                row = (spread * 7919 % buckets, LOCAL, b"", b"", vectors.pack(check), vectors.pack(d, True), vectors.pack(first), vectors.pack(length))
+                row = (spread * 7919 % buckets, LOCAL, b"", b"", vectors.pack(check), vectors.pack(d, True), vectors.pack(first), vectors.pack(length), b"")
                 for c, x in zip(cols, row):
                     c.append(x)
             return packed_batch(cols)
@@ -153,7 +171,7 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
                 if not len(row):
                     continue
                 ids = rows["doc_id"].to_numpy()
-                parts.append((grams[at], spans(lo, hi + w.width), ids[row], lo - first[row], hi - lo + 1))
+                parts.append((grams[at], spans(lo, hi + w.width), ids[row], lo - first[row], hi - lo + 1, contexts(spans, lo, at, len(data), w)))
                 held += len(row)
                 if held >= GATHER:
                     yield out()
@@ -166,14 +184,14 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
 
 
 def packed_batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "run", "key32", "key16", "content", "doc", "lo", "len"])
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "run", "key32", "key16", "content", "doc", "lo", "len", "context"])
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, ...]:
-    """key (48 bits and the bucket tell anchors apart), content, doc, lo, len of a packed row."""
+    """key (48 bits and the bucket tell anchors apart), content, doc, lo, len, context of a packed row."""
     key = (vectors.unpack(row["key32"], np.uint32).astype(np.uint64) << np.uint64(16)) | vectors.unpack(row["key16"], np.uint16)
-    return key, vectors.unpack(row["content"], np.uint64), vectors.unpack(row["doc"], np.int64, True), vectors.unpack(row["lo"], np.int32), vectors.unpack(row["len"], np.int32)
+    return key, vectors.unpack(row["content"], np.uint64), vectors.unpack(row["doc"], np.int64, True), vectors.unpack(row["lo"], np.int32), vectors.unpack(row["len"], np.int32), vectors.unpack(row["context"], np.uint64)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -199,6 +217,7 @@ class Sorted:
     doc: np.ndarray
     lo: np.ndarray
     len: np.ndarray
+    context: np.ndarray
     old: np.ndarray
     new_content: np.ndarray
     key_no: np.ndarray
@@ -207,20 +226,21 @@ class Sorted:
 def sort_runs(rows: list[dict]) -> Sorted:
     rows = [r for r in rows if r["run"] != LOCAL]
     parts = [(*unpacked(r), np.full(len(r["key32"]) // 4, r["run"] >= 0)) for r in rows]
-    parts = parts or [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32, bool))]
-    key, content, doc, lo, n, old = (np.concatenate(x) for x in zip(*parts))
+    parts = parts or [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint64, bool))]
+    key, content, doc, lo, n, context, old = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((lo, doc, content, key))
-    key, content, doc, lo, n, old = (x[order] for x in (key, content, doc, lo, n, old))
+    key, content, doc, lo, n, context, old = (x[order] for x in (key, content, doc, lo, n, context, old))
     new_key, new_content = np.ones(len(key), bool), np.ones(len(key), bool)
     new_key[1:] = key[1:] != key[:-1]
     new_content[1:] = new_key[1:] | (content[1:] != content[:-1])
-    return Sorted(key, content, doc, lo, n, old, new_content, np.cumsum(new_key) - 1)
+    return Sorted(key, content, doc, lo, n, context, old, new_content, np.cumsum(new_key) - 1)
 
 
 def decide(s: Sorted, w: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(decided, open) runs of a bucket. Runs that an index already holds (old) are open again if a new one joins their anchor."""
+    """(decided, open) runs of a bucket; open: 0 or its open halves and distance (see FOUND). Runs that an index already holds (old)
+    are open again if a new one joins their anchor."""
     if not len(s.key):
-        return np.zeros(0, bool), np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, np.int64)
     first = np.flatnonzero(s.new_content)
     decided = later(s.new_content, s.doc, s.lo, w)
     undecided = ~decided
@@ -233,16 +253,34 @@ def decide(s: Sorted, w: Windows) -> tuple[np.ndarray, np.ndarray]:
         np.maximum.at(high, s.key_no[first], s.doc[first])
         several &= (high > low)[s.key_no]
     fresh = np.bincount(s.key_no, ~s.old)
-    return decided & ~s.old, undecided & several & (fresh > 0)[s.key_no]
+    return decided & ~s.old, _halves(s, undecided & several & (fresh > 0)[s.key_no], w)
 
 
-def found_batch(s: Sorted, bucket: int, decided: np.ndarray, still_open: np.ndarray, rows: list[dict]) -> pa.RecordBatch:
+def _halves(s: Sorted, candidates: np.ndarray, w: Windows) -> np.ndarray:
+    """Which halves of the candidates stay open: windows with the anchor late share all of `half` bytes before it with whatever they
+    equal, the others as many after it. A half whose rank no other document shares drops out."""
+    if w.words:
+        return np.where(candidates, 3, 0)
+    far = (s.context >> np.uint64(24)).astype(np.int64)
+    near = far - s.len + 1
+    out = np.zeros(len(far), np.int64)
+    for bit, has, shift in ((1, far >= w.half, 0), (2, near < w.half, 12)):
+        at = np.flatnonzero(candidates & has)
+        if len(at):
+            _, group = np.unique((s.key_no[at] << 12) | ((s.context[at] >> np.uint64(shift)) & np.uint64(0xFFF)).astype(np.int64), return_inverse=True)
+            low, high = np.full(group.max() + 1, LAST), np.zeros(group.max() + 1, np.int64)
+            np.minimum.at(low, group, s.doc[at])
+            np.maximum.at(high, group, s.doc[at])
+            out[at] |= np.where((high > low)[group], bit, 0)
+    return np.where(out > 0, out | (far << 2), 0)
+
+
+def found_batch(s: Sorted, decided: np.ndarray, still_open: np.ndarray, rows: list[dict]) -> pa.RecordBatch:
     """FOUND rows of a bucket: its decided and open runs, and those that were decided before the shuffle."""
     local = [r for r in rows if r["run"] == LOCAL]
     at = np.concatenate([np.flatnonzero(decided), np.flatnonzero(still_open)])
     nd = int(decided.sum())
-    # a key's value is only a name here: the bucket is added so that equal bits of two buckets stay apart
-    key = vectors.mix(s.key[at], bucket).view(np.int64)
+    key = still_open[at]
     check = (s.content[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
     more = lambda name, kind, delta=False: [vectors.unpack(r[name], kind, delta) for r in local]
     lo, length = more("lo", np.int32), more("len", np.int32)
@@ -271,9 +309,9 @@ def find_runs(docs: DataFrame, w: Windows) -> DataFrame:
     """FOUND rows: decided runs (key null) and open ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in by_bucket(batches):
+        for _, rows in by_bucket(batches):
             s = sort_runs(rows)
-            yield found_batch(s, bucket, *decide(s, w), rows)
+            yield found_batch(s, *decide(s, w), rows)
 
     return dealt(run_rows(docs, w, buckets_for(docs.sparkSession))).mapInArrow(run, FOUND)
 
@@ -310,119 +348,82 @@ def _checked(batch: pa.RecordBatch, w: Windows):
         yield rows, data, off, tokens, row[good], lo[good], hi[good], key[good]
 
 
-def open_texts(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame:
-    """key, doc_id, lo, data of each open run: its tokens themselves."""
+def open_windows(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame:
+    """WINDOWS rows of the open runs' windows: a, b are the ranks (hashes) of its first half and of its second, at the offset of half its
+    width; body its words. known: decided among the rows that a task gathers."""
+    step = w.width // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, _, _, (first, _, _, text), row, lo, hi, key in _checked(batch, w):
-                if len(row):
-                    body = [text(a, b) for a, b in zip(lo.tolist(), (hi + w.width).tolist())]
-                    ids = rows["doc_id"].to_numpy()[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array((lo - first[row]).astype(np.int32)), pa.array(body, pa.binary())], names=["key", "doc_id", "lo", "data"])
+        parts, bodies, held = [], [], 0
 
-    # the same columns as removed() reads, so that Spark reuses the one exchange of texts
-    joined = _texts(docs, w).join(_per_document(open_runs), F.expr("doc_id = d")).select("doc_id", "no_id", "text", "found")
-    return joined.mapInArrow(run, "key long, doc_id long, lo int, data binary")
-
-
-def compare_open(rows: DataFrame, w: Windows, compare: Callable, limit: int = 1 << 20) -> DataFrame:
-    """FOUND rows of the open runs' repeated windows. compare(tokens of whole anchor groups) marks the windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            data = np.frombuffer(b"".join(batch["data"].to_pylist()), np.uint8)
-            off = np.concatenate([[0], np.cumsum([len(x) for x in batch["data"].to_pylist()])]).astype(np.int64)
-            first, _, spans, _ = _tokens(data, off, w)
-            key, doc, lo = (batch[c].to_numpy() for c in ("key", "doc_id", "lo"))
-            n = np.maximum(0, np.diff(first) - w.width + 1)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][row]
-            token_spans = vectors.words(data, off)[:2] if w.words else None
-            hit = compare(key[row], at, doc[row], at - first[row] + lo[row], token_spans, data, w)
-            if not hit.any():
-                return None
-            a, r = at[hit], row[hit]
-            new = np.concatenate([[True], (a[1:] != a[:-1] + 1) | (r[1:] != r[:-1])])
-            s = np.flatnonzero(new)
-            e = np.concatenate([s[1:], [len(a)]]) - 1
-            a, b, r = a[s], a[e], r[s]
-            check = (spans(a, b + w.width) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            back = lo[r] - first[r]
+        def out() -> pa.RecordBatch:
+            a, b, doc, lo, check = (np.concatenate(x) for x in zip(*parts))
+            body = pa.array([x for part in bodies for x in part], pa.binary()) if w.words else pa.nulls(len(a), pa.binary())
+            # of words the words themselves are compared
+            name = body.dictionary_encode().indices.to_numpy().astype(np.uint64) if w.words else a
+            known = decided_among(name, name if w.words else b, doc, lo, w)
+            a = np.where(known, vectors.mix(doc.astype(np.uint64), 81) + lo.astype(np.uint64), a)  # known rows only pass by, in any task
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc[r]), pa.array((a + back).astype(np.int32)), pa.array((b + back).astype(np.int32)), pa.array(check), pa.nulls(len(r), pa.int64())],
-                names=["doc_id", "lo", "hi", "check", "key"],
+                [pa.array(known), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(lo), pa.array(check), pc.if_else(pa.array(known), pa.scalar(None, pa.binary()), body)],
+                names=["known", "a", "b", "doc_id", "lo", "check", "body"],
             )
 
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size < limit or batch["key"][-1] == held[0]["key"][0]:  # a group can't be cut
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            keys = whole["key"].to_numpy()
-            cut = int(np.flatnonzero(keys == keys[-1])[0])  # what belongs to the last key waits for the next batch
-            if (found := out(whole.slice(0, cut))) is not None:
-                yield found
-            held = [whole.slice(cut)]
-            size = sum(len(x) for x in held[0]["data"].to_pylist())
-        if held:
-            for whole in pa.Table.from_batches(held).combine_chunks().to_batches():
-                if (found := out(whole)) is not None:
-                    yield found
-
-    spread = rows.repartition(common.shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return spread.mapInArrow(run, FOUND)
+            for rows, _, _, (first, _, spans, text), row, lo, hi, key in _checked(batch, w):
+                n = hi - lo + 1
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                row, key, far = np.repeat(row, n), np.repeat(key & 3, n), np.repeat((key >> 2) + lo, n) - at
+                if not w.words:
+                    mine = (np.where(far >= w.half, 1, 2) & key) > 0
+                    at, row = at[mine], row[mine]
+                if not len(at):
+                    continue
+                check = (spans(at, at + w.width) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                parts.append((spans(at, at + step), spans(at + w.width - step, at + w.width), rows["doc_id"].to_numpy()[row], (at - first[row]).astype(np.int32), check))
+                if w.words:
+                    bodies.append([text(x, x + w.width) for x in at.tolist()])
+                held += len(at)
+                if held >= WINDOWS_GATHERED:
+                    yield out()
+                    parts, bodies, held = [], [], 0
+        if parts:
+            yield out()
+
+    # the same columns as removed() reads, so that Spark reuses the one exchange of texts
+    joined = _texts(docs, w).join(_per_document(open_runs), F.expr("doc_id = d")).select("doc_id", "no_id", "text", "found")
+    return joined.mapInArrow(run, WINDOWS)
 
 
-def compare_crowded(rows: DataFrame, w: Windows) -> DataFrame:
-    """FOUND rows of the repeated windows of open runs around anchors that have very many of them: one row a window, dealt out by
-    the window's own fingerprint, so that no group has to fit in a task (the earliest is a partial aggregate, the join can be split)."""
+def ranked(windows: DataFrame, w: Windows) -> DataFrame:
+    """FOUND rows of the windows that stand elsewhere before. Spark sorts the rank pairs; equal ones follow each other, the earliest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None  # of the pair that the last batch ended with: its first row, and the first of its last document
         for batch in batches:
-            body = batch["data"].to_pylist()
-            data, off = np.frombuffer(b"".join(body), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in body])]).astype(np.int64)
-            first, _, spans, _ = _tokens(data, off, w)
-            n = np.maximum(0, np.diff(first) - w.width + 1)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][row]
-            a = spans(at, at + w.width)
-            if w.words:
-                starts, ends, _ = vectors.words(data, off)
-                b = vectors.token_span_hashes(vectors.span_hashes(data, starts, ends, 71), at, at + w.width, 72)
-            else:
-                b = vectors.span_hashes(data, at, at + w.width, 71)
-            place = (at - first[row] + batch["lo"].to_numpy()[row]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(batch["doc_id"].to_numpy()[row]), pa.array(place)], names=["a", "b", "doc_id", "lo"])
-
-    windows = rows.select("doc_id", "lo", "data").mapInArrow(run, "a long, b long, doc_id long, lo int")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
-    past = (F.struct("doc_id", "lo") > F.col("first")) if w.same_document else (F.col("doc_id") > F.col("first.doc_id"))
-    # a fingerprint's low half is the check sum of its tokens
-    check = F.when(F.col("a").bitwiseAND(F.lit(0x80000000)) != 0, F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 32)).otherwise(F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)))
-    hit = windows.join(first, ["a", "b"])
-    if w.same_document and w.last < LAST:
-        own = windows.where(F.col("doc_id") > w.last).groupBy("a", "b", "doc_id").agg(F.min("lo").alias("own"))
-        hit = hit.join(own, ["a", "b", "doc_id"], "left")
-        past = F.when(F.col("doc_id") > w.last, (F.col("first.doc_id") <= w.last) | (F.col("lo") > F.col("own"))).otherwise(past)
-    hit = hit.where(past)
-    return hit.select("doc_id", "lo", F.col("lo").alias("hi"), check.cast("int").alias("check"), F.lit(None).cast("long").alias("key"))
-
-
-def repeated_windows(docs: DataFrame, open_rows: DataFrame, w: Windows, compare: Callable) -> DataFrame:
-    """FOUND rows of all open runs: anchors with up to CROWD of them are compared in a task each, the others window by window."""
-    per_key = open_rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(F.col("key").alias("k"))
-    crowded = common.written(per_key, "crowded-anchors")
-    some = crowded.count()
-    if not some:
-        return compare_open(open_texts(docs, open_rows, w), w, compare)
-    marked = F.broadcast(crowded) if some <= CROWDED_ROWS else crowded
-    few = open_rows.join(marked, F.col("key") == F.col("k"), "left_anti")
-    many = open_rows.join(marked, F.col("key") == F.col("k"), "left_semi")
-    return compare_open(open_texts(docs, few, w), w, compare).unionByName(compare_crowded(open_texts(docs, many, w), w))
+            known = batch["known"].to_numpy(zero_copy_only=False)
+            t = pa.Table.from_batches([batch.filter(pa.array(~known))])
+            lead = 0
+            if carried is not None:
+                t, lead = pa.concat_tables([carried, t]).combine_chunks(), len(carried)
+            hit = np.zeros(0, bool)
+            if len(t):
+                a, b, doc, lo = (t[c].to_numpy() for c in ("a", "b", "doc_id", "lo"))
+                new = np.ones(len(t), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                hit = later(new, doc, lo, w)
+                if w.words:
+                    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                    hit &= pc.equal(t["body"].combine_chunks(), t["body"].take(pa.array(first)).combine_chunks()).to_numpy(zero_copy_only=False)
+                hit[:lead] = False
+                start = int(np.flatnonzero(new)[-1])
+                own = start + int(np.flatnonzero(doc[start:] == doc[-1])[0])
+                carried = t.take(pa.array(sorted({start, own})))
+            found = pa.concat_tables([pa.Table.from_batches([batch.filter(pa.array(known))]), t.filter(pa.array(hit))]) if len(t) else pa.Table.from_batches([batch.filter(pa.array(known))])
+            for x in found.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([x["doc_id"], x["lo"], x["lo"], x["check"], pa.nulls(len(x), pa.int64())], names=["doc_id", "lo", "hi", "check", "key"])
+
+    spread = windows.repartition(common.shuffle_partitions(windows.sparkSession), "a").sortWithinPartitions("a", "b", "doc_id", "lo")
+    return spread.mapInArrow(run, FOUND)
 
 
 def removed(docs: DataFrame, found: DataFrame, w: Windows) -> DataFrame:

@@ -1,78 +1,32 @@
 """Removal of bytes covered by a 50-byte string that also starts in a document with a smaller id, by prefix doubling.
 
-Suffixes only need to be told apart over `WIDTH` bytes. Positions that can share so many are brought together by the anchor of
-their window (see repeats.py): Spark deals anchors out and sorts them, which settles all windows in
-runs that are equal as a whole. For the positions left open, Spark deals out and sorts the open runs by anchor, and each
-group of positions is ranked by prefix doubling: ranks of the first `START` bytes, then pairs (rank here, rank at the growing
-offset) are sorted and ranked anew, until a rank is held by one position only, which then drops out, or the ranks have
-passed the threshold. Positions of one final rank start the same 50 bytes.
+Suffixes only need to be told apart over `WIDTH` bytes, so doubling ends there, and positions drop out as soon as no other document shares
+their rank (see repeats.py):
+
+- `GRAM` bytes: the rank of each window's anchor. Spark deals runs of windows out by it and sorts them; runs that are equal as a whole are settled.
+- half the rest more, before or after the anchor: what no other document shares drops out.
+- `WIDTH` bytes: each position left is a row with its rank (of half the width) and the rank at that offset. Spark sorts these pairs;
+  positions of one pair start the same string, which is past the threshold.
 
 Edge cases: null is empty; documents under 50 bytes lose nothing; rows of one id are one document (no repeat of each other);
-documents without an id come after all others; an empty table gives an empty result; other columns are ignored.
+documents without an id come after all others and are no repeats of each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, repeats, vectors
+from . import common, repeats
 
 WIDTH, GRAM = 50, 24
-START = 12
-
-
-def double_ranks(data: np.ndarray, at: np.ndarray, group: np.ndarray, width: int, start: int = START) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the strings of `width` bytes at the places `at` (ascending), within each group: (indexes into at, ranks) of the places
-    whose string another place shares; the others dropped out on the way.
-
-    Places between the first and the last one of a run take part up to the offset that is still needed.
-    """
-    size = len(data)
-    wanted = np.zeros(size + 1, np.int64)
-    np.add.at(wanted, at, 1)
-    np.add.at(wanted, np.minimum(at + width - start + 1, size), -1)
-    live = np.flatnonzero(np.cumsum(wanted[:size]) > 0)  # all places whose rank some doubling may ask for
-    own = np.searchsorted(at, live, "right") - 1
-    h = vectors.span_hashes(data, live, np.minimum(live + start, size), 51)
-    _, rank = np.unique(vectors.mix(h + group[own].astype(np.uint64), 52), return_inverse=True)
-    length = start
-    ranks = np.full(size + 1, -1, np.int64)
-    ranks[live] = rank
-    while length < width:
-        step = min(length, width - length)
-        second = np.minimum(live + step, size)
-        pair = ranks[second] >= 0
-        here = live[pair]
-        # re-rank the sorted pairs; a rank that one place holds is unique for good
-        _, back, count = np.unique(ranks[here] * (size + 1) + ranks[second[pair]], return_inverse=True, return_counts=True)
-        shared = count[back] > 1
-        ranks = np.full(size + 1, -1, np.int64)
-        live = here[shared]
-        ranks[live] = back[shared]
-        length += step
-    mine = np.flatnonzero(ranks[at] >= 0)
-    return mine, ranks[at[mine]]
-
-
-def by_doubling(key, at, doc, place, token_spans, data, w: repeats.Windows) -> np.ndarray:
-    """Windows whose bytes also start in an open run of a smaller document."""
-    hit = np.zeros(len(at), bool)
-    if len(at):
-        mine, rank = double_ranks(data, at, key, w.width)
-        if len(mine):
-            low = np.full(int(rank.max()) + 1, repeats.LAST)
-            np.minimum.at(low, rank, doc[mine])
-            hit[mine] = low[rank] < doc[mine]
-    return hit
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_tokens (bytes), n_removed, n_spans, kept (the remaining bytes) of every document."""
-    w = repeats.Windows(width, gram, words=False, same_document=False)
+    w = repeats.Windows(width, gram, words=False, same_document=False, last=repeats.last_id(docs))
     found = common.written(repeats.find_runs(docs, w), "suffix-runs")
-    windows = repeats.repeated_windows(docs, found.where("key is not null"), w, by_doubling)
+    windows = repeats.ranked(repeats.open_windows(docs, found.where("key is not null"), w), w)
     return repeats.removed(docs, found.where("key is null").unionByName(windows), w)
 
 

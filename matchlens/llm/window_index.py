@@ -1,11 +1,12 @@
 """Removal of words covered by a 20-word window that also starts earlier, over a log-structured fingerprint index.
 
 The index holds what history has shown: for each run of windows (see repeats.py) its anchor, its tokens' fingerprint and the place
-where it first stood. It consists of runs, in the other sense of the word: immutable tables, each made from one batch of documents,
-dealt into buckets by anchor and sorted by (anchor, fingerprint) within. A new batch is laid out the same way, and each bucket is merged
-with that bucket of the index's tables: equal entries decide windows at once. Where an anchor has several fingerprints the
-windows are verified on the words themselves. The batch's new entries become the next table; where there
-are `MAX_TABLES` already, the merge, which has all of them in hand, writes one compacted table in their place.
+where it first stood. It is a folder with a manifest and tables, each of which is written once from one batch of documents,
+bucketed by anchor and sorted by (anchor, fingerprint) within. A new batch is dealt out and laid out the same way and merged bucket by
+bucket with the tables; the history is read where it lies, without a shuffle of its own. Equal entries decide windows at once; where
+an anchor has several fingerprints the windows are decided on the words themselves. The batch's new entries become the next
+table; where there are `MAX_TABLES` already, the merge, which has all of them in hand, writes one compacted table in their place.
+Another session opens the index by its folder and goes on.
 
 Batches are taken in order of doc_id, so everything in the index is earlier than the batch.
 
@@ -16,10 +17,11 @@ others and are no repeats of each other (2**63 - 1 counts as no id); an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,23 +32,50 @@ BATCHES = 3
 MAX_TABLES = 2
 
 
-class Index:
-    """The index's tables, oldest first; all share the number of buckets."""
+COLUMNS = [c.split()[0] for c in repeats.RUNS.split(", ")]
+MANIFEST = "version int, parts int, buckets int, tables array<string>"
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.buckets, self.tables = spark, buckets or repeats.buckets_for(spark), []
 
-    def rows(self) -> DataFrame | None:
-        out = None
-        for t in self.tables:
-            out = t if out is None else out.unionByName(t)
-        return out
+class Index:
+    """An index in a folder: its tables, oldest first, all dealt into the same buckets. A folder with a manifest is opened again."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or common.scratch(spark, "window-index")
+        self.version, self.parts, self.buckets, self.files = 0, common.shuffle_partitions(spark), repeats.buckets_for(spark), []
+        self.tables: list[DataFrame] = []
+        if path:
+            try:
+                last = spark.read.schema(MANIFEST).json(f"{path}/manifest-*").orderBy(F.desc("version")).first()
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                last = None
+            if last:
+                self.version, self.parts, self.buckets, self.files = last.version, last.parts, last.buckets, list(last.tables)
+                self.tables = [self._opened(f) for f in self.files]
+
+    def _opened(self, file: str) -> DataFrame:
+        name = f"window_index_{uuid.uuid4().hex}"
+        self.spark.sql(f"create table {name} ({MERGED.replace(': ', ' ')}) using parquet clustered by (bucket) into {self.parts} buckets location '{file}'")
+        return self.spark.table(name)
+
+    def add(self, merged: DataFrame, compacted: bool) -> DataFrame:
+        """Writes a merge's result as a table, which comes after the others or in their place; the manifest names what counts."""
+        file = f"{self.path}/table-{uuid.uuid4().hex}"
+        name = f"window_index_{uuid.uuid4().hex}"
+        merged.write.format("parquet").bucketBy(self.parts, "bucket").option("path", file).saveAsTable(name)
+        table = self.spark.table(name)
+        self.files, self.tables = ([file], [table]) if compacted else ([*self.files, file], [*self.tables, table])
+        self.version += 1
+        row = (self.version, self.parts, self.buckets, self.files)
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.json(f"{self.path}/manifest-{self.version:06d}")
+        return table
 
 
 def _entries(s: repeats.Sorted, bucket: int, pick: np.ndarray, table: int) -> pa.RecordBatch:
     k = s.key[pick]
     row = (bucket, table, vectors.pack((k >> np.uint64(16)).astype(np.uint32)), vectors.pack((k & np.uint64(0xFFFF)).astype(np.uint16)),
-           vectors.pack(s.content[pick]), vectors.pack(s.doc[pick], True), vectors.pack(s.lo[pick]), vectors.pack(s.len[pick]))
+           vectors.pack(s.content[pick]), vectors.pack(s.doc[pick], True), vectors.pack(s.lo[pick]), vectors.pack(s.len[pick]), vectors.pack(s.context[pick]))
     return repeats.packed_batch([[x] for x in row])
 
 
@@ -56,39 +85,22 @@ MERGED = f"{repeats.RUNS}, found array<struct<doc_id:long,lo:int,hi:int,check:in
 def add_batch(index: Index, docs: DataFrame, w: repeats.Windows) -> DataFrame:
     """Decides the batch's runs against the index, adds its new entries, and returns FOUND rows (open runs may be history's)."""
     number, compacting = len(index.tables), len(index.tables) >= MAX_TABLES
-    rows = repeats.run_rows(docs, w, index.buckets)
-    if index.tables:
-        rows = rows.unionByName(index.rows())
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, packed in repeats.by_bucket(batches):
-            s = repeats.sort_runs(packed)
-            new = _entries(s, bucket, s.new_content if compacting else s.new_content & ~s.old, number)
-            found = repeats.found_batch(s, bucket, *repeats.decide(s, w), packed)
-            structs = pa.StructArray.from_arrays([found[c] for c in found.schema.names], names=found.schema.names)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
-            yield pa.RecordBatch.from_arrays([*new.columns, lists], names=[*new.schema.names, "found"])
-
-    merged = common.written(repeats.dealt(rows).mapInArrow(merge, MERGED), "index-merge")
-    index.tables = [*([] if compacting else index.tables), merged.drop("found")]
-    return merged.select(F.explode("found").alias("f")).select("f.*")
-
-
-def by_words(key, at, doc, place, token_spans, data, w: repeats.Windows) -> np.ndarray:
-    """Windows of open runs whose words also start in an earlier one; two fingerprints of the words themselves are compared."""
-    if not len(at):
-        return np.zeros(0, bool)
-    starts, ends = token_spans
-    h = [vectors.span_hashes(data, starts, ends, seed) for seed in (61, 62)]
-    a, b = (vectors.token_span_hashes(x, at, at + w.width, 63) for x in h)
-    order = np.lexsort((place, doc, b, a, key))
-    new = np.zeros(len(order), bool)
-    for x in (key, a, b):
-        new[1:] |= x[order][1:] != x[order][:-1]
-    new[:1] = True
-    hit = np.zeros(len(at), bool)
-    hit[order] = repeats.later(new, doc[order], place[order], w)
-    return hit
+    rows = repeats.run_rows(docs, w, index.buckets).repartition(index.parts, "bucket")
+    for table in index.tables:
+        rows = rows.unionByName(table.select(*COLUMNS))
+
+    def merge(group: pa.Table) -> pa.Table:
+        packed = group.to_pylist()
+        s = repeats.sort_runs(packed)
+        new = _entries(s, packed[0]["bucket"], s.new_content if compacting else s.new_content & ~s.old, number)
+        found = repeats.found_batch(s, *repeats.decide(s, w), packed)
+        structs = pa.StructArray.from_arrays([found[c] for c in found.schema.names], names=found.schema.names)
+        lists = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
+        return pa.Table.from_arrays([*new.columns, lists], names=[*new.schema.names, "found"])
+
+    # tables are bucketed as the batch is dealt out: only the batch is shuffled
+    table = index.add(rows.groupBy("bucket").applyInArrow(merge, MERGED), compacting)
+    return table.select(F.explode("found").alias("f")).select("f.*")
 
 
 def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -110,7 +122,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
     for batch in batches_of(docs, batches):
         one = add_batch(index, batch, w)
         found = one if found is None else found.unionByName(one)
-    windows = repeats.repeated_windows(docs, found.where("key is not null").distinct(), w, by_words)
+    windows = repeats.ranked(repeats.open_windows(docs, found.where("key is not null").distinct(), w), w)
     return repeats.removed(docs, found.where("key is null").unionByName(windows), w)
 
 

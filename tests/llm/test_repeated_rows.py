@@ -10,9 +10,9 @@ def words(name, n):
     return " ".join(f"{name}{i}" for i in range(n))
 
 
-@pytest.mark.parametrize("crowd", [repeats.CROWD, 1])
-def test_rows_of_one_id_and_of_none(spark, crowd, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+@pytest.mark.parametrize("gathered", [repeats.WINDOWS_GATHERED, 1])
+def test_rows_of_one_id_and_of_none(spark, gathered, monkeypatch):
+    monkeypatch.setattr(repeats, "WINDOWS_GATHERED", gathered)
     a, p, q, own, known = words("a", 60), words("p", 25), words("q", 25), words("o", 25), words("k", 30)
     rows = [
         (7, a), (7, a), (7, a),  # repeated rows keep everything

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from matchlens.llm import repeats, suffix_dedup, vectors, window_index
+from matchlens.llm import common, repeats, suffix_dedup, vectors, window_index
 
 DOCS = "doc_id long, text string, node int, bucket string, key double, found string, d int"
 
@@ -19,9 +19,9 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, 1, "b", 0.5, None, 3) for r in rows], DOCS).repartition(5)
 
 
-@pytest.mark.parametrize("crowd", [repeats.CROWD, 3])
-def test_bytes(spark, crowd, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+@pytest.mark.parametrize("gathered", [repeats.WINDOWS_GATHERED, 3])
+def test_bytes(spark, gathered, monkeypatch):
+    monkeypatch.setattr(repeats, "WINDOWS_GATHERED", gathered)
     rnd = random.Random(7)
     parts = ["".join(rnd.choice("abcde é") for _ in range(rnd.randint(5, 120))) for _ in range(30)] + ["a" * 130, "ab" * 80, " " * 70]
     rows = made(1, parts)
@@ -29,9 +29,9 @@ def test_bytes(spark, crowd, monkeypatch):
     assert got == brute.byte_repeats(rows)
 
 
-@pytest.mark.parametrize("crowd", [repeats.CROWD, 3])
-def test_words(spark, crowd, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+@pytest.mark.parametrize("gathered", [repeats.WINDOWS_GATHERED, 3])
+def test_words(spark, gathered, monkeypatch):
+    monkeypatch.setattr(repeats, "WINDOWS_GATHERED", gathered)
     rnd = random.Random(7)
     parts = [" ".join(rnd.choice(["a", "bb", "c", "é", "D"]) for _ in range(rnd.randint(5, 40))) + " " for _ in range(30)] + ["a " * 60, "a b " * 40, "\n \t x "]
     rows = made(2, parts)
@@ -63,17 +63,30 @@ def test_empty(spark, dedup):
     assert dedup(table(spark, [(1, "a")]).limit(0)).count() == 0
 
 
-def test_doubling_equals_direct():
-    data = np.frombuffer(b"abcabcabcabcabcabc" * 12 + b"xyz" * 20, np.uint8)
-    at = np.arange(len(data) - 50 + 1)
-    mine, rank = suffix_dedup.double_ranks(data, at, np.zeros(len(at), np.int64), 50)
-    raw, by = data.tobytes(), {}
-    for p in at:
-        by.setdefault(raw[p:p + 50], []).append(p)
-    shared = sorted(p for v in by.values() if len(v) > 1 for p in v)
-    assert sorted(at[mine]) == shared
-    for p, k in zip(at[mine], rank):
-        assert {at[m] for m, r in zip(mine, rank) if r == k} == set(by[raw[p:p + 50]])
+def test_index_is_opened_again(spark):
+    """Another session's batch is decided against the history in the folder; the history isn't shuffled again."""
+    w = repeats.Windows(20, 6, words=True, same_document=True)
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    path = common.scratch(spark, "index-test")
+    for k in range(4):
+        index = window_index.Index(spark, path)
+        assert index.version == k and len(index.files) == min(k, 1 + (k - 1) % window_index.MAX_TABLES if k else 0)
+        found = window_index.add_batch(index, table(spark, [(10 * k + 1, text(k)), (10 * k + 2, text(max(0, k - 1)))]), w)
+        rows = found.where("key is null").groupBy("doc_id").agg({"lo": "count"}).collect()
+        assert [r.doc_id for r in rows] == [10 * k + 2]
+    opened = window_index.Index(spark, path)
+    rows = repeats.run_rows(table(spark, [(99, "a")]), w, opened.buckets).repartition(opened.parts, "bucket")
+    for t in opened.tables:
+        rows = rows.unionByName(t.select(*window_index.COLUMNS))
+    plan = rows.groupBy("bucket").applyInArrow(lambda t: t, repeats.RUNS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+
+
+def test_documents_without_an_id(spark):
+    long = "0123456789" * 8
+    rows = [(None, f"{k} {long}") for k in range(30)] + [(None, "seen before: " + "xyz" * 30), (5, "xyz" * 30)]
+    got = sorted((str(r.doc_id), r.n_removed) for r in suffix_dedup.dedup(table(spark, rows)).collect())
+    assert got == sorted([("5", 0), ("None", 90)] + [("None", 0)] * 30)
 
 
 def test_words_of_pieces():
