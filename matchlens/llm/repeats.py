@@ -47,7 +47,8 @@ LOCAL, LOCAL_ROWS = -2, 20_000
 RUNS = "bucket int, run int, key32 binary, key16 binary, content binary, doc binary, lo binary, len binary, context binary"
 #: key: null of decided windows; of open ones which halves are open (bits 0 and 1) and how far after the first window its anchor is.
 FOUND = "doc_id long, lo int, hi int, check int, key long"
-WINDOWS = "known boolean, a long, b long, doc_id long, lo int, check int, body binary"
+#: b: half the bits of a rank, and the check sum.
+WINDOWS = "known boolean, a long, b long, doc_id long, lo int, body binary"
 
 
 @dataclass(frozen=True)
@@ -113,12 +114,13 @@ def _tokens(data: np.ndarray, off: np.ndarray, w: Windows):
 
 
 def contexts(spans, lo: np.ndarray, at: np.ndarray, total: int, w: Windows) -> np.ndarray:
-    """Of each run of byte windows 12 bits for half the rest before its anchor, 12 for that after it, and the anchor's distance."""
+    """Of each run of byte windows 5 bits for half the rest before its anchor, 5 for that after it, and the anchor's distance. Few bits
+    only leave a few more halves open."""
     if w.words:
         return np.zeros(len(at), np.uint64)
-    before = spans(np.maximum(at - w.half, 0), at) & np.uint64(0xFFF)
-    after = spans(np.minimum(at + w.gram, total), np.minimum(at + w.gram + w.half, total)) & np.uint64(0xFFF)
-    return before | (after << np.uint64(12)) | ((at - lo).astype(np.uint64) << np.uint64(24))
+    before = spans(np.maximum(at - w.half, 0), at) & np.uint64(31)
+    after = spans(np.minimum(at + w.gram, total), np.minimum(at + w.gram + w.half, total)) & np.uint64(31)
+    return before | (after << np.uint64(5)) | ((at - lo).astype(np.uint64) << np.uint64(10))
 
 
 def decided_among(key: np.ndarray, content: np.ndarray, doc: np.ndarray, lo: np.ndarray, w: Windows) -> np.ndarray:
@@ -261,13 +263,13 @@ def _halves(s: Sorted, candidates: np.ndarray, w: Windows) -> np.ndarray:
     equal, the others as many after it. A half whose rank no other document shares drops out."""
     if w.words:
         return np.where(candidates, 3, 0)
-    far = (s.context >> np.uint64(24)).astype(np.int64)
+    far = (s.context >> np.uint64(10)).astype(np.int64)
     near = far - s.len + 1
     out = np.zeros(len(far), np.int64)
-    for bit, has, shift in ((1, far >= w.half, 0), (2, near < w.half, 12)):
+    for bit, has, shift in ((1, far >= w.half, 0), (2, near < w.half, 5)):
         at = np.flatnonzero(candidates & has)
         if len(at):
-            _, group = np.unique((s.key_no[at] << 12) | ((s.context[at] >> np.uint64(shift)) & np.uint64(0xFFF)).astype(np.int64), return_inverse=True)
+            _, group = np.unique((s.key_no[at] << 5) | ((s.context[at] >> np.uint64(shift)) & np.uint64(31)).astype(np.int64), return_inverse=True)
             low, high = np.full(group.max() + 1, LAST), np.zeros(group.max() + 1, np.int64)
             np.minimum.at(low, group, s.doc[at])
             np.maximum.at(high, group, s.doc[at])
@@ -350,22 +352,22 @@ def _checked(batch: pa.RecordBatch, w: Windows):
 
 def open_windows(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame:
     """WINDOWS rows of the open runs' windows: a, b are the ranks (hashes) of its first half and of its second, at the offset of half its
-    width; body its words. known: decided among the rows that a task gathers."""
+    width (b holds the check sum of the whole besides); body its words. known: decided among the rows that a task gathers."""
     step = w.width // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bodies, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            a, b, doc, lo, check = (np.concatenate(x) for x in zip(*parts))
+            a, b, doc, lo = (np.concatenate(x) for x in zip(*parts))
             body = pa.array([x for part in bodies for x in part], pa.binary()) if w.words else pa.nulls(len(a), pa.binary())
             # of words the words themselves are compared
             name = body.dictionary_encode().indices.to_numpy().astype(np.uint64) if w.words else a
             known = decided_among(name, name if w.words else b, doc, lo, w)
             a = np.where(known, vectors.mix(doc.astype(np.uint64), 81) + lo.astype(np.uint64), a)  # known rows only pass by, in any task
             return pa.RecordBatch.from_arrays(
-                [pa.array(known), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(lo), pa.array(check), pc.if_else(pa.array(known), pa.scalar(None, pa.binary()), body)],
-                names=["known", "a", "b", "doc_id", "lo", "check", "body"],
+                [pa.array(known), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(lo), pc.if_else(pa.array(known), pa.scalar(None, pa.binary()), body)],
+                names=["known", "a", "b", "doc_id", "lo", "body"],
             )
 
         for batch in batches:
@@ -378,8 +380,9 @@ def open_windows(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame
                     at, row = at[mine], row[mine]
                 if not len(at):
                     continue
-                check = (spans(at, at + w.width) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                parts.append((spans(at, at + step), spans(at + w.width - step, at + w.width), rows["doc_id"].to_numpy()[row], (at - first[row]).astype(np.int32), check))
+                low = np.uint64(0xFFFFFFFF)
+                b = (spans(at + w.width - step, at + w.width) & ~low) | (spans(at, at + w.width) & low)
+                parts.append((spans(at, at + step), b, rows["doc_id"].to_numpy()[row], (at - first[row]).astype(np.int32)))
                 if w.words:
                     bodies.append([text(x, x + w.width) for x in at.tolist()])
                 held += len(at)
@@ -420,7 +423,8 @@ def ranked(windows: DataFrame, w: Windows) -> DataFrame:
                 carried = t.take(pa.array(sorted({start, own})))
             found = pa.concat_tables([pa.Table.from_batches([batch.filter(pa.array(known))]), t.filter(pa.array(hit))]) if len(t) else pa.Table.from_batches([batch.filter(pa.array(known))])
             for x in found.combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays([x["doc_id"], x["lo"], x["lo"], x["check"], pa.nulls(len(x), pa.int64())], names=["doc_id", "lo", "hi", "check", "key"])
+                check = pa.array(x["b"].to_numpy().astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([x["doc_id"], x["lo"], x["lo"], check, pa.nulls(len(x), pa.int64())], names=["doc_id", "lo", "hi", "check", "key"])
 
     spread = windows.repartition(common.shuffle_partitions(windows.sparkSession), "a").sortWithinPartitions("a", "b", "doc_id", "lo")
     return spread.mapInArrow(run, FOUND)
