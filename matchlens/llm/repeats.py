@@ -392,7 +392,6 @@ def open_windows(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame
         if parts:
             yield out()
 
-    # the same columns as removed() reads, so that Spark reuses the one exchange of texts
     joined = _texts(docs, w).join(_per_document(open_runs), F.expr("doc_id = d")).select("doc_id", "no_id", "text", "found")
     return joined.mapInArrow(run, WINDOWS)
 

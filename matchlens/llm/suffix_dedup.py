@@ -26,7 +26,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_tokens (bytes), n_removed, n_spans, kept (the remaining bytes) of every document."""
     w = repeats.Windows(width, gram, words=False, same_document=False, last=repeats.last_id(docs))
     found = common.written(repeats.find_runs(docs, w), "suffix-runs")
-    windows = repeats.ranked(repeats.open_windows(docs, found.where("key is not null"), w), w)
+    windows = common.written(repeats.ranked(repeats.open_windows(docs, found.where("key is not null"), w), w), "suffix-windows")
     return repeats.removed(docs, found.where("key is null").unionByName(windows), w)
 
 

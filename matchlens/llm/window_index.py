@@ -63,7 +63,8 @@ class Index:
         """Writes a merge's result as a table, which comes after the others or in their place; the manifest names what counts."""
         file = f"{self.path}/table-{uuid.uuid4().hex}"
         name = f"window_index_{uuid.uuid4().hex}"
-        merged.write.format("parquet").bucketBy(self.parts, "bucket").option("path", file).saveAsTable(name)
+        with common.shuffles_freed(self.spark):
+            merged.write.format("parquet").bucketBy(self.parts, "bucket").option("path", file).saveAsTable(name)
         table = self.spark.table(name)
         self.files, self.tables = ([file], [table]) if compacted else ([*self.files, file], [*self.tables, table])
         self.version += 1
@@ -122,7 +123,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
     for batch in batches_of(docs, batches):
         one = add_batch(index, batch, w)
         found = one if found is None else found.unionByName(one)
-    windows = repeats.ranked(repeats.open_windows(docs, found.where("key is not null").distinct(), w), w)
+    windows = common.written(repeats.ranked(repeats.open_windows(docs, found.where("key is not null").distinct(), w), w), "index-windows")
     return repeats.removed(docs, found.where("key is null").unionByName(windows), w)
 
 
