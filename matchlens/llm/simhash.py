@@ -11,7 +11,8 @@ in all tables and measures what it finds. Equal fingerprints are one entry.
 
 Edge cases: a null or empty text has no term and the fingerprint of zeros, so has a text without words; a single word is a term of its own;
 equal texts have equal fingerprints; the document after the last is the first, for an only document itself; documents of
-one id are ordered by a hash of the text; null ids come last in descending order; repeated rows (same id and text) are one; an empty table gives an empty result; other columns are ignored.
+one id are ordered by a hash of the text; null ids come last in descending order; repeated rows (same id and text) count as one document,
+and each of them is returned with its values; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,35 +122,35 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def with_next(base: DataFrame) -> DataFrame:
-    """a, b, doc_id, next_a, next_b of every row of keyed(): the next in descending order of doc_id, after the last the first.
+    """a, b, doc_id, copies, next_a, next_b of every document of keyed(), repeated rows once: the next in descending order of doc_id, after the last the first.
 
     Ids are range-partitioned; inside a partition a window finds the next one, and the partitions' ends meet in a table of
     one row a partition.
     """
     spark = base.sparkSession
     order = [F.desc_nulls_last("doc_id"), F.desc("a"), F.desc("b")]
-    ids = base.select("doc_id", "a", "b").repartitionByRange(common.shuffle_partitions(spark), "doc_id", "a")
+    ids = base.groupBy("doc_id", "a", "b").agg(F.count("*").cast("int").alias("copies")).repartitionByRange(common.shuffle_partitions(spark), "doc_id", "a")
     placed = common.written(ids.withColumn("p", F.spark_partition_id()), "simhash-order")
     inside = placed.withColumn("next", F.lead(F.struct("a", "b")).over(Window.partitionBy("p").orderBy(*order)))
     rank = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "a", "b")
     tops = placed.groupBy("p").agg(F.max(rank).alias("top"))
     everything = Window.partitionBy(F.lit(0)).orderBy(F.desc("p"))
     tops = tops.select("p", F.coalesce(F.lead("top").over(everything), F.first("top").over(everything)).alias("after"))
-    return inside.join(tops, "p").select("a", "b", "doc_id", F.coalesce("next.a", "after.a").alias("next_a"), F.coalesce("next.b", "after.b").alias("next_b")).distinct()
+    return inside.join(tops, "p").select("a", "b", "doc_id", "copies", F.coalesce("next.a", "after.a").alias("next_a"), F.coalesce("next.b", "after.b").alias("next_b"))
 
 
 def edited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, text, edited) and (a, b, doc_id, next_a, next_b): the last third of the code points replaced by the next text's first as many.
+    """(a, b, text, edited) and (a, b, doc_id, copies, next_a, next_b), one row a document: the last third of the code points replaced by the next text's first as many.
 
     Texts are dealt out once, by key (all uses read the same columns, so Spark reuses that exchange); what moves besides is keys,
     lengths and the heads that are put in.
     """
     base = keyed(docs)
-    n, kinds = base.select("a", "b").agg(F.count("*"), F.countDistinct("a", "b")).first()
-    if n > kinds:
+    order = common.written(with_next(base), "simhash-order-next")
+    if not order.where("copies > 1").isEmpty():
         base = base.dropDuplicates(["a", "b"])
     wants = base.select("a", "b", F.floor(F.length("text") / 3).cast("int").alias("k"))
-    need = common.written(with_next(base).join(wants, ["a", "b"]).distinct(), "simhash-next")
+    need = common.written(order.join(wants, ["a", "b"]), "simhash-next")
     moved = need.select(F.col("next_a").alias("a"), F.col("next_b").alias("b"), F.col("a").alias("to_a"), F.col("b").alias("to_b"), "k")
     texts = base.select("a", "b", "text")
     heads = texts.join(moved, ["a", "b"]).select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), F.expr("substring(text, 1, k)").alias("head"))
@@ -157,6 +158,18 @@ def edited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts.join(heads, ["a", "b"]).select("a", "b", "text", F.concat(kept, "head").alias("edited")), need.drop("k")
 
 
+#: Of the query's search: documents whose id `QUERY_EVERY` divides, against all.
+RADIUS, SPARE, QUERY_EVERY = 3, 1, 100
+
+
+def neighbours(own: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
+    """own (doc_id, fp) with n_within: for the query documents the number of other fingerprints within the radius, for others null."""
+    asks = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
+    near = within_radius(own.where(asks), own, radius, spare).groupBy("query_fp").agg(F.count_if(F.col("distance") > 0).alias("n_within"))
+    asked = own.where(asks).join(near, F.col("fp") == F.col("query_fp"), "left").drop("query_fp")
+    return asked.unionByName(own.where(~asks).withColumn("n_within", F.lit(None).cast("long")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, order = edited(common.table(spark, sf_dir, "documents"))
     body = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))
@@ -166,7 +179,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = docs.select("a", "b", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     own = common.written(pairs.join(facts, ["a", "b"]).join(order, ["a", "b"]), "simhash-fps")
     after = own.select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.col("fp").alias("next_fp"))
-    return own.join(after, ["next_a", "next_b"]).select(
+    rows = neighbours(own).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return rows.join(after, ["next_a", "next_b"]).select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_within",
     )
