@@ -7,8 +7,8 @@ run, about one for every eight words or fourteen bytes.
 1. Runs are dealt out by their anchor's hash, as packed columns, and sorted by it. Runs with the same tokens are repeats as a whole: all
    but the first are decided. What a task finds repeated among its own runs is decided before the shuffle, so of a text that
    stands in very many documents each task hands on one run only.
-2. Where one anchor has runs with different tokens, their first ones stay open: some windows may be shared, others not. Of bytes
-   only the halves of such a run stay open whose next ranks (the anchor with half the rest before or after it) another document shares.
+2. Where one anchor has runs with different tokens, their first ones stay open: some windows may be shared, others not. Only
+   the halves of such a run stay open whose next ranks (the anchor with half the rest before or after it) another one shares.
 3. Each open window is a row: the rank of its first half, the rank at the offset of its second half, its place. What a task finds
    equal among its own rows is decided before the shuffle, so a passage of very many documents sends one row a task and gather;
    Spark sorts the rank pairs of all others, and one pass over them finds the windows that stand elsewhere before.
@@ -114,10 +114,8 @@ def _tokens(data: np.ndarray, off: np.ndarray, w: Windows):
 
 
 def contexts(spans, lo: np.ndarray, at: np.ndarray, total: int, w: Windows) -> np.ndarray:
-    """Of each run of byte windows 5 bits for half the rest before its anchor, 5 for that after it, and the anchor's distance. Few bits
+    """Of each run 5 bits for half the rest before its anchor, 5 for that after it, and the anchor's distance. Few bits
     only leave a few more halves open."""
-    if w.words:
-        return np.zeros(len(at), np.uint64)
     before = spans(np.maximum(at - w.half, 0), at) & np.uint64(31)
     after = spans(np.minimum(at + w.gram, total), np.minimum(at + w.gram + w.half, total)) & np.uint64(31)
     return before | (after << np.uint64(5)) | ((at - lo).astype(np.uint64) << np.uint64(10))
@@ -173,7 +171,7 @@ def run_rows(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
                 if not len(row):
                     continue
                 ids = rows["doc_id"].to_numpy()
-                parts.append((grams[at], spans(lo, hi + w.width), ids[row], lo - first[row], hi - lo + 1, contexts(spans, lo, at, len(data), w)))
+                parts.append((grams[at], spans(lo, hi + w.width), ids[row], lo - first[row], hi - lo + 1, contexts(spans, lo, at, int(first[-1]), w)))
                 held += len(row)
                 if held >= GATHER:
                     yield out()
@@ -260,9 +258,7 @@ def decide(s: Sorted, w: Windows) -> tuple[np.ndarray, np.ndarray]:
 
 def _halves(s: Sorted, candidates: np.ndarray, w: Windows) -> np.ndarray:
     """Which halves of the candidates stay open: windows with the anchor late share all of `half` bytes before it with whatever they
-    equal, the others as many after it. A half whose rank no other document shares drops out."""
-    if w.words:
-        return np.where(candidates, 3, 0)
+    equal, the others as many after it. A half whose rank no other document (or place, if these count) shares drops out."""
     far = (s.context >> np.uint64(10)).astype(np.int64)
     near = far - s.len + 1
     out = np.zeros(len(far), np.int64)
@@ -273,7 +269,8 @@ def _halves(s: Sorted, candidates: np.ndarray, w: Windows) -> np.ndarray:
             low, high = np.full(group.max() + 1, LAST), np.zeros(group.max() + 1, np.int64)
             np.minimum.at(low, group, s.doc[at])
             np.maximum.at(high, group, s.doc[at])
-            out[at] |= np.where((high > low)[group], bit, 0)
+            shared = np.bincount(group) > 1 if w.same_document else high > low
+            out[at] |= np.where(shared[group], bit, 0)
     return np.where(out > 0, out | (far << 2), 0)
 
 
@@ -375,9 +372,8 @@ def open_windows(docs: DataFrame, open_runs: DataFrame, w: Windows) -> DataFrame
                 n = hi - lo + 1
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                 row, key, far = np.repeat(row, n), np.repeat(key & 3, n), np.repeat((key >> 2) + lo, n) - at
-                if not w.words:
-                    mine = (np.where(far >= w.half, 1, 2) & key) > 0
-                    at, row = at[mine], row[mine]
+                mine = (np.where(far >= w.half, 1, 2) & key) > 0
+                at, row = at[mine], row[mine]
                 if not len(at):
                     continue
                 low = np.uint64(0xFFFFFFFF)
