@@ -303,6 +303,7 @@ def _compare(placed: DataFrame, rule: Rule) -> DataFrame:
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     summary = common.written(_summaries(docs, rule), "join-sets")
     # trees: sets that share keys
     same_key = Window.partitionBy("key")

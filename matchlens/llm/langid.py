@@ -101,32 +101,33 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_DOCS, entries: int = E
 
 
 class Scorer:
+    """tables: per n (0: words) the row of each term in scores, its log frequency in each language."""
+
     def __init__(self, model: Model):
-        self.langs, self.tables = model.langs, []
-        table, langs = pa.ipc.open_stream(model.terms).read_all(), pa.array(model.langs, pa.string())
+        self.langs, self.tables, scores = model.langs, [], [np.zeros((0, len(model.langs)))]
+        table, langs, rows = pa.ipc.open_stream(model.terms).read_all(), pa.array(model.langs, pa.string()), 0
         for n, size in enumerate(model.sizes):
             part = table.filter(pc.equal(table["n"], n))
             term = part["term"].combine_chunks().dictionary_encode()
             c = np.zeros((len(term.dictionary), len(self.langs)))
             c[term.indices.to_numpy(), pc.index_in(part["lang"], langs).to_numpy()] = part["c"].to_numpy()
-            with np.errstate(divide="ignore"):
-                scores = np.log((c + SMOOTHING) / (size[:, 0] + SMOOTHING * (size[:, 1] + 1)))
-            self.tables.append((dict(zip(term.dictionary.to_pylist(), range(len(c)))), scores))
+            scores.append(np.log((c + SMOOTHING) / (size[:, 0] + SMOOTHING * (size[:, 1] + 1))))
+            self.tables.append(dict(zip(term.dictionary.to_pylist(), range(rows, rows + len(c)))))
+            rows += len(c)
+        self.scores = np.concatenate(scores)
         self.rows = np.zeros((CACHE, max(1, len(self.langs))))
         self.at: dict[str, int] = {}
 
-    def word(self, w: str) -> np.ndarray | float:
-        """The word's log frequency in each language (0 if nothing of it is known)."""
-        at, scores = self.tables[0]
-        if (k := at.get(w)) is not None:
-            return scores[k]
+    def known(self, w: str) -> list[int]:
+        """Rows of scores whose mean is the word's: its own, or those of its longest known n-grams."""
+        if (k := self.tables[0].get(w)) is not None:
+            return [k]
         marked = f" {w} "
         for n in range(len(self.tables) - 1, 0, -1):
-            at, scores = self.tables[n]
-            found = [k for i in range(len(marked) - n + 1) if (k := at.get(marked[i:i + n])) is not None]
-            if found:
-                return scores[found].sum(0) / len(found)
-        return 0.0
+            get = self.tables[n].get
+            if found := [k for i in range(len(marked) - n + 1) if (k := get(marked[i:i + n])) is not None]:
+                return found
+        return []
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
@@ -139,14 +140,20 @@ class Scorer:
             part = items[a:a + CACHE // 2]
             if len(self.at) + len(part) > CACHE:
                 self.at.clear()
-            at, rows = self.at, self.rows
-            where = []
+            at, rows, where, new, flat, sizes = self.at, self.rows, [], [], [], []
             for w, _ in part:
                 k = at.get(w)
                 if k is None:
                     k = at[w] = len(at)
-                    rows[k] = self.word(w)
+                    found = self.known(w)
+                    new.append(k)
+                    flat += found
+                    sizes.append(len(found))
                 where.append(k)
+            if new:
+                n = np.array(sizes)
+                sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(self.scores[flat], axis=0)])
+                rows[new] = (sums[np.cumsum(n)] - sums[np.cumsum(n) - n]) / np.maximum(n, 1)[:, None]
             total += np.fromiter((c for _, c in part), float, len(part)) @ rows[where]
         p = np.exp((total - total.max()) / math.sqrt(len(words)))
         best = int(total.argmax())
@@ -156,6 +163,7 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """docs' columns `keep` plus lang_pred and score. Only the text is an input of the prediction."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
