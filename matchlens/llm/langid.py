@@ -39,7 +39,7 @@ SMOOTHING = 0.5
 CACHE = 100_000
 #: What `\w` takes besides letters, decimal digits and the underscore: number signs.
 NUMBER_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]+")
+LETTERS, SIGNS = re.compile(r"[^\W\d_]+"), re.compile(f"[{NUMBER_SIGNS}]")
 
 
 def held_out() -> Column:
@@ -130,7 +130,8 @@ class Scorer:
         return []
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
+        # taken out beforehand: one class of letters without them would be tried sign by sign
+        words = LETTERS.findall((text if text.isascii() else SIGNS.sub(" ", text)).lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
         counts = Counter(words)
