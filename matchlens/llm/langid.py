@@ -37,9 +37,16 @@ MAX_N = 4
 SMOOTHING = 0.5
 #: Words of which a worker keeps the score at hand; emptied when full.
 CACHE = 100_000
-#: What `\w` takes besides letters, decimal digits and the underscore: number signs.
-NUMBER_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS, SIGNS = re.compile(r"[^\W\d_]+"), re.compile(f"[{NUMBER_SIGNS}]")
+#: Runs of letters and of number signs, which `\w` takes besides decimal digits and the underscore.
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased runs of letters."""
+    words = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
 def held_out() -> Column:
@@ -130,8 +137,7 @@ class Scorer:
         return []
 
     def score(self, text: str | None) -> tuple[str, float]:
-        # taken out beforehand: one class of letters without them would be tried sign by sign
-        words = LETTERS.findall((text if text.isascii() else SIGNS.sub(" ", text)).lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
         counts = Counter(words)
