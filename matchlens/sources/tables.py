@@ -63,8 +63,12 @@ def predictions_csv(spark: SparkSession, directory: str, lookback: int | None =
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing else uses in the folder that driver and executors share; in a local one where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    """A path that nothing else uses in the folder that driver and executors share; in local mode in one of our own where the session names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
