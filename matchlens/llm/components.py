@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ROUNDS = 40
-
 
 def _mark(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -34,14 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> (node, comp): comp is the smallest node reached; nodes without an edge don't occur."""
     edges = common.written(edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
     mark = _mark(edges)
-    for _ in range(ROUNDS):
-        if not mark[0]:
-            break
+    while mark[0]:
         edges = common.written(_star(_star(edges, True), False), "cc-edges")
         new = _mark(edges)
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -39,6 +39,8 @@ BLOCK_SETS, BLOCK_ITEMS = 2048, 1_500_000
 SPARE = 0.5
 BROADCAST_ROWS = 500_000
 MAX_SIZE = 1 << 40
+#: Tells rows of one id apart.
+MARK = "xxhash64(text) as mark"
 
 
 @dataclass(frozen=True)
@@ -113,7 +115,10 @@ def keys(items: np.ndarray, lows: np.ndarray, rule: Rule) -> np.ndarray:
         if n > reach:
             continue
         total = high + reach
-        d = total - 2 * rule.need(total) + 1  # one above, since rounding up is not monotone in the total
+        totals = np.arange(max(2 * int(lows[c]), total - rule.num - rule.den + 1), total + 1)  # rounding up repeats with this period
+        d = int((totals - 2 * rule.need(totals)).max())
+        if not d:  # only equal sets link, and these are one node
+            continue
         spare = max(1, int(SPARE * d))
         k = d + spare
         part = (vectors.mix(items, 31) % np.uint64(k)).astype(np.int64)
@@ -127,29 +132,48 @@ def keys(items: np.ndarray, lows: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, node, n of every document."""
+    """doc_id, mark (a hash of the text), node, n of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in vectors.pieces(batch, "text"):
                 grams, first = sets(data, off, rule.words)
-                yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(nodes(grams, first)), pa.array(np.diff(first))], names=["doc_id", "node", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("node", "long").add("n", "long"))
+                yield pa.RecordBatch.from_arrays(
+                    [rows["doc_id"], rows["mark"], pa.array(nodes(grams, first)), pa.array(np.diff(first))], names=["doc_id", "mark", "node", "n"]
+                )
+
+    return docs.selectExpr("doc_id", "text", MARK).mapInArrow(run, docs.select("doc_id").schema.add("mark", "long").add("node", "long").add("n", "long"))
+
+
+def near_by(flat: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key rows (key, node) of a batch with each key once: of the nodes that share a key here, the smallest goes on under the key,
+    and the others meet it under a key of that node's own. So a key that all documents share leaves a batch as one row."""
+    order = np.lexsort((own, flat))
+    flat, own = flat[order], own[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    low = own[new][np.cumsum(new) - 1] if len(own) else own
+    linked = np.stack([low[low != own], own[low != own]])
+    linked = np.unique(linked, axis=1) if linked.size else linked
+    centres = np.unique(linked[0])
+    return (
+        np.concatenate([flat[new], vectors.mix(centres.view(np.uint64), 23), vectors.mix(linked[0].view(np.uint64), 23)]),
+        np.concatenate([own[new], centres, linked[1]]),
+    )
 
 
 def _key_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """key, node of every document that has a set."""
+    """key, node: nodes that share a key are of one tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows = rule.ranges()
         for batch in batches:
             for _, data, off in vectors.pieces(batch, "text"):
                 grams, first = sets(data, off, rule.words)
-                ids = nodes(grams, first)
-                got = [keys(grams[a:b], lows, rule) if b > a else np.zeros(0, np.uint64) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                ids, at = np.unique(nodes(grams, first), return_index=True)
+                got = [keys(grams[a:b], lows, rule) if b > a else np.zeros(0, np.uint64) for a, b in zip(first[at].tolist(), first[at + 1].tolist())]
                 flat = np.concatenate(got) if got else np.zeros(0, np.uint64)
-                own = np.repeat(ids, [len(g) for g in got])
+                flat, own = near_by(flat, np.repeat(ids, [len(g) for g in got]))
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(own)], names=["key", "node"])
 
     return docs.select("text").mapInArrow(run, "key long, node long")
@@ -162,15 +186,26 @@ def _members(docs: DataFrame, chosen: DataFrame, n_chosen: int, rule: Rule) -> D
         for batch in batches:
             for rows, data, off in vectors.pieces(batch, "text"):
                 grams, first = sets(data, off, rule.words)
-                good = pa.array(nodes(grams, first) == rows["node"].to_numpy())  # not another text of the same id
+                good = pa.array(nodes(grams, first) == rows["node"].to_numpy())  # not another text of the same id and hash
                 items = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows["tree"], rows["block"], rows["node"], items], names=["tree", "block", "node", "items"]).filter(good)
 
     picked = F.broadcast(chosen) if n_chosen <= BROADCAST_ROWS else chosen
-    texts = docs.select("doc_id", "text").join(picked, F.expr("doc_id <=> rep")).select("tree", "block", "node", "text")
+    texts = docs.selectExpr("doc_id", "text", MARK).join(picked, F.expr("doc_id <=> rep and mark = rep_mark")).select("tree", "block", "node", "text")
     return texts.mapInArrow(run, "tree long, block int, node long, items array<long>")
 
 
+def _blocks(reps: DataFrame) -> DataFrame:
+    """reps (tree, node, n, ...) with the block of each node in its tree: by size, then by hash. Counted by size, so that no
+    task holds a whole tree; a size with more sets than a block holds is dealt over several."""
+    share = F.lit(1 / BLOCK_SETS) + F.col("n") / F.lit(BLOCK_ITEMS)
+    sizes = reps.groupBy("tree", "n").agg(F.count("*").alias("some")).withColumn("weight", F.col("some") * share)
+    before = Window.partitionBy("tree").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = common.written(sizes.select("tree", "n", "weight", F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("before")), "join-sizes")
+    spread = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(1 << 20)
+    return reps.join(placed, ["tree", "n"]).withColumn("block", F.floor(F.col("before") + F.col("weight") * spread).cast("int")).drop("weight", "before")
+
+
 def _bitmaps(items: np.ndarray, first: np.ndarray) -> np.ndarray:
     m = len(first) - 1
     out = np.zeros((m, BITS), bool)
@@ -305,15 +340,14 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     summary = common.written(_summaries(docs, rule), "join-sets")
+    one = F.coalesce(F.min_by("mark", "doc_id"), F.min("mark"))
+    by_node = common.written(summary.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), one.alias("rep_mark"), F.min("n").alias("n")), "join-nodes")
     # trees: sets that share keys
     same_key = Window.partitionBy("key")
     pairs = _key_rows(docs, rule).withColumn("low", F.min("node").over(same_key)).where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
     trees = common.written(components(pairs), "join-trees")
-    reps = summary.join(trees, "node").groupBy("node", "comp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    in_tree = Window.partitionBy("comp").orderBy("n", "node")
-    running = in_tree.rowsBetween(Window.unboundedPreceding, 0)
-    block = F.floor((F.row_number().over(in_tree) - 1) / BLOCK_SETS) + F.floor(F.sum("n").over(running) / BLOCK_ITEMS)
-    chosen = common.written(reps.select(F.col("comp").alias("tree"), "node", "rep", "n", block.cast("int").alias("block")), "join-members")
+    reps = common.written(by_node.join(trees, "node").withColumnRenamed("comp", "tree"), "join-reps")
+    chosen = common.written(_blocks(reps).select("tree", "node", "rep", "rep_mark", "n", "block"), "join-members")
     blocks = chosen.groupBy("tree", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     other = blocks.select("tree", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     tasks = common.written(
@@ -327,9 +361,11 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     placed = members.join(sides, ["tree", "block"]).select("tree", "i", "j", "side", "node", "items")
     spread = placed.repartition(common.shuffle_partitions(spark), "tree", "i", "j").sortWithinPartitions("tree", "i", "j", "side")
     found = components(_compare(spread, rule))
-    grouped = summary.join(found, "node", "left").withColumn("class", F.coalesce("comp", "node"))
-    first = grouped.groupBy("class").agg(F.min("doc_id").alias("first_id"))
-    return grouped.join(first, "class").select(
+    # first documents of classes of nodes, then of nodes: what meets on a large class or node is a table, whose join adaptive execution splits
+    grouped = common.written(by_node.join(found, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("class")), "join-classes")
+    first = common.written(grouped.groupBy("class").agg(F.min("rep").alias("first_id")), "join-firsts")
+    of_node = common.written(grouped.join(first, "class").select("node", "first_id"), "join-first-of-node")
+    return summary.join(of_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 

@@ -68,3 +68,41 @@ def test_components(spark):
         x, y = sorted((top(a), top(b)))
         parent[y] = x
     assert all(got[x] == top(x) for p in pairs if p[0] != p[1] for x in p)
+
+
+def test_keys_leave_a_batch_once():
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 50):
+        flat, own = rnd.integers(0, 20, n).astype(np.uint64), rnd.integers(-9, 9, n)
+        keys, nodes = jj.near_by(flat, own)
+        known = np.isin(keys, flat)
+        assert sorted(keys[known].tolist()) == sorted(set(flat.tolist()))
+
+        def trees(pairs):
+            top = {}
+            for k, v in pairs:
+                both = top.get(("k", k), {("k", k)}) | top.get(("v", v), {("v", v)})
+                for x in both:
+                    top[x] = both
+            return {frozenset(v for t, v in group if t == "v") for group in top.values()}
+
+        assert trees(zip(keys.tolist(), nodes.tolist())) == trees(zip(flat.tolist(), own.tolist()))
+
+
+def test_many_sets_of_one_size(spark, monkeypatch):
+    """A tree whose sets are all of one size is dealt over several blocks."""
+    monkeypatch.setattr(jj, "BLOCK_SETS", 10)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[:20], f"x{i}", *base[20:]])) for i in range(60)] + [(100 + i, " ".join(base)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = jj.Rule(3, 80, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.classes(docs, rule).collect()}
+    assert got == brute.jaccard_classes(rows, 3, 80, 100)
+
+
+def test_many_rows_without_id(spark):
+    rows = [(None, f"a{i} b c d e f g h i j k l m n o p q r s t u v w x y z") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jj.classes(docs, jj.Rule(3, 8, 10)).collect()
+    assert len(got) == 300 and {r.component_id for r in got} == {None}
+    assert jj.one_of_each(docs, jj.Rule(3, 8, 10)).count() == 1
