@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.scalars import file_keys
 from . import schemas
 
@@ -63,13 +62,8 @@ def predictions_csv(spark: SparkSession, directory: str, lookback: int | None =
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing else uses in the folder that driver and executors share; in local mode in one of our own where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if spark.conf.get("spark.master", "").split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses in the folder that driver and executors share."""
+    return scratch.path(spark, name)
 
 
 def write_table(df: DataFrame, path: str) -> None:
