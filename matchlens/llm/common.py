@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch as space
+from ..scratch import shared_dir  # noqa: F401
+
 #: A word, everywhere in this package: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -22,20 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none, one of our own in local mode, else an error."""
-    where = spark.conf.get(CHECKPOINT_DIR, None)
-    if not where:
-        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set(CHECKPOINT_DIR, where)
-    return where.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return space.path(spark, name)
 
 
 @contextlib.contextmanager
