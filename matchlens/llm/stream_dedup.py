@@ -218,13 +218,18 @@ def result(spark: SparkSession, where: str) -> DataFrame:
     )
 
 
+def arrivals_of(spark: SparkSession, folder: str, name: str, batches: int = BATCHES) -> DataFrame:
+    """A table's rows as a stream that deals its files to about `batches` micro-batches; a table of one file is found through its folder."""
+    static = spark.read.parquet(f"{folder}/{name}").select("doc_id", "text")
+    files = static.inputFiles()
+    source = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // batches)))
+    alone = len(files) == 1 and files[0].endswith(f"/{name}")
+    return source.option("pathGlobFilter", name).parquet(folder) if alone else source.parquet(f"{folder}/{name}")
+
+
 def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
-    static = spark.read.parquet(path).select("doc_id", "text")
-    files = len(static.inputFiles())
-    arrivals = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(path)
     where = common.scratch(spark, "stream-dedup")
-    advance(arrivals, where)
+    advance(arrivals_of(spark, sf_dir, "documents.parquet"), where)
     return result(spark, where).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
