@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, langid, mixing, pii, simhash, suffix_dedup, token_store, window_index
+from . import chat, decontaminate, jaccard_join, langid, manifest, mixing, pii, simhash, spelling, stream_dedup, suffix_dedup, token_store, window_index
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_window_index": window_index.op9_window_index,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_manifest": manifest.op11_manifest,
+    "op12_stream_dedup": stream_dedup.op12_stream_dedup,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op5_mix": mixing.ORACLE,
     "op9_window_index": window_index.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op12_stream_dedup": stream_dedup.ORACLE,
 }
