@@ -43,6 +43,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # else each state partition reserves megabytes of disk ahead of its few entries
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 MERGED = "bucket long, digest binary, text binary, ids array<long>"
 ASSIGNED = "digest binary, no int, ids array<long>, keep long, size long, raised boolean"
