@@ -63,6 +63,11 @@ def history_weeks(cal: DataFrame, lookback: int) -> DataFrame:
     return pairs.withColumn("complete", complete).where("complete").where(last | (F.col("used") < lookback)).select("season", "week", "h_season", "h_week")
 
 
+def weeks_in_reach(cal: DataFrame, lookback: int) -> DataFrame:
+    """season, week, h_season, h_week: each week with every earlier one that has at most lookback regular weeks since."""
+    return _back(cal).where(F.col("back") <= lookback).select("season", "week", "h_season", "h_week")
+
+
 def target_weeks(cal: DataFrame, season: int, week: int, lookback: int) -> DataFrame:
     """season, week of the current week and of every earlier one with at most lookback regular weeks since."""
     now = (F.col("season") == season) & (F.col("week") == week)

@@ -197,15 +197,24 @@ def matchup_features(stats: DataFrame, pairs: DataFrame, target: Sequence[str] =
     return both.select(*target, "away_team", "home_team", *out)
 
 
+def _built(plays: DataFrame, sched: DataFrame, games: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own, dee = passer_value(plays, sched, history)
+    ratings = starters(games, own)
+    best = ratings.where("team is not null").groupBy(*TARGET, "team").agg(F.min_by("weighted_qb_elo", "name").alias("off_qb_elo"))
+    stats = reduce(lambda a, b: a.join(b, [*TARGET, "team"], "left"), [team_stats(plays, history), best, dee])
+    return games.join(matchup_features(stats, games), [*TARGET, "away_team", "home_team"], "left"), ratings
+
+
 def feature_build(plays: DataFrame, sched: DataFrame, season: int, week: int, lookback: int) -> tuple[DataFrame, DataFrame]:
     """(features, passer ratings) of the target week and of every earlier week in reach of lookback, in one plan."""
     past = sched.where(~F.coalesce((F.col("season") == season) & (F.col("week") > week), F.lit(False)))
     cal = W.calendar(past)
     wanted = W.target_weeks(cal, season, week, lookback)
     history = W.history_weeks(cal, lookback).join(F.broadcast(wanted), TARGET, "left_semi")
-    games = past.join(F.broadcast(wanted), TARGET, "left_semi")
-    own, dee = passer_value(plays, past, history)
-    ratings = starters(games, own)
-    best = ratings.where("team is not null").groupBy(*TARGET, "team").agg(F.min_by("weighted_qb_elo", "name").alias("off_qb_elo"))
-    stats = reduce(lambda a, b: a.join(b, [*TARGET, "team"], "left"), [team_stats(plays, history), best, dee])
-    return games.join(matchup_features(stats, games), [*TARGET, "away_team", "home_team"], "left"), ratings
+    return _built(plays, past, past.join(F.broadcast(wanted), TARGET, "left_semi"), history)
+
+
+def feature_build_all(plays: DataFrame, sched: DataFrame, lookback: int) -> tuple[DataFrame, DataFrame]:
+    """(features, passer ratings) of all weeks whose window is complete: a week's window ends before it, so weeks to come change nothing."""
+    history = W.history_weeks(W.calendar(sched), lookback)
+    return _built(plays, sched, sched.join(history, TARGET, "left_semi"), history)

@@ -123,12 +123,19 @@ def test_feature_build_and_runs(spark, tiny):
     assert len(now) == 2 and all(r[f] is not None for r in now for f in features.FEATURES)
     assert all(-1.5 <= r[f] <= 1.5 for r in now for f in features.FEATURES)
     assert {r.name for r in ratings.where("season = 2024 and week = 4").collect()} <= {f"{x}.{t}" for x in "AB" for t in TEAMS}
-    predicted, metrics = runs.run(spark, store, 2024, 4, 3, members=3, kind="linear")
-    assert metrics.count() == 3 and predicted.count() in (0, 2)
-    again, _ = runs.run(spark, store, 2024, 4, 3, reuse=True, members=3, kind="linear")
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, predicted.collect()))
+    few = features.FEATURES[:3]
+    predicted, metrics = runs.run(spark, store, 2024, 4, 3, members=3, columns=few)
+    predicted = predicted.collect()
+    assert metrics.count() == 3 and len(predicted) in (0, 2)
+    again, _ = runs.run(spark, store, 2024, 4, 3, reuse=True, members=3, columns=few)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, predicted))
     weeks = runs.back_fill_weeks(tables.sched(spark, f"{store}/sched"), 3)
-    assert weeks == [(2024, 4), (2024, 3), (2024, 2), (2024, 1), (2023, 4)]
+    assert sorted(map(tuple, weeks.collect())) == [(2023, 4), (2024, 1), (2024, 2), (2024, 3), (2024, 4)]
+    # the back-fill of all weeks in one plan has the same predictions as the run of one week
+    status = {(r.t_season, r.t_week): r.asDict() for r in runs.back_fill(spark, store, 3, members=3, columns=few).collect()}
+    assert set(status) == {tuple(r) for r in weeks.collect()} and all(r["n_games"] == 2 or r["status"] == "no features" for r in status.values())
+    kept = tables.window_slice(spark, f"{store}/bt", 2024, 4, 3).select("away_team", "home_team", "prediction", "var").collect()
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, predicted))
 
 
 def test_matchup_by_hand(spark):
@@ -219,13 +226,39 @@ def test_model_gate(spark):
     rnd = random.Random(1)
     rows = [(2024, w, f"a{k}", f"h{k}", float(3 * x + rnd.random()), 0.0, x, rnd.random()) for w in range(1, 6) for k in range(30) for x in [rnd.uniform(-5, 5)]]
     df = spark.createDataFrame(rows, "season int, week int, away_team string, home_team string, away_score double, home_score double, `away_x.%` double, noise double")
-    predicted, metrics = model.predict(df, 2024, 5, members=4, kind="linear", columns=["away_x.%", "noise"])
+    predicted, metrics = model.predict(df, 2024, 5, members=4, columns=["away_x.%", "noise"])
     truth = {r[2]: r[4] for r in rows if r[1] == 5}
     got = {r.away_team: r.prediction for r in predicted.collect()}
     assert set(got) == set(truth) and all(abs(got[t] - truth[t]) < 2 for t in truth)
     assert all(r.r2 > 0.9 for r in metrics.collect())
 
 
+def test_fits_equal_least_squares(spark):
+    """Each target's and member's coefficients and metrics against a direct ridge solution on the drawn rows."""
+    import hashlib
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    rows = [(1, w, f"a{k}", f"h{k}", 2 * a - b + rnd.gauss(0, 1), [1.0, a, b]) for w in range(1, 7) for k in range(15) for a, b in [(rnd.random(), rnd.gauss(0, 2))]]
+    df = spark.createDataFrame(rows, "season int, week int, away_team string, home_team string, label double, x array<double>")
+    windows = spark.createDataFrame([(1, t, 1, w) for t in (4, 6) for w in range(1, 7) if t - 3 <= w < t], "t_season int, t_week int, season int, week int")
+
+    def drawn(m, r):
+        u = int(hashlib.md5("|".join(map(str, (m, *r[:4]))).encode()).hexdigest()[:8], 16) / 2**32
+        return sum(u >= p for p in model.POISSON)
+
+    seen = 0
+    for r in model.fit(df, windows, 3, 5).collect():
+        own = [x for x in rows if r.t_week - 3 <= x[1] < r.t_week]
+        X, y, w = np.array([x[5] for x in own]), np.array([x[4] for x in own]), np.array([drawn(r.member, x) for x in own])
+        b = np.linalg.solve(X.T @ (X * w[:, None]) + np.diag([0, model.RIDGE, model.RIDGE]), X.T @ (w * y))
+        e = y - X @ b
+        assert r.b == pytest.approx(list(b)) and r.n_train == len(own) and r.mse == pytest.approx((e @ e) / len(own)) and r.r2 == pytest.approx(1 - e @ e / ((y - y.mean()) ** 2).sum())
+        seen += 1
+    assert seen == 10
+
+
 def test_stream_of_plays(spark, tmp_path):
     from matchlens.streaming import partials
 
