@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import windows as W
@@ -174,7 +175,8 @@ def _reversed(metric: Column) -> Column:
 
 def matchup_features(stats: DataFrame, pairs: DataFrame, target: Sequence[str] = TARGET, wanted: Sequence[str] = tuple(FEATURES)) -> DataFrame:
     """Each pair's features: percentile ranks within the target, away against home, scaled by the away team's shares of play types."""
-    ranked = [c for c in stats.columns if c[:4] in ("off_", "def_") and "run_%" not in c and "pass_%" not in c]
+    needed = {f"{side}_{name[9:]}" for name in wanted for side in ("off", "def")}
+    ranked = [c for c in stats.columns if c in needed]
     shares = [c for c in ("off_run_%", "off_pass_%") if c in stats.columns]
     entries = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in ranked]))
     long = stats.select(*target, "team", entries.alias("e")).select(*target, "team", "e.metric", "e.value")
@@ -201,7 +203,8 @@ def _built(plays: DataFrame, sched: DataFrame, games: DataFrame, history: DataFr
     own, dee = passer_value(plays, sched, history)
     ratings = starters(games, own)
     best = ratings.where("team is not null").groupBy(*TARGET, "team").agg(F.min_by("weighted_qb_elo", "name").alias("off_qb_elo"))
-    stats = reduce(lambda a, b: a.join(b, [*TARGET, "team"], "left"), [team_stats(plays, history), best, dee])
+    # a row a week and team, read three times from here on
+    stats = scratch.written(reduce(lambda a, b: a.join(b, [*TARGET, "team"], "left"), [team_stats(plays, history), best, dee]), "team-stats")
     return games.join(matchup_features(stats, games), [*TARGET, "away_team", "home_team"], "left"), ratings
 
 

@@ -46,7 +46,8 @@ def back_fill_all(games: DataFrame, cal: DataFrame, targets: DataFrame, lookback
     its status, not an error: the others are computed all the same.
     """
     m = len(columns) + 1
-    rows = scratch.written(model.game_rows(games, columns), "back-fill-games")
+    games = scratch.written(games.select(*model.GAME, "label", *[F.col(f"`{c}`") for c in columns]), "back-fill-games")
+    rows = model.game_rows(games, columns)
     windows = training_windows(cal, targets, lookback)
     fits = scratch.written(model.fit(rows, windows, m, members, ridge), "back-fill-fits")
     predicted = model.forecast(rows, fits, places)
