@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .catalog import TEAM_COLUMNS, TEAM_METRICS, TEAM_STATS, query, r
+from .operators import aggregates as A
 from .operators import windows as W
+from .operators.median import exact_median
 from .plans import features, model, runs
-from .standins import FULL_PLAYS, full_plays
+from .standins import FULL_PLAYS, full_plays, table
 
 # --- ensemble and back-fill -----------------------------------------------------------------------------------------
 
@@ -116,3 +118,22 @@ left join (select ts, tw, max(n_train) as n_train, count(*) filter (r2 > 0) as n
 def back_fill_status(spark, d):
     """A row a target month: what it had to go on, and why it has no predictions if it has none."""
     return _back_fill(spark, d)[1]
+
+
+# --- medians and ranks of any size ------------------------------------------------------------------------------------
+
+
+@query("select l_returnflag, round(median(l_extendedprice), 4) as mid, count(*) filter (l_extendedprice > 90000) as n_high from lineitem group by l_returnflag")
+def hot_median(spark, d):
+    """Medians of three groups, each too large for one task by the limit set here: their values are spread by range."""
+    lines = table(spark, d, "lineitem")
+    high = lines.groupBy("l_returnflag").agg(F.count_if(F.col("l_extendedprice") > 90000).alias("n_high"))
+    return r(exact_median(lines, ["l_returnflag"], "l_extendedprice", "mid", large=1000).join(high, "l_returnflag").select("l_returnflag", "mid", "n_high"), 4)
+
+
+@query("""with k as (select event_type, nullif(value, 0) as value, ts, rank() over (order by ts) + (count(*) over (partition by ts) - 1) / 2.0 as rk from events where ts is not null)
+select event_type, round(sum(value * rk) / sum(rk), 6) as value from k where event_type is not null group by event_type""")
+def rank_weight_times(spark, d):
+    """Rank weights by time stamps, of which almost each event has its own."""
+    e = table(spark, d, "events").select("event_type", F.nullif("value", F.lit(0.0)).alias("value"), "ts")
+    return r(A.rank_weight_stat(e, "ts", ["event_type"], "value", "mean"))

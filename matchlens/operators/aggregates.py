@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars as S
+from .prefix import running_sum
 
 
 def keep(df: DataFrame, column: str, values: str | Sequence[str] | None) -> DataFrame:
@@ -55,18 +57,16 @@ def decay_stat(df: DataFrame, date: str, group: Sequence[str], stat: str, agg: s
 def rank_weight_stat(df: DataFrame, date: str, group: Sequence[str], stat: str, agg: str) -> DataFrame:
     """The same with weights by rank: the average rank of the days ago, descending, over all ranks.
 
-    The rank depends on the date alone: dates are counted, and a date's rank comes from the rows on later days. The
-    table of dates is summed up by itself, so no window runs over all rows.
+    The rank depends on the date alone: rows are counted by date, and the counts are summed up along the dates by ranges, so that the plan stays
+    linear where each row has a time of its own.
     """
-    part = df.where(F.col(date).isNotNull()).groupBy(date, *group).agg(F.sum(stat).alias("sx"), F.count("*").alias("n"))
+    part = scratch.written(df.where(F.col(date).isNotNull()).groupBy(date, *group).agg(F.sum(stat).alias("sx"), F.count("*").alias("n")), "rank-parts")
     dates = part.groupBy(date).agg(F.sum("n").alias("rows"))
-    earlier = dates.select(F.col(date).alias("d0"), F.col("rows").alias("r0"))
-    # oldest first: the rows before a date, plus the middle of its own (the table has one row a day)
-    ranked = dates.join(F.broadcast(earlier), F.col("d0") < F.col(date), "left").groupBy(date, "rows").agg(F.coalesce(F.sum("r0"), F.lit(0)).alias("before"))
-    ranked = ranked.select(date, (F.col("before") + (F.col("rows") + 1) / 2).alias("w"))
-    total = dates.agg(F.sum("rows").alias("all_rows"))
+    # oldest first: the rows before a date, plus the middle of its own
+    ranked = running_sum(dates, [], [date], "rows", "before").select(date, (F.col("before") + (F.col("rows") + 1) / 2).alias("w"))
+    total = part.agg(F.sum("n").alias("all_rows"))
     z = F.col("all_rows") * (F.col("all_rows") + 1) / 2
-    rows = _present(part, group).join(F.broadcast(ranked), date).join(F.broadcast(total)).withColumn("z", z)
+    rows = _present(part, group).join(ranked, date).join(F.broadcast(total)).withColumn("z", z)  # the total is one row
     return rows.groupBy(*group).agg(_finish(agg, F.col("w") * F.col("sx"), F.col("w") * F.col("n"), F.col("z"), F.col("n")).alias(stat))
 
 

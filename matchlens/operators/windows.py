@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .median import LARGE, exact_median
+
 
 def pct_rank(value: str, part: Sequence[str], reverse: bool | Column = False) -> Column:
     """Average-tie rank over count, ascending or reversed, within part (never over an undivided frame)."""
@@ -19,10 +21,10 @@ def pct_rank(value: str, part: Sequence[str], reverse: bool | Column = False) ->
     return down if reverse else up
 
 
-def impute_median(df: DataFrame, value: str, part: Sequence[str]) -> DataFrame:
-    """Nulls of a column become the median of their part."""
-    mid = df.groupBy(*part).agg(F.median(value).alias("mid"))
-    return df.join(mid, list(part)).withColumn(value, F.coalesce(F.col(value), F.col("mid"))).drop("mid")
+def impute_median(df: DataFrame, value: str, part: Sequence[str], large: int = LARGE) -> DataFrame:
+    """Nulls of a column become the median of their part; no part of more than `large` values is gathered."""
+    mid = exact_median(df, part, value, "mid", large)
+    return df.join(mid, list(part), "left").withColumn(value, F.coalesce(F.col(value), F.col("mid"))).drop("mid")
 
 
 def rank_metrics(long: DataFrame, part: Sequence[str], reverse: Column) -> DataFrame:
