@@ -75,24 +75,25 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, agree:
     )
     short = hashed_items.where(F.size("hashes") < window).limit(1).count() > 0
     masks = MASKS + SHORT_MASKS if short else MASKS
-    item_seeds = seed_rows(hashed_items, ["item_id"], masks).withColumnRenamed("pos", "item_pos")
+    item_seeds = seed_rows(hashed_items.withColumn("n_item", F.size("hashes")), ["item_id", "n_item"], masks).withColumnRenamed("pos", "item_pos")
     n_seeds = item_seeds.count()
 
     base = docs.select("doc_id", F.xxhash64(common.text_of()).alias("th"), "text")
     doc_seeds = seed_rows(base.select("doc_id", "th", token_hashes(F.col("text")).alias("hashes")), ["doc_id", "th"], masks)
     hits = common.written(
         doc_seeds.join(sized_broadcast(item_seeds, n_seeds), "seed")
-        .select("doc_id", "th", "item_id", (F.col("pos") - F.col("item_pos")).alias("diag")).distinct()
-        .groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "diag")).alias("hits")), "decon-hits",
+        .select("doc_id", "th", "item_id", "n_item", (F.col("pos") - F.col("item_pos")).alias("diag")).distinct()
+        .groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "n_item", "diag")).alias("hits")), "decon-hits",
     )
-    # the texts that were hit, cut to each diagonal before they are laid beside the item
-
     joined = base.join(
         sized_broadcast(hits.withColumnsRenamed({"doc_id": "d", "th": "t"}), hits.count()), F.expr("doc_id <=> d and th = t")
     ).select("doc_id", "hits", token_hashes(F.col("text")).alias("hashes"))
-    cut = joined.select("doc_id", "hashes", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.diag", "hashes")
-    laid = cut.join(sized_broadcast(hashed_items.withColumnsRenamed({"item_id": "i", "hashes": "item"}), n_seeds), F.expr("item_id <=> i"))
-    same = F.transform("item", lambda h, j: F.coalesce((F.get("hashes", F.when(j + F.col("diag") >= 0, j + F.col("diag"))) == h).cast("int"), F.lit(0)))
+    # a text is cut to the item's length at each diagonal before it goes anywhere, so rows are as long as items
+    part = lambda h: F.slice("hashes", F.greatest(h.diag, F.lit(0)) + 1, h.n_item)
+    cut = joined.select("doc_id", F.explode(F.transform("hits", lambda h: F.struct(h.item_id.alias("item_id"), F.least(h.diag, F.lit(0)).alias("shift"), part(h).alias("part")))).alias("hit"))
+    laid = cut.select("doc_id", "hit.*").join(sized_broadcast(hashed_items.withColumnsRenamed({"item_id": "i", "hashes": "item"}), n_seeds), F.expr("item_id <=> i"))
+    at = lambda j: j + F.col("shift")
+    same = F.transform("item", lambda h, j: F.coalesce((F.get("part", F.when(at(j) >= 0, at(j))) == h).cast("int"), F.lit(0)))
     w = F.least(F.lit(window), F.size("same"))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - w + 1), lambda s: F.aggregate(F.slice("same", s, w), F.lit(0), lambda a, x: a + x))
     scored = laid.select("doc_id", "item_id", same.alias("same")).select("doc_id", "item_id", w.alias("window"), F.array_max(sums).alias("matched"))

@@ -43,14 +43,27 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data), "<u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span: equal bytes, equal hash, wherever they stand."""
-    table, (up, down) = mix(np.arange(256, dtype=np.uint64), seed + 1), _powers(len(data))
+    """A 64-bit hash of data[start:end] for each span: equal bytes, equal hash, wherever they stand.
+
+    A polynomial over the mixed eight bytes at each place of the span. Over single bytes it would be the same for some unlike words of 1,024 letters, whatever
+    the seed, since powers of an odd base are close to 1 modulo powers of two; mixed overlapping bytes don't cancel out like that.
+    """
+    (up, down), eights, size = _powers(len(data)), _eights(data), ends - starts
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * up[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15), seed)
+        np.cumsum(mix(eights, seed + 1) * up[: len(data)], out=sums[1:])
+        long = size >= 8
+        h = (sums[np.where(long, ends - 7, starts)] - sums[starts]) * down[starts]
+        few = np.flatnonzero(~long & (size > 0))
+        h[few] = mix(eights[starts[few]] & ((_U(1) << (size[few] * 8).astype(np.uint64)) - _U(1)), seed + 2)
+        return mix(h + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15), seed)
 
 
 def window_hashes(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -162,12 +175,18 @@ def anchored_runs(grams: np.ndarray, first: np.ndarray, width: int, gram: int) -
 
 
 def token_span_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """span_hashes over an array of token hashes."""
-    up, down = _powers(len(tokens))
+    """span_hashes over an array of token hashes: a polynomial over mixed neighbours."""
+    (up, down), size = _powers(len(tokens)), ends - starts
     with np.errstate(over="ignore"):
+        mixed = mix(tokens, seed)
+        pairs = mix(mixed * _U(0xD6E8FEB86659FD93) + np.concatenate([mixed[1:], np.zeros(1, np.uint64)])[: len(mixed)], seed)
         sums = np.zeros(len(tokens) + 1, np.uint64)
-        np.cumsum(mix(tokens, seed) * up[: len(tokens)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15), seed)
+        np.cumsum(pairs * up[: len(tokens)], out=sums[1:])
+        long = size >= 2
+        h = (sums[np.where(long, ends - 1, starts)] - sums[starts]) * down[starts]
+        one = np.flatnonzero(size == 1)
+        h[one] = mixed[starts[one]]
+        return mix(h + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15), seed)
 
 
 def pack(x: np.ndarray, delta: bool = False) -> bytes:
