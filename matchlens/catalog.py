@@ -670,21 +670,28 @@ t as (select date, away, home, median(point) as total from x where name = 'Over'
 select date::varchar as date, case away when 1 then 'ONE' else away::varchar end as away_team, spread, home::varchar as home_team, total from t join s using (date, away, home)"""
 
 
-@query(ODDS)
-def consensus_odds(spark, d):
-    """The nested feed is built from events (books nest updates, these nest outcomes) and flattened again."""
+def odds_feed(spark, d):
+    """A nested feed from events: books nest updates, these nest outcomes."""
     e = table(spark, d, "events")
     name = F.when(F.col("event_id") % 2 == 0, "Over").when(F.col("event_id") % 3 == 0, "Under").otherwise((F.col("user_id") % 9).cast("string"))
     outcome = F.struct(name.alias("name"), F.lit(1.9).alias("price"), F.nullif((F.col("event_id") % 40) / 2, F.lit(3.5)).alias("point"))
-    books = (
+    return (
         e.select(F.date_trunc("day", "ts").alias("day"), (F.col("user_id") % 9).cast("string").alias("away_team"), (F.col("user_id") % 7 + 20).cast("string").alias("home_team"), F.date_trunc("hour", "ts").alias("u"), outcome.alias("o"))
         .groupBy("day", "away_team", "home_team", "u").agg(F.collect_list("o").alias("outcomes"))
         .select("day", "away_team", "home_team", F.struct(F.date_format("u", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_update"), F.array(F.struct("outcomes")).alias("markets")).alias("b"))
         .groupBy("day", "away_team", "home_team").agg(F.collect_list("b").alias("bookmakers"))
         .select(F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("commence_time"), "away_team", "home_team", "bookmakers")
     )
-    mapping = e.where("user_id % 9 = 1").select(F.lit("1").alias("old"), F.lit("ONE").alias("new")).distinct()
-    return odds.consensus(books, mapping).withColumn("date", F.col("date").cast("string"))
+
+
+def odds_mapping(spark, d):
+    return table(spark, d, "events").where("user_id % 9 = 1").select(F.lit("1").alias("old"), F.lit("ONE").alias("new")).distinct()
+
+
+@query(ODDS)
+def consensus_odds(spark, d):
+    """The nested feed is flattened again."""
+    return odds.consensus(odds_feed(spark, d), odds_mapping(spark, d)).withColumn("date", F.col("date").cast("string"))
 
 
 @query("with " + PLAYS + """ select team, round(-2.2 * sum(stat) + 3.7 * sum(made) + sum(price) / 5 - 14.1 * sum(failed) - 1.1 * coalesce(sum(case when play_type = 'A' then stat end) + sum(made), 0), 2) as value from plays group by team""")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import scratch
-from .catalog import TEAM_COLUMNS, TEAM_METRICS, TEAM_STATS, query, r
+from .catalog import BETS, HISTORY, KEYED, ODDS, ORACLES, TEAM_COLUMNS, TEAM_METRICS, TEAM_STATS, odds_feed, odds_mapping, query, r
 from .operators import aggregates as A
 from .operators import windows as W
 from .operators.median import exact_median
-from .plans import features, model, runs
-from .standins import FULL_PLAYS, full_plays, table
+from .plans import features, model, odds, reports, runs
+from .sources import tables
+from .standins import FULL_PLAYS, PREDICTIONS, full_plays, games, predictions, table
 
 # --- ensemble and back-fill -----------------------------------------------------------------------------------------
 
@@ -137,3 +138,70 @@ def rank_weight_times(spark, d):
     """Rank weights by time stamps, of which almost each event has its own."""
     e = table(spark, d, "events").select("event_type", F.nullif("value", F.lit(0.0)).alias("value"), "ts")
     return r(A.rank_weight_stat(e, "ts", ["event_type"], "value", "mean"))
+
+
+# --- landing, scans and the cached run --------------------------------------------------------------------------------
+
+
+@query("with " + FULL_PLAYS + " select p.season, p.week, count(*) as n, sum(success)::bigint as successes from p where (season, week) in (select (h_season, h_week) from hist where season = 1998 and week = 9) group by all")
+def season_scan(spark, d):
+    """Plays landed by season; those of one target's window, with the seasons that it doesn't touch left unread."""
+    plays, path = full_plays(spark, d), tables.shared_path(spark, "landed-plays")
+    tables.write_by_season(plays.select("season", "week", "series_success"), path)
+    window = W.history_weeks(W.calendar(plays, regular=F.col("week") <= 10), LOOKBACK).where("season = 1998 and week = 9").select("h_season", "h_week")
+    scan = tables.in_seasons(tables.parquet(spark, path), window)
+    kept = scan.join(F.broadcast(window.withColumnsRenamed({"h_season": "season", "h_week": "week"})), ["season", "week"], "left_semi")
+    return kept.groupBy("season", "week").agg(F.count("*").alias("n"), F.sum("series_success").cast("long").alias("successes"))
+
+
+@query(ODDS)
+def landed_odds(spark, d):
+    """Consensus lines from the landed text of the feed: a JSON array a day, read an element a row."""
+    path = tables.shared_path(spark, "landed-odds")
+    feed = odds_feed(spark, d).select(F.to_json(F.struct("commence_time", "away_team", "home_team", "bookmakers")).alias("e"), F.col("commence_time").alias("day"))
+    feed.groupBy("day").agg(F.concat(F.lit("["), F.array_join(F.collect_list("e"), ","), F.lit("]")).alias("text")).select("text").write.text(path)
+    return odds.consensus(tables.odds_array(spark, path).where("_bad is null").drop("_bad"), odds_mapping(spark, d)).withColumn("date", F.col("date").cast("string"))
+
+
+#: A season a member, four weeks each, so that windows are few files.
+FEW = KEYED.replace("select game_id, member,", "select game_id % 4 as game_id, member,").replace("group by game_id, member,", "group by game_id % 4, member,")
+
+
+@query(ORACLES["hit_rate"].replace(PREDICTIONS, FEW))
+def csv_back_test(spark, d):
+    """Predictions landed as CSV by window and read back into the back-test: hit rates by pick."""
+    keys = ["season", "week", "away_team", "home_team"]
+    rows = predictions(spark, d).withColumnsRenamed({"member": "season"}).withColumn("week", (F.col("game_id") % 4).cast("int")).groupBy(*keys)
+    path = tables.shared_path(spark, "landed-csv")
+    tables.write_keyed_csv(rows.agg(F.avg("prediction").alias("prediction"), F.min("var").alias("var")).select(*keys[:2], "home_team", "prediction", "var", "away_team"), path, "bt", 20)
+    lines = rows.agg(F.min("spread_line").alias("spread_line"), F.min("result").alias("result"))
+    back = tables.predictions_csv(spark, path, 20, "home_team long, prediction double, var double, away_team long")
+    return r(reports.back_test(lines, back)["by_pick"])
+
+
+@query("select c_name as team_name, c_mktsegment as abbr, c_custkey::varchar as abbr_2 from customer")
+def header_promoted(spark, d):
+    """A landed table without a header, whose first line names the columns, one name twice."""
+    path = tables.shared_path(spark, "landed-headerless")
+    c = table(spark, d, "customer").select(F.concat_ws(",", "c_name", "c_mktsegment", F.col("c_custkey").cast("string")).alias("value"))
+    head = spark.range(0, 1, numPartitions=1).select(F.lit("team_name,abbr,abbr").alias("value"))
+    head.unionByName(c).write.text(path)
+    return tables.promoted(spark, path)
+
+
+@query("with " + HISTORY.format(n=3) + """ select h.season, h.week, away_team as team, count(*) as n, round(sum(price), 2) as price, 2::bigint as n_computed
+from hist h join games g on g.season = h_season and g.week = h_week where h.season = 2000 and h.week = 3 group by all""")
+def cached_run(spark, d):
+    """A window read or computed four times: as it is twice, then twice with another version of its input; n_computed counts what was computed."""
+    g, path, calls = games(spark, d), tables.shared_path(spark, "cached-run"), []
+
+    def compute():
+        calls.append(1)
+        window = W.history_weeks(W.calendar(g), 3).where("season = 2000 and week = 3")
+        played = g.withColumnsRenamed({"season": "h_season", "week": "h_week"}).join(F.broadcast(window), ["h_season", "h_week"])
+        return played.groupBy("season", "week", F.col("away_team").alias("team")).agg(F.count("*").alias("n"), F.sum("price").alias("price"))
+
+    before, after = tables.content_version(g.where("season < 2000")), tables.content_version(g)
+    for version in (before, before, after, after):
+        kept = tables.read_or_compute(spark, path, 2000, 3, 3, compute, version)
+    return r(kept.withColumn("n_computed", F.lit(len(calls)).cast("long")), 2)

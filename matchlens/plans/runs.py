@@ -15,16 +15,17 @@ from .features import FEATURES
 
 
 def run(spark: SparkSession, store: str, season: int, week: int, lookback: int, reuse: bool = False, **fit) -> tuple[DataFrame, DataFrame]:
-    """(predictions, member metrics) of a week. store holds `sched` and `pbp`; features and ratings are kept under it."""
+    """(predictions, member metrics) of a week. store holds `sched` and `pbp`; features and ratings are published under it with these files' version."""
     sched = tables.sched(spark, f"{store}/sched")
 
     def build() -> DataFrame:
         built, ratings = features.feature_build(tables.plays(spark, f"{store}/pbp"), sched, season, week, lookback)
-        tables.write_window(ratings.withColumnsRenamed({"season": "t_season", "week": "t_week"}), f"{store}/qb", season, week, lookback)
-        return built.withColumnsRenamed({"season": "t_season", "week": "t_week"})
+        tables.publish(ratings, f"{store}/qb", season, week, lookback, version)
+        return built
 
-    kept = tables.read_or_compute(spark, f"{store}/stats", season, week, lookback, build, reuse).drop("season", "week", "lookback")
-    return model.predict(kept.withColumnsRenamed({"t_season": "season", "t_week": "week"}), season, week, **fit)
+    version = tables.file_version(spark, f"{store}/sched", f"{store}/pbp")
+    kept = tables.read_or_compute(spark, f"{store}/stats", season, week, lookback, build, version, reuse)
+    return model.predict(kept, season, week, **fit)
 
 
 def back_fill_weeks(sched: DataFrame, lookback: int) -> DataFrame:

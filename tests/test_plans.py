@@ -183,7 +183,13 @@ def test_csv_keys_and_windows(spark, tmp_path):
         assert tables.read_or_compute(spark, path, 2024, 5, 20, compute).count() == 3
     assert len(calls) == 1
     assert tables.read_or_compute(spark, path, 2024, 6, 20, compute, reuse=False).count() == 3 and len(calls) == 2
-    assert tables.window_slice(spark, path, 2024, 5, 20).count() == 3
+    assert tables.published(spark, path, 2024, 5, 20).count() == 3 and tables.published(spark, path, 2024, 7, 20) is None
+    # another version of the input, and a window that is empty
+    assert tables.read_or_compute(spark, path, 2024, 5, 20, compute, "new").count() == 3 and len(calls) == 3
+    assert tables.read_or_compute(spark, path, 2024, 5, 20, compute, "new").count() == 3 and len(calls) == 3
+    for _ in range(2):
+        assert tables.read_or_compute(spark, path, 2024, 8, 20, lambda: compute().where("id > 5")).count() == 0
+    assert len(calls) == 4 and tables.published(spark, path, 2024, 6, 20).count() == 3
     tables.write_csv(spark.createDataFrame([("A", 1.5, None)], "home_team string, prediction double, var double"), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).columns == ["home_team", "prediction", "var"]
 
