@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.prefix import positions
 from . import common
 from . import sha_state as S
+from .spelling import CRC_STEPS, crc_sql
 
 #: Leaves a block at most; a block is a power of the arity.
 BLOCK = 2048
@@ -239,3 +240,25 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.join(subroots, "tree").select(
         "doc_id", "leaf", "subroot", F.lit(m.root).alias("root"), F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.lit(m.root)).alias("verified")
     )
+
+
+_FIELD = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar)::varchar || ':' || {c}::varchar end"
+_LEAF = lambda n: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", n, "text"))) + ")"
+ORACLE = f"""
+with recursive {CRC_STEPS},
+d as (select doc_id, lang, {_LEAF("n_chars")} as leaf, case when {crc_sql("doc_id::varchar")} % {TAMPER} = 0 then {_LEAF("(n_chars + 1)")} end as changed from documents, crc),
+l as (select *, dense_rank() over (order by lang nulls first) - 1 as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from d),
+t as (select tree, 0 as level, pos, n, leaf as digest from l
+  union all select tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by pos)) from t where n > 1 group by tree, level, pos // 2, n),
+s as (select tree, level as height, digest as subroot from t where n = 1),
+u as (select 0 as level, tree as pos, (select count(*) from s) as n, subroot as digest from s
+  union all select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by pos)) from u where n > 1 group by level, pos // 2, n),
+f as (select doc_id, leaf, tree, pos as own, height, 0 as level, pos, coalesce(changed, leaf) as x, '' as proof from l join s using (tree)
+  union all select doc_id, leaf, f.tree, own, height, f.level + 1, f.pos // 2, sha256(case when f.pos % 2 = 0 then x || coalesce(t.digest, '') else coalesce(t.digest, '') || x end), proof || coalesce(t.digest, '')
+  from f left join t on t.tree = f.tree and t.level = f.level and t.pos = xor(f.pos, 1) where f.level < height),
+g as (select doc_id, leaf, tree, own, 0 as level, tree as pos, x, proof from f where level = height
+  union all select doc_id, leaf, g.tree, own, g.level + 1, g.pos // 2, sha256(case when g.pos % 2 = 0 then x || coalesce(u.digest, '') else coalesce(u.digest, '') || x end), proof || coalesce(u.digest, '')
+  from g left join u on u.level = g.level and u.pos = xor(g.pos, 1) where g.level < (select max(level) from u))
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, x as folded_root, x = root as verified
+from g join s using (tree), (select digest as root from u where n = 1) where level = (select max(level) from u)
+"""

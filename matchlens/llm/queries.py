@@ -26,5 +26,7 @@ ORACLES = {
     "op5_mix": mixing.ORACLE,
     "op9_window_index": window_index.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_manifest": manifest.ORACLE,
     "op12_stream_dedup": stream_dedup.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }

@@ -244,3 +244,32 @@ def variants(words: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(common.written(vocabulary(common.table(spark, sf_dir, "documents")), "spelling-words"))
+
+
+#: The 256 steps of crc32 for one byte, and the crc32 of a string column `s` by them, as DuckDB expressions.
+CRC_STEPS = "crc as (select list(v order by i) as t from (select i, list_reduce(list_prepend(i::ubigint, [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as v from range(256) r(i)))"
+
+
+def crc_sql(s: str) -> str:
+    """crc32 of a string expression, beside the table crc."""
+    hexed = f"hex(encode({s}))"
+    byte = f"((instr('0123456789ABCDEF', {hexed}[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', {hexed}[2 * i + 2]) - 1)::ubigint"
+    steps = f"list_prepend(4294967295::ubigint, list_transform(range(strlen({s})), lambda i: {byte}))"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255::ubigint)::bigint + 1])), 4294967295::ubigint)"
+
+
+ORACLE = f"""
+with recursive {CRC_STEPS},
+r as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(coalesce(text, ''), '{RUN}')) as w from documents),
+d as (select id, translate(w, '{UPPER}', '{UPPER.lower()}') as w, count(*) as c from r group by all),
+h as (select w, c, {crc_sql("(id || ':' || w)")}::bigint as h from d, crc),
+v as (select case when h % {DROP_EVERY} = 0 then left(w, h % length(w)) || substring(w, h % length(w) + 2) else w end as word, sum(c)::bigint as n from h group by all),
+words as (select word, n from v where n >= {MIN_COUNT} and length(word) >= {MIN_LENGTH}),
+x as (select word, n, i, left(word, i - 1) || substring(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+ins as (select distinct x.word as a, u.word as b from x join words u on u.word = x.rest),
+pairs as (select a, b from ins union all select b, a from ins union all select x.word, y.word from x join x y on x.rest = y.rest and x.i = y.i and x.word <> y.word),
+nearby as (select a as word, count(*) as n_near, max(n) as m, min(b) filter (n = top) as best from (select pairs.*, n, max(n) over (partition by a) as top from pairs join words on word = b) group by a),
+form as (select words.word, words.n, coalesce(n_near, 0) as n_near, case when m >= {RATIO} * n then best end as form, case when m >= {RATIO} * n then m end as form_n from words left join nearby using (word)),
+way as (select word, word as stop, form as next from form union all select way.word, form.word, form.form from way join form on form.word = way.next)
+select word, form, stop as root, n, n_near, form_n from form join (select word, stop from way where next is null) using (word)
+"""
