@@ -11,7 +11,7 @@ from .operators import windows as W
 from .operators.median import exact_median
 from .plans import features, model, odds, reports, runs
 from .sources import tables
-from .standins import FULL_PLAYS, PREDICTIONS, full_plays, games, predictions, table
+from .standins import FULL_PLAYS, GAMES, PREDICTIONS, full_plays, games, predictions, table
 
 # --- ensemble and back-fill -----------------------------------------------------------------------------------------
 
@@ -205,3 +205,32 @@ def cached_run(spark, d):
     for version in (before, before, after, after):
         kept = tables.read_or_compute(spark, path, 2000, 3, 3, compute, version)
     return r(kept.withColumn("n_computed", F.lit(len(calls)).cast("long")), 2)
+
+
+# --- the weekly report ------------------------------------------------------------------------------------------------
+
+REPORT = "with " + GAMES + """, sched as (select season, week, away_team::varchar as away_team, home_team::varchar as home_team, min(kickoff)::date as gameday, lpad((away_team % 24)::varchar, 2, '0') || ':00' as gametime,
+  'P.' || away_team % 20 as away_qb, 'P.' || home_team % 20 as home_qb, avg(price) / 10000 - 15 as prediction, nullif(min(price) / 300000, 0) as var from games group by season, week, games.away_team, games.home_team),
+ratings as (select 'P.' || l_suppkey % 20 as name, avg(l_quantity) as elo from lineitem where year(l_shipdate) = 2000 and month(l_shipdate) = 3 and l_suppkey % 20 < 17 group by all),
+lines as (select distinct away_team::varchar as away_team, home_team::varchar as home_team, ((away_team * 7 + home_team * 3) % 21 - 10) / 2.0 as spread from games),
+b as (select s.*, spread, prediction + spread as d, x.elo as away_elo, y.elo as home_elo from lines join sched s using (away_team, home_team) left join ratings x on x.name = away_qb left join ratings y on y.name = home_qb where season = 2000 and week = 3)
+select gameday::varchar as gameday, gametime, away_qb, round_even(away_elo, 1) as away_qb_elo, '../logos/' || away_team || '.png' as away_logo, away_team, round_even(spread, 1) + 0.0 as spread, round_even(-prediction, 1) + 0.0 as prediction, home_team,
+  '../logos/' || home_team || '.png' as home_logo, home_qb, round_even(home_elo, 1) as home_qb_elo, round_even(abs(d), 1) as diff, round_even(var, 1) as var, case when d < 0 then home_team when d > 0 then away_team end as pick,
+  coalesce(abs(prediction) > 1 and var <= 0.5 and abs(d) > 3, false)::int as picked, (spread * -prediction < 0)::int as underdog from b"""
+
+
+@query(REPORT)
+def weekly_report(spark, d):
+    """A month's report from lines, predictions, schedule and ratings, written as CSV and read back."""
+    g = games(spark, d)
+    text, name = lambda c: F.col(c).cast("string"), lambda c: F.concat(F.lit("Pat "), (F.col(c) % 20).cast("string"), F.when(F.col(c) % 3 == 0, " Jr.").otherwise(""))
+    pair = g.groupBy("season", "week", "away_team", "home_team").agg(F.to_date(F.min("kickoff")).cast("string").alias("gameday"), (F.avg("price") / 10000 - 15).alias("prediction"), F.nullif(F.min("price") / 300000, F.lit(0.0)).alias("var"))
+    pair = pair.withColumns({"gametime": F.concat(F.lpad((F.col("away_team") % 24).cast("string"), 2, "0"), F.lit(":00")), "away_qb_name": name("away_team"), "home_qb_name": name("home_team")})
+    pair = pair.withColumns({"away_team": text("away_team"), "home_team": text("home_team")})
+    lines = g.select("away_team", "home_team").distinct().select(text("away_team").alias("away_team"), text("home_team").alias("home_team"), ((F.col("away_team") * 7 + F.col("home_team") * 3) % 21 - 10).alias("k")).withColumn("spread", F.col("k") / 2).drop("k")
+    ratings = table(spark, d, "lineitem").where("l_suppkey % 20 < 17").groupBy(F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"), F.concat(F.lit("P."), (F.col("l_suppkey") % 20).cast("string")).alias("name")).agg(F.avg("l_quantity").alias("weighted_qb_elo"))
+    report = reports.weekly_report(lines, pair.select("season", "week", "away_team", "home_team", "prediction", "var"), pair, ratings, 2000, 3)
+    path = tables.shared_path(spark, "weekly-report")
+    tables.write_csv(report, path)
+    numbers = {c: F.col(c) + 0.0 for c in ("spread", "prediction")}
+    return spark.read.schema(report.schema).csv(path, header=True).withColumns(numbers | {"gameday": F.col("gameday").cast("string")})
