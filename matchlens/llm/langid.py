@@ -4,10 +4,11 @@ A known word adds its log frequency in each language. An unseen word falls back
 them is known, else to its 3-grams, and so on down to single characters; the n-grams of the length that is used are averaged, so that
 a word weighs as one word however it is scored. A text's language is the one with the largest sum.
 
-Learning is bounded: at most about `SAMPLE_DOCS` labelled documents a language, chosen by hash, and at most `ENTRIES`
-table entries over all languages and lengths, the most frequent ones. Words and n-grams of the sample are counted by Spark;
-only the bounded table passes the driver, as Arrow bytes, and is broadcast; tasks make the scores of it. A word is a run of letters
-(Unicode category L) in learning and in prediction.
+Learning is bounded by its sample: at most about `SAMPLE_DOCS` labelled documents a language, chosen by hash. All words and n-grams
+of the sample are learnt, those seen once too; Spark counts them. The table of them has the size of the sample's vocabulary, whatever the
+corpus's; it passes the driver as Arrow bytes and is broadcast, and a worker makes the scores of it once, for all of its tasks. `entries`
+cuts the table to the most frequent terms where a smaller one is wanted. A word is a run of letters (Unicode category L) in learning
+and in prediction.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, and so is every text if nothing could be learnt; ties
 go to the first language in code point order; rows with a null lang teach nothing; a null doc_id is not held out; repeated
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +34,6 @@ from . import common
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 4000
-ENTRIES = 240_000
 MAX_N = 4
 SMOOTHING = 0.5
 #: Words of which a worker keeps the score at hand; emptied when full.
@@ -83,28 +84,32 @@ def count_terms(texts: DataFrame, max_n: int = MAX_N) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """languages; per n (0: words) and language the number of terms and of kinds of terms; the table n, term, lang, c as Arrow bytes."""
+    """languages; per n (0: words) and language the number of terms and of kinds of terms; the table n, term, lang, c as Arrow bytes; its name."""
 
     langs: list[str]
     sizes: np.ndarray
     terms: bytes
+    name: str
 
 
-def learn(labelled: DataFrame, per_language: int = SAMPLE_DOCS, entries: int = ENTRIES, max_n: int = MAX_N) -> Model:
+def learn(labelled: DataFrame, per_language: int = SAMPLE_DOCS, entries: int | None = None, max_n: int = MAX_N) -> Model:
+    """The model of a sample of about per_language documents a language. entries: of so many terms over all languages and lengths only
+    (100 of each at least), the most frequent ones; None: of all."""
     terms = common.written(count_terms(sample(labelled, per_language), max_n), "lang-terms")
     totals = terms.groupBy("lang", "n").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).collect()
     langs = sorted({r["lang"] for r in totals})
     sizes = np.zeros((max_n + 1, len(langs), 2))
     for r in totals:
         sizes[r["n"], langs.index(r["lang"])] = r["total"], r["kinds"]
-    each = max(100, entries // (max(1, len(langs)) * (max_n + 1)))
-    best = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "term")
-    kept = terms.withColumn("r", F.row_number().over(best)).where((F.col("r") <= each) & ((F.col("c") > 1) | (F.col("n") > 0)))
-    table = kept.select("n", "term", "lang", "c").toArrow()
+    if entries is not None:
+        each = max(100, entries // (max(1, len(langs)) * (max_n + 1)))
+        best = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "term")
+        terms = terms.withColumn("r", F.row_number().over(best)).where(F.col("r") <= each)
+    table = terms.select("n", "term", "lang", "c").toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return Model(langs, sizes, sink.getvalue().to_pybytes())
+    return Model(langs, sizes, sink.getvalue().to_pybytes(), uuid.uuid4().hex)
 
 
 class Scorer:
@@ -167,6 +172,17 @@ class Scorer:
         return self.langs[best], float(p[best] / p.sum())
 
 
+#: The scorer of a worker's last model, by the model's name.
+_LAST: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    if model.name not in _LAST:
+        _LAST.clear()
+        _LAST[model.name] = Scorer(model)
+    return _LAST[model.name]
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """docs' columns `keep` plus lang_pred and score. Only the text is an input of the prediction."""
     spark = docs.sparkSession
@@ -175,7 +191,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for batch in batches:
             found = [scorer.score(t.as_py()) for t in batch["__text"]]
             cols = [batch[c] for c in keep] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]

@@ -1,6 +1,7 @@
 """Plain versions of the operators, for comparison on small tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -124,12 +125,13 @@ def languages(train, texts, each, max_n=4, smoothing=0.5):
             counts[lang, 0][w] += 1
             for n in range(1, max_n + 1):
                 counts[lang, n].update(g for g in (f" {w} "[i:i + n] for i in range(len(w) + 3 - n)) if g.strip())
-    kept = {k: {t: x for t, x in sorted(c.items(), key=lambda e: (-e[1], e[0]))[:each] if x > 1 or k[1]} for k, c in counts.items()}
+    kept = {k: {t: x for t, x in sorted(c.items(), key=lambda e: (-e[1], e[0]))[:each]} for k, c in counts.items()}
 
     def log_frequency(lang, n, t):
         c = counts[lang, n]
         return math.log((kept[lang, n].get(t, 0) + smoothing) / (sum(c.values()) + smoothing * (len(c) + 1)))
 
+    @functools.cache
     def word(w):
         for n in (0, *range(max_n, 0, -1)):
             parts = [w] if n == 0 else [f" {w} "[i:i + n] for i in range(len(w) + 3 - n)]
