@@ -84,7 +84,7 @@ def count_terms(texts: DataFrame, max_n: int = MAX_N) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """languages; per n (0: words) and language the number of terms and of kinds of terms; the table n, term, lang, c as Arrow bytes; its name."""
+    """languages; per n (0: words) and language the number of terms and of kinds of terms; the table n, term, lang, c as compressed Arrow bytes; its name."""
 
     langs: list[str]
     sizes: np.ndarray
@@ -107,7 +107,7 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_DOCS, entries: int | N
         terms = terms.withColumn("r", F.row_number().over(best)).where(F.col("r") <= each)
     table = terms.select("n", "term", "lang", "c").toArrow()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return Model(langs, sizes, sink.getvalue().to_pybytes(), uuid.uuid4().hex)
 
