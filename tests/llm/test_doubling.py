@@ -3,10 +3,10 @@ import doubling
 from matchlens.llm import common, suffix_dedup
 
 
-def removed(places, width=50):
-    """Number of removed bytes and of runs of them, from the places of a document where removed strings start."""
-    gone = sorted({p + i for p in places for i in range(width)})
-    return len(gone), sum(1 for i, p in enumerate(gone) if i == 0 or gone[i - 1] != p - 1)
+def kept(text, places, width=50):
+    """What remains of a text's bytes, from the places where removed strings start."""
+    gone = {p + i for p in places for i in range(width)}
+    return bytes(c for i, c in enumerate((text or "").encode()) if i not in gone)
 
 
 def test_equals_doubling_over_all_places(spark, sf_dir):
@@ -18,6 +18,7 @@ def test_equals_doubling_over_all_places(spark, sf_dir):
     places = {}
     for r in doubling.windows(docs).where("first < doc").collect():
         places.setdefault(r.doc, []).append(r.pos)
-    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs).select("doc_id", "n_removed", "n_spans").collect()}
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect()}
     assert any(n for n, _ in got.values())
-    assert got == {d: removed(places.get(d, [])) for d in got}
+    want = {r.doc_id: kept(r.text, places.get(r.doc_id, [])) for r in docs.collect()}
+    assert {d: k for d, (_, k) in got.items()} == want
