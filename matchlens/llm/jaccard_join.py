@@ -67,7 +67,7 @@ def sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     """All rows' shingle sets: hashes, sorted and distinct in each row, and where each row's begin."""
     data = vectors.lower_ascii(data)
     starts, ends, first = vectors.words(data, off)
-    h = vectors.span_hashes(data, starts, ends, 11)
+    h = vectors.word_hashes(data, starts, ends, 11)
     n = np.diff(first)
     row, grams = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(h) >= k:

@@ -99,8 +99,9 @@ def _tokens(data: np.ndarray, off: np.ndarray, w: Windows):
     """(where each row's tokens begin, anchor hashes from each token on, hash of token spans, bytes of a token span)."""
     if w.words:
         starts, ends, first = vectors.words(data, off)
-        h = vectors.span_hashes(data, starts, ends, 41)
-        grams = vectors.chain(h, w.gram, 42)
+        # anchors and contents are made from two hashes of a word: words that one takes for equal the other still tells apart
+        grams = vectors.chain(vectors.word_hashes(data, starts, ends, 41), w.gram, 42)
+        h = vectors.word_hashes(data, starts, ends, 51)
         raw = data.tobytes()
         spans = lambda a, b: vectors.token_span_hashes(h, a, b, 43)
         text = lambda a, b: b" ".join([raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())])

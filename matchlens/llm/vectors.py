@@ -6,6 +6,7 @@ Everything works on pieces of about `PIECE_BYTES`, so a worker's memory doesn't
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+#: Bytes of a word beyond which word_hashes takes a cryptographic hash.
+LONG_WORD = 64
 #: Of an odd base (fixed value), and of its inverse modulo 2**64; a worker keeps the longest powers asked for.
 BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -66,6 +69,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         return mix(h + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15), seed)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """span_hashes for words, which may be of any length: those of over LONG_WORD bytes get a keyed BLAKE2.
+
+    Over thousands of places powers of an odd base repeat modulo 2**64, so that unlike words can be made of a few blocks that hash alike; 57 places are too few for that.
+    """
+    h = span_hashes(data, starts, ends, seed)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        raw, key = data.tobytes(), seed.to_bytes(8, "little")
+        digests = [blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        h[long] = np.frombuffer(b"".join(digests), "<u8")
+    return h
+
+
 def window_hashes(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     starts = np.arange(max(0, len(data) - width + 1))
     return span_hashes(data, starts, starts + width, seed)
