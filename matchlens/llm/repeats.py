@@ -211,7 +211,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
 
 @dataclass
 class Sorted:
-    """The runs of a bucket in order of (key, content, document, place), with group marks."""
+    """The runs of a bucket in order of (key, content, document, place), with group marks. table: which table of an index has a run, -1 for new ones."""
 
     key: np.ndarray
     content: np.ndarray
@@ -219,22 +219,26 @@ class Sorted:
     lo: np.ndarray
     len: np.ndarray
     context: np.ndarray
-    old: np.ndarray
+    table: np.ndarray
     new_content: np.ndarray
     key_no: np.ndarray
 
+    @property
+    def old(self) -> np.ndarray:
+        return self.table >= 0
+
 
 def sort_runs(rows: list[dict]) -> Sorted:
     rows = [r for r in rows if r["run"] != LOCAL]
-    parts = [(*unpacked(r), np.full(len(r["key32"]) // 4, r["run"] >= 0)) for r in rows]
-    parts = parts or [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint64, bool))]
-    key, content, doc, lo, n, context, old = (np.concatenate(x) for x in zip(*parts))
+    parts = [(*unpacked(r), np.full(len(r["key32"]) // 4, r["run"], np.int16)) for r in rows]
+    parts = parts or [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint64, np.int16))]
+    key, content, doc, lo, n, context, table = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((lo, doc, content, key))
-    key, content, doc, lo, n, context, old = (x[order] for x in (key, content, doc, lo, n, context, old))
+    key, content, doc, lo, n, context, table = (x[order] for x in (key, content, doc, lo, n, context, table))
     new_key, new_content = np.ones(len(key), bool), np.ones(len(key), bool)
     new_key[1:] = key[1:] != key[:-1]
     new_content[1:] = new_key[1:] | (content[1:] != content[:-1])
-    return Sorted(key, content, doc, lo, n, context, old, new_content, np.cumsum(new_key) - 1)
+    return Sorted(key, content, doc, lo, n, context, table, new_content, np.cumsum(new_key) - 1)
 
 
 def decide(s: Sorted, w: Windows) -> tuple[np.ndarray, np.ndarray]:

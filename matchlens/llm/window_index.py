@@ -5,8 +5,9 @@ where it first stood. It is a folder with a manifest and tables, each of which i
 bucketed by anchor and sorted by (anchor, fingerprint) within. A new batch is dealt out and laid out the same way and merged bucket by
 bucket with the tables; the history is read where it lies, without a shuffle of its own. Equal entries decide windows at once; where
 an anchor has several fingerprints the windows are decided on the words themselves. The batch's new entries become the next
-table; where there are `MAX_TABLES` already, the merge, which has all of them in hand, writes one compacted table in their place.
-Another session opens the index by its folder and goes on.
+table. Tables have levels: where the last `MAX_TABLES` are of one level, the merge, which has all of them in hand, writes one table of the next
+level in their place, and so on up the levels. An entry is thus written once a level, and n batches make about log3(n) levels, whatever their sizes.
+Another session opens the index by its folder and goes on; the catalog keeps no table of it.
 
 Batches are taken in order of doc_id, so everything in the index is earlier than the batch.
 
@@ -29,11 +30,19 @@ from . import common, repeats, vectors
 
 WIDTH, GRAM = 20, 6
 BATCHES = 3
+#: Tables of one level.
 MAX_TABLES = 2
 
-
 COLUMNS = [c.split()[0] for c in repeats.RUNS.split(", ")]
-MANIFEST = "version int, parts int, buckets int, tables array<string>"
+MANIFEST = "version int, parts int, buckets int, tables array<string>, levels array<int>"
+
+
+def kept_tables(levels: list[int]) -> tuple[int, int]:
+    """(how many of the tables, oldest first, stay as they are, the level of the next one)."""
+    keep, level = len(levels), 0
+    while keep >= MAX_TABLES and levels[keep - MAX_TABLES : keep] == [level] * MAX_TABLES:
+        keep, level = keep - MAX_TABLES, level + 1
+    return keep, level
 
 
 class Index:
@@ -41,7 +50,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or common.scratch(spark, "window-index")
-        self.version, self.parts, self.buckets, self.files = 0, common.shuffle_partitions(spark), repeats.buckets_for(spark), []
+        self.version, self.parts, self.buckets, self.files, self.levels = 0, common.shuffle_partitions(spark), repeats.buckets_for(spark), [], []
         self.tables: list[DataFrame] = []
         if path:
             try:
@@ -52,23 +61,31 @@ class Index:
                 last = None
             if last:
                 self.version, self.parts, self.buckets, self.files = last.version, last.parts, last.buckets, list(last.tables)
+                self.levels = list(last.levels)
                 self.tables = [self._opened(f) for f in self.files]
 
     def _opened(self, file: str) -> DataFrame:
         name = f"window_index_{uuid.uuid4().hex}"
         self.spark.sql(f"create table {name} ({MERGED.replace(': ', ' ')}) using parquet clustered by (bucket) into {self.parts} buckets location '{file}'")
-        return self.spark.table(name)
+        return self._taken(name)
 
-    def add(self, merged: DataFrame, compacted: bool) -> DataFrame:
-        """Writes a merge's result as a table, which comes after the others or in their place; the manifest names what counts."""
+    def _taken(self, name: str) -> DataFrame:
+        """A bucketed table that is known by its files from here on; its name leaves the catalog, the files stay."""
+        table = self.spark.table(name)
+        self.spark.sql(f"drop table {name}")
+        return table
+
+    def add(self, merged: DataFrame) -> DataFrame:
+        """Writes a merge's result as a table, which comes after those that stay; the manifest names what counts."""
+        keep, level = kept_tables(self.levels)
         file = f"{self.path}/table-{uuid.uuid4().hex}"
         name = f"window_index_{uuid.uuid4().hex}"
         with common.shuffles_freed(self.spark):
             merged.write.format("parquet").bucketBy(self.parts, "bucket").option("path", file).saveAsTable(name)
-        table = self.spark.table(name)
-        self.files, self.tables = ([file], [table]) if compacted else ([*self.files, file], [*self.tables, table])
+        table = self._taken(name)
+        self.files, self.tables, self.levels = [*self.files[:keep], file], [*self.tables[:keep], table], [*self.levels[:keep], level]
         self.version += 1
-        row = (self.version, self.parts, self.buckets, self.files)
+        row = (self.version, self.parts, self.buckets, self.files, self.levels)
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.json(f"{self.path}/manifest-{self.version:06d}")
         return table
 
@@ -85,7 +102,7 @@ MERGED = f"{repeats.RUNS}, found array<struct<doc_id:long,lo:int,hi:int,check:in
 
 def add_batch(index: Index, docs: DataFrame, w: repeats.Windows) -> DataFrame:
     """Decides the batch's runs against the index, adds its new entries, and returns FOUND rows (open runs may be history's)."""
-    number, compacting = len(index.tables), len(index.tables) >= MAX_TABLES
+    keep, _ = kept_tables(index.levels)
     rows = repeats.run_rows(docs, w, index.buckets).repartition(index.parts, "bucket")
     for table in index.tables:
         rows = rows.unionByName(table.select(*COLUMNS))
@@ -93,14 +110,14 @@ def add_batch(index: Index, docs: DataFrame, w: repeats.Windows) -> DataFrame:
     def merge(group: pa.Table) -> pa.Table:
         packed = group.to_pylist()
         s = repeats.sort_runs(packed)
-        new = _entries(s, packed[0]["bucket"], s.new_content if compacting else s.new_content & ~s.old, number)
+        new = _entries(s, packed[0]["bucket"], s.new_content & ((s.table < 0) | (s.table >= keep)), keep)
         found = repeats.found_batch(s, *repeats.decide(s, w), packed)
         structs = pa.StructArray.from_arrays([found[c] for c in found.schema.names], names=found.schema.names)
         lists = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
         return pa.Table.from_arrays([*new.columns, lists], names=[*new.schema.names, "found"])
 
     # tables are bucketed as the batch is dealt out: only the batch is shuffled
-    table = index.add(rows.groupBy("bucket").applyInArrow(merge, MERGED), compacting)
+    table = index.add(rows.groupBy("bucket").applyInArrow(merge, MERGED))
     return table.select(F.explode("found").alias("f")).select("f.*")
 
 

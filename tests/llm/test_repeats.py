@@ -51,6 +51,40 @@ def test_index_is_incremental(spark):
     assert len(index.tables) <= window_index.MAX_TABLES
 
 
+def test_levels():
+    """Any number of batches: few tables, and each entry is written once a level."""
+    levels, sizes, written = [], [], 0
+    for n in range(1, 201):
+        keep, level = window_index.kept_tables(levels)
+        size = 1 + sum(sizes[keep:])
+        levels, sizes, written = [*levels[:keep], level], [*sizes[:keep], size], written + size
+        assert sum(sizes) == n and written <= n * (1 + max(levels)) and 3 ** max(levels) <= n
+        assert len(levels) <= window_index.MAX_TABLES * (1 + max(levels))
+        if n == 20:
+            assert written < 4 * n
+
+
+def test_many_batches(spark):
+    """Tables of three levels: found as by a plain version, entries written less than four times, no table of the catalog left."""
+    rnd = random.Random(5)
+    parts = [" ".join(rnd.choice(["a", "bb", "c", "é", "D"]) for _ in range(rnd.randint(15, 40))) + " " for _ in range(25)]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(3))) for i in range(60)] + [(100 + i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(30)]
+    docs = table(spark, rows)
+    before = len(spark.catalog.listTables())
+    w = repeats.Windows(20, 6, words=True, same_document=True)
+    index, found, wrote = window_index.Index(spark, common.scratch(spark, "many-batches")), None, 0
+    entries = lambda t: t.selectExpr("coalesce(sum(length(key16)), 0)").first()[0]
+    for batch in window_index.batches_of(docs, 11):
+        one = window_index.add_batch(index, batch, w)
+        wrote += entries(index.tables[-1])
+        found = one if found is None else found.unionByName(one)
+    assert index.levels == [2, 0, 0] and wrote < 4 * sum(map(entries, index.tables))
+    assert len(spark.catalog.listTables()) == before
+    windows = repeats.ranked(repeats.open_windows(docs, found.where("key is not null").distinct(), w), w)
+    out = repeats.removed(docs, found.where("key is null").unionByName(windows), w)
+    assert {r.doc_id: (r.n_tokens, r.n_removed, brute.sha(bytes(r.kept))) for r in out.collect()} == brute.word_repeats(rows)
+
+
 def test_null_and_repeated_ids(spark):
     long = "0123456789" * 6
     out = suffix_dedup.dedup(table(spark, [(None, long), (7, long), (7, long), (7, "other"), (3, "tiny")]))
