@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import scratch
-from .catalog import BETS, HISTORY, KEYED, ODDS, ORACLES, TEAM_COLUMNS, TEAM_METRICS, TEAM_STATS, odds_feed, odds_mapping, query, r
+from .catalog import BETS, HISTORY, KEYED, ODDS, ORACLES, PASSER_VALUES, TEAM_COLUMNS, TEAM_STATS, odds_feed, odds_mapping, query, r
 from .operators import aggregates as A
 from .operators import windows as W
 from .operators.median import exact_median
 from .plans import features, model, odds, reports, runs
 from .sources import tables
+from .sources.schemas import SCHED_COLUMNS
 from .standins import FULL_PLAYS, GAMES, PREDICTIONS, full_plays, games, predictions, table
 
 # --- ensemble and back-fill -----------------------------------------------------------------------------------------
@@ -18,7 +19,10 @@ from .standins import FULL_PLAYS, GAMES, PREDICTIONS, full_plays, games, predict
 LOOKBACK, MEMBERS = 3, 4
 #: Of both sides, with both directions of the rank and both kinds of scaling.
 WANTED = ["away_off_run_ypp", "away_def_run_ypp", "away_off_pass_completion_%", "away_def_pass_ypp", "away_off_turnovers_pp", "away_def_turnovers_pp", "away_off_penalties_pp", "away_def_series_success_%"]
-PLACES = {k: p for k, _, p in TEAM_COLUMNS}
+PASSERS = ("off_qb_elo", "def_qb_elo")
+PLACES = {k: p for k, _, p in TEAM_COLUMNS} | dict.fromkeys(PASSERS, 4)
+#: Statistics' names and their plain names.
+PLAIN = {k: n for k, n, _ in TEAM_COLUMNS} | {k: k for k in PASSERS}
 
 
 def team_games(plays):
@@ -42,10 +46,10 @@ def season_features(spark, d):
     return model.label(games).join(matched, model.GAME, "left"), cal
 
 
-def _metric_sql() -> str:
-    """Ranks of the statistics that WANTED needs, as one table a metric and then side by side."""
-    plain = {k: n for k, n, _ in TEAM_COLUMNS}
-    need = sorted({f"{side}_{w[9:]}" for w in WANTED for side in ("off", "def")})
+def _metric_sql(wanted=WANTED) -> str:
+    """Ranks of the statistics that the wanted features need, as one table a metric and then side by side."""
+    plain = PLAIN
+    need = sorted({f"{side}_{w[9:]}" for w in wanted for side in ("off", "def")})
     long = " union all ".join(f"select season, week, team, '{k}' as metric, {plain[k]} as value, {int((k[:3] == 'def') != ('turnovers' in k or 'penalties' in k))} as reversed from s" for k in need)
     wide = ", ".join(f"max(pct) filter (metric = '{k}') as {plain[k]}" for k in need)
     return f"""long as ({long}), filled as (select season, week, team, metric, reversed, coalesce(value, median(value) over (partition by season, week, metric)) as value from long),
@@ -56,7 +60,7 @@ ranks as (select wide.*, s.off_run_share, s.off_pass_share from wide join s usin
 
 def _feature_sql(name: str) -> str:
     side, metric = name[5:8], name[9:]
-    plain, other = TEAM_METRICS[metric][0], "def" if side == "off" else "off"
+    plain, other = PLAIN[f"off_{metric}"][4:], "def" if side == "off" else "off"
     x = f"(a.{side}_{plain} - h.{other}_{plain})"
     if side == "off" and ("pass" in metric or "run" in metric):
         x += f" * (a.off_{'pass' if 'pass' in metric else 'run'}_share + 0.5)"
@@ -121,6 +125,82 @@ def back_fill_status(spark, d):
     return _back_fill(spark, d)[1]
 
 
+# --- the whole feature build --------------------------------------------------------------------------------------
+
+#: A month is one game of each passer, so its plays share a date.
+MONTH = ("l_shipdate::date as game_date", "date_trunc('month', l_shipdate)::date as game_date")
+SCHEDULE = """sch as (select *, case when week <= 10 then 'REG' else 'POST' end as game_type, (week % 4 + 6)::int as away_rest, (season % 3 + 6)::int as home_rest, case when week <= 3 then 'dome' else 'outdoors' end as roof,
+  'grass' as surface, case when week <= 10 then week * 2.0 end::double as temp, (season - 1990)::double as wind, 'Pat ' || away_team::int % 20 as away_qb_name, 'Pat ' || (home_team::int + 7) % 20 as home_qb_name,
+  'C' || away_team as away_coach, 'C' || home_team as home_coach, 'R' || week as referee,
+  from (select season, week, pos as away_team, def as home_team, sum(case when kind = 'run' then coalesce(yards, 0) else 0 end)::double as away_score, sum(case when kind = 'pass' then coalesce(yards, 0) else 0 end)::double as home_score
+  from p where pos is not null group by all)),
+nm as (select *, 'P.' || away_qb_name[5:] as away_qb, 'P.' || home_qb_name[5:] as home_qb from sch)"""
+PASSER_SQL = PASSER_VALUES.format(day="date_trunc('month', l_shipdate)::date").replace("p as (", "pp as (", 1).replace("from p where", "from pp where") + """,
+hv as (select h.season, h.week, name, value, game_date from hist h join v on v.season = h_season and v.week = h_week),
+own as (select season, week, name, sum(value * w) / sum(w) as rating from (select *, greatest(exp(-4.0 * pow(date_diff('day', game_date, max(game_date) over (partition by season, week)) / 160.0, 3)), 0.4) as w from hv) group by all),
+st as (select season, week, away_qb as name, away_team as team from nm union select season, week, home_qb, home_team from nm),
+best as (select season, week, team, round(arg_min(rating, name), 4) as off_qb_elo from own join st using (season, week, name) group by all),
+k as (select distinct season, week, def as home_team, game_date from p),
+vs as (select nm.season, nm.week, away_team, home_team, k.game_date, x.value as away_value, y.value as home_value from nm join k using (season, week, home_team)
+  left join v x on x.season = nm.season and x.week = nm.week and x.name = away_qb left join v y on y.season = nm.season and y.week = nm.week and y.name = home_qb),
+faced as (select season, week, game_date, away_team as team, home_value as value from vs union all select season, week, game_date, home_team, away_value from vs),
+fl as (select h.season, h.week, team, value, game_date from hist h join faced f on f.season = h_season and f.week = h_week),
+fw as (select *, greatest(exp(-3.0 * pow(date_diff('day', game_date, max(game_date) over (partition by season, week)) / 160.0, 3)), 0.05) as w from fl),
+fe as (select season, week, team, coalesce(sum(value * w), 0) as sx, sum(w) as sw from fw group by season, week, team), fc as (select season, week, sum(sx) / sum(sw) as centre from fe group by season, week),
+allowed as (select season, week, team, round(sx / sw - centre, 4) as def_qb_elo from fe join fc using (season, week))"""
+#: Shares scale features and are not ranked: they are ratios of counts and stay as they are.
+SHARES = ("off_run_%", "off_pass_%")
+SHARED_STATS = TEAM_STATS.replace(*MONTH).replace("round(o.run_share, 6) as", "o.run_share as").replace("round(o.pass_share, 6) as", "o.pass_share as")
+FEATURE_SQL = "with " + FULL_PLAYS.replace(*MONTH) + f""", {SCHEDULE}, {PASSER_SQL}, s0 as ({SHARED_STATS}),
+s as (select s0.*, off_qb_elo, def_qb_elo from s0 left join best using (season, week, team) left join allowed using (season, week, team)), {_metric_sql(features.FEATURES)},
+f as (select g.season, g.week, away_team, home_team, {', '.join(f'{_feature_sql(w)} as "{w}"' for w in features.FEATURES)}
+  from sch g left join ranks a on a.season = g.season and a.week = g.week and a.team = away_team left join ranks h on h.season = g.season and h.week = g.week and h.team = home_team)
+"""
+
+
+def passing_plays(spark, d):
+    """Plays with the columns of passers and rushers too."""
+    c, n = F.col, lambda x: x.cast("double")
+    name = lambda x, k: F.concat(F.lit("P."), (c(x) % k).cast("string"))
+    plays = full_plays(
+        spark, d, (c("l_partkey") % 32).cast("string").alias("home_team"), F.when(c("l_returnflag") == "R", name("l_suppkey", 20)).alias("passer"), F.when(c("l_returnflag") == "A", name("l_partkey", 40)).alias("rusher"),
+        n(c("l_discount") > 0.08).alias("qb_scramble"), F.nullif("l_quantity", F.lit(3.0)).alias("rushing_yards"), n(c("l_tax") > 0.05).alias("incomplete_pass"), c("l_quantity").alias("passing_yards"),
+        n(c("l_quantity") > 45).alias("pass_touchdown"), n(c("l_tax") < 0.01).alias("sack"), F.lit(1.0).alias("rush_attempt"), n(c("l_quantity") > 48).alias("rush_touchdown"),
+    )
+    return plays.withColumn("game_date", F.trunc("game_date", "month"))
+
+
+def full_schedule(plays):
+    """The plays' games with every column of a schedule that the feature build reads; a team has other passers at home than away."""
+    c, text = F.col, lambda lead, x: F.concat(F.lit(lead), x.cast("string"))
+    number = lambda x: c(x).cast("int")
+    return team_games(plays).withColumns({
+        "away_rest": c("week") % 4 + 6, "home_rest": c("season") % 3 + 6, "roof": F.when(c("week") <= 3, "dome").otherwise("outdoors"), "surface": F.lit("grass"),
+        "temp": F.when(c("week") <= 10, c("week") * 2.0).otherwise(F.lit(float("nan"))), "wind": (c("season") - 1990).cast("double"),
+        "away_qb_name": text("Pat ", number("away_team") % 20), "home_qb_name": text("Pat ", (number("home_team") + 7) % 20),
+        "away_coach": text("C", c("away_team")), "home_coach": text("C", c("home_team")), "referee": text("R", c("week")),
+    })
+
+
+@query(FEATURE_SQL + f"""select {', '.join(SCHED_COLUMNS)}, {', '.join(f'round("{w}", 6) + 0.0 as "{w}"' for w in features.FEATURES)} from sch join f using (season, week, away_team, home_team) where (season, week) in (select (season, week) from hist)""")
+def feature_build(spark, d):
+    """The feature build of all target months: the landed schedule's columns, and all features of each game."""
+    plays, landed = passing_plays(spark, d), scratch.path(spark, "sched")
+    tables.write_table(full_schedule(plays), landed)
+    built, _ = features.feature_build_all(plays, tables.sched(spark, landed, SCHED_COLUMNS), LOOKBACK, {k: p for k, p in PLACES.items() if k not in SHARES})
+    return r(built.select(*SCHED_COLUMNS, *[F.col(f"`{w}`") for w in features.FEATURES]))
+
+
+@query("with " + FULL_PLAYS.replace(*MONTH) + f""", {SCHEDULE}, {PASSER_SQL} select season, week, name, round(rating, 4) + 0.0 as weighted_qb_elo, team, count(*) as n
+from own left join (select season, week, away_qb as name, away_team as team from nm union all select season, week, home_qb, home_team from nm) using (season, week, name) group by all""")
+def starter_ratings(spark, d):
+    """Each passer's rating with the teams that the passer starts for in the target month (null if none), by the number of games."""
+    plays = passing_plays(spark, d)
+    sched = full_schedule(plays)
+    own, _ = features.passer_value(plays, sched, W.history_weeks(W.calendar(sched), LOOKBACK))
+    return features.starters(sched, r(own, 4)).groupBy("season", "week", "name", "weighted_qb_elo", "team").agg(F.count("*").alias("n"))
+
+
 # --- medians and ranks of any size ------------------------------------------------------------------------------------
 
 

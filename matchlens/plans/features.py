@@ -6,7 +6,7 @@ against the target weeks whose window covers them, since a play's weight depends
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -199,12 +199,14 @@ def matchup_features(stats: DataFrame, pairs: DataFrame, target: Sequence[str] =
     return both.select(*target, "away_team", "home_team", *out)
 
 
-def _built(plays: DataFrame, sched: DataFrame, games: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _built(plays: DataFrame, sched: DataFrame, games: DataFrame, history: DataFrame, places: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     own, dee = passer_value(plays, sched, history)
     ratings = starters(games, own)
     best = ratings.where("team is not null").groupBy(*TARGET, "team").agg(F.min_by("weighted_qb_elo", "name").alias("off_qb_elo"))
+    stats = reduce(lambda a, b: a.join(b, [*TARGET, "team"], "left"), [team_stats(plays, history), best, dee])
+    stats = stats.select(*[F.round(F.col(f"`{c}`"), places[c]).alias(c) if c in places else F.col(f"`{c}`") for c in stats.columns]) if places else stats
     # a row a week and team, read three times from here on
-    stats = scratch.written(reduce(lambda a, b: a.join(b, [*TARGET, "team"], "left"), [team_stats(plays, history), best, dee]), "team-stats")
+    stats = scratch.written(stats, "team-stats")
     return games.join(matchup_features(stats, games), [*TARGET, "away_team", "home_team"], "left"), ratings
 
 
@@ -217,7 +219,10 @@ def feature_build(plays: DataFrame, sched: DataFrame, season: int, week: int, lo
     return _built(plays, past, past.join(F.broadcast(wanted), TARGET, "left_semi"), history)
 
 
-def feature_build_all(plays: DataFrame, sched: DataFrame, lookback: int) -> tuple[DataFrame, DataFrame]:
-    """(features, passer ratings) of all weeks whose window is complete: a week's window ends before it, so weeks to come change nothing."""
+def feature_build_all(plays: DataFrame, sched: DataFrame, lookback: int, places: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(features, passer ratings) of all weeks whose window is complete: a week's window ends before it, so weeks to come change nothing.
+
+    places: decimals that statistics are rounded to before they are ranked, so that equal ones tie in whatever order their sums were added up.
+    """
     history = W.history_weeks(W.calendar(sched), lookback)
-    return _built(plays, sched, sched.join(history, TARGET, "left_semi"), history)
+    return _built(plays, sched, sched.join(history, TARGET, "left_semi"), history, places)

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..operators import windows as W
 from ..sources import tables
+from ..sources.schemas import SCHED_COLUMNS
 from . import features, model
 from .features import FEATURES
 
 
 def run(spark: SparkSession, store: str, season: int, week: int, lookback: int, reuse: bool = False, **fit) -> tuple[DataFrame, DataFrame]:
     """(predictions, member metrics) of a week. store holds `sched` and `pbp`; features and ratings are published under it with these files' version."""
-    sched = tables.sched(spark, f"{store}/sched")
+    sched = tables.sched(spark, f"{store}/sched", SCHED_COLUMNS)
 
     def build() -> DataFrame:
         built, ratings = features.feature_build(tables.plays(spark, f"{store}/pbp"), sched, season, week, lookback)

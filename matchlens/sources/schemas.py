@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SCHED = """season int, week int, game_type string, away_team string, home_team string, away_score double, home_score double, result double,
 spread_line double, gameday string, gametime string, away_qb_name string, home_qb_name string, away_rest int, home_rest int, roof string,
 surface string, temp double, wind double, away_coach string, home_coach string, referee string"""
-#: What the feature build reads of it.
+#: What the feature build reads of it (fixed values).
 SCHED_COLUMNS = [
     "season", "week", "game_type", "away_team", "away_score", "home_team", "home_score", "away_rest", "home_rest", "roof", "surface", "temp", "wind",
     "away_qb_name", "home_qb_name", "away_coach", "home_coach", "referee",

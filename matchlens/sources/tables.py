@@ -23,8 +23,9 @@ def parquet(spark: SparkSession, path: str, schema: str | None = None, columns:
     return schemas.nan_to_null(df)
 
 
-def sched(spark: SparkSession, path: str) -> DataFrame:
-    return parquet(spark, path, schemas.SCHED)
+def sched(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The schedule; of the given columns only, if any are given. A column that the files lack is null."""
+    return parquet(spark, path, schemas.SCHED, columns)
 
 
 def plays(spark: SparkSession, path: str, seasons: Sequence[int] | None = None) -> DataFrame:

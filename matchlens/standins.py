@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,8 +56,8 @@ PREDICTIONS = """predictions as (select l_orderkey as game_id, l_linenumber as m
   round(l_discount * 100 - 5, 0) + 0.0 as spread_line, round(l_tax * 100 - 4, 0) + 0.0 as result, ((l_partkey * 7) % 21 - 10)::double as prediction, l_quantity / 10 as var from lineitem)"""
 
 
-def full_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as plays with every column that the team statistics read; a game is an order's items of one day."""
+def full_plays(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Line items as plays with every column that the team statistics read, and more; a game is an order's items of one day."""
     c, d = F.col, lambda x: x.cast("double")
     day = c("l_shipdate").cast("date")
     return table(spark, sf_dir, "lineitem").select(
@@ -68,7 +68,7 @@ def full_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(c("l_linenumber").cast("string"), F.lit(":"), F.lpad((c("l_partkey") % 60).cast("string"), 2, "0")).alias("drive_time_of_possession"),
         F.nullif(c("l_quantity"), F.lit(1.0)).alias("yards_gained"), d(c("l_discount") > 0.05).alias("complete_pass"), d(c("l_quantity") > 40).alias("first_down"),
         d(c("l_tax") > 0.04).alias("third_down_converted"), d(c("l_tax") < 0.02).alias("third_down_failed"), d(c("l_tax") > 0.06).alias("fourth_down_converted"), d(c("l_tax") < 0.01).alias("fourth_down_failed"),
-        d(c("l_quantity") == 7).alias("interception"), d(c("l_quantity") == 9).alias("fumble_lost"), d(c("l_discount") < 0.01).alias("penalty"),
+        d(c("l_quantity") == 7).alias("interception"), d(c("l_quantity") == 9).alias("fumble_lost"), d(c("l_discount") < 0.01).alias("penalty"), *more,
     )
 
 

@@ -72,3 +72,14 @@ def test_header_is_promoted(spark, tmp_path):
     df = tables.promoted(spark, str(tmp_path / "t"))
     assert df.columns == ["team_name", "abbr", "abbr_2"] and df.count() == 52
     assert df.where(F.col("abbr") == "LA").first().team_name == "Rams, LA"
+
+
+def test_schedule_columns(spark, tmp_path):
+    """Of the wanted columns only; one that the files lack is null, and so is a number that is none."""
+    path = str(tmp_path / "sched")
+    spark.createDataFrame([(2020, 1, "A", "B", float("nan"), 3.5)], "season int, week int, away_team string, home_team string, temp double, spread_line double").write.parquet(path)
+    df = tables.sched(spark, path, schemas.SCHED_COLUMNS)
+    assert df.columns == schemas.SCHED_COLUMNS
+    row = df.first()
+    assert (row.season, row.away_team, row.temp, row.roof, row.away_score) == (2020, "A", None, None, None)
+    assert "spread_line" not in df._jdf.queryExecution().executedPlan().toString()
