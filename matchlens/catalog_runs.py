@@ -37,7 +37,8 @@ def team_games(plays):
 def season_features(spark, d):
     """(games with label and features, calendar) of the line items: the statistics are rounded, so that equal ones tie."""
     plays = full_plays(spark, d)
-    games = team_games(plays)
+    # a row a month and pair of teams: read for the calendar, the labels, the pairs and the back-fill
+    games = scratch.written(team_games(plays), "team-games")
     cal = W.calendar(games)
     stats = features.team_stats(plays, W.history_weeks(cal, LOOKBACK))
     kept = [c for c in stats.columns if c in PLACES]
