@@ -130,9 +130,10 @@ def passer_value(plays: DataFrame, sched: DataFrame, history: DataFrame, total:
 
     The player rating always decays with steepness 4 and floor 0.4; only the defence takes the parameters.
     """
-    games = passer_games(plays)
+    games = scratch.written(passer_games(plays), "passer-games")
+    days = scratch.written(plays.select(*TARGET, "home_team", "game_date").distinct(), "game-days")
     s = sched.where(F.col("game_type").isNotNull()).select("season", "week", "away_team", "home_team", S.short_name(F.col("away_qb_name")).alias("away_qb"), S.short_name(F.col("home_qb_name")).alias("home_qb"))
-    s = J.attr_lookup(J.semi_keys(s, plays, TARGET), plays, ["season", "week", "home_team"], "game_date")
+    s = J.attr_lookup(J.semi_keys(s, days, TARGET), days, ["season", "week", "home_team"], "game_date")
     value = games.select("season", "week", F.col("name"), "value")
     s = J.role_join(s, value, "name", {"away_qb": "away_", "home_qb": "home_"}, on=TARGET)
     faced = J.role_union(s, ["season", "week", "game_date"], [{"away_team": "team", "home_value": "value"}, {"home_team": "team", "away_value": "value"}]).where("game_date is not null")
