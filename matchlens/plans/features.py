@@ -1,7 +1,8 @@
 """Team statistics, passer values and matchup features for all target weeks in one plan.
 
 Plays are summed up once to (week, date, side, team, bucket of play types); these partial sums, not the plays, are laid
-against the target weeks whose window covers them, since a play's weight depends on the target and its date alone.
+against the target weeks whose window covers them, since a play's weight depends on the target and its date alone. Partial sums are
+written: each later use would else read the plays again, with the columns that it needs.
 """
 
 from __future__ import annotations
@@ -55,11 +56,11 @@ def team_stats(plays: DataFrame, history: DataFrame, decayed: bool = True, total
 
     off_run_ypp is an unweighted mean in both forms, and only teams with a run play are listed.
     """
-    laid_sides = _sides(plays).where(F.col("game_date").isNotNull())
-    part = laid_sides.groupBy(F.col("season").alias("h_season"), F.col("week").alias("h_week"), "game_date", "side", "team", "play_type").agg(
-        F.count("*").alias("n"), *[F.sum(c).alias(c) for c in SUMS], *[F.count(c).alias(f"n_{c}") for c in SUMS]
+    dated = plays.where(F.col("game_date").isNotNull())
+    part = _sides(dated).groupBy(F.col("season").alias("h_season"), F.col("week").alias("h_week"), "game_date", "side", "team", "play_type").agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(c) for c in SUMS], *[F.count(c).alias(f"n_{c}") for c in (SUMS[:1] if decayed else SUMS)]
     )
-    laid = part.join(F.broadcast(history), ["h_season", "h_week"])
+    laid = scratch.written(part, "play-sums").join(F.broadcast(history), ["h_season", "h_week"])
     # per target and filter, over rows with and without a team: the last date and the total weight
     last = laid.where("side = 'off'").groupBy(*TARGET).agg(*[F.max(F.when(_passes(f), F.col("game_date"))).alias(f"last_{f}") for f in FILTERS])
     w = laid.join(last, TARGET)
@@ -87,24 +88,41 @@ def team_stats(plays: DataFrame, history: DataFrame, decayed: bool = True, total
     off = per.where("side = 'off' and runs > 0").select(*TARGET, "team", *[(F.col("plain_run") if k == "run_ypp" else F.col(f"`{k}`")).alias(f"off_{k}") for k in metrics])
     dee = per.where("side = 'def'").select(*TARGET, "team", *[F.col(f"`{k}`").alias(f"def_{k}") for k in metrics if k not in ("run_%", "pass_%")])
     out = off.join(dee, [*TARGET, "team"], "left")
-    return out.join(_series(laid_sides, history), [*TARGET, "team"], "left").join(_possession(laid_sides, history), [*TARGET, "team"], "left")
+    units = _unit_sums(dated)
+    return out.join(_series(units, history), [*TARGET, "team"], "left").join(_possession(units, history), [*TARGET, "team"], "left")
 
 
-def _series(sides: DataFrame, history: DataFrame) -> DataFrame:
+def _unit_sums(plays: DataFrame) -> DataFrame:
+    """h_season, h_week, kind, team, s, c: the sum of units' means and their number.
+
+    A unit is a game's series of either side (off, def), a game's drive in seconds (drive), or a game with a drive (game). Plays are shuffled
+    once, by game, and a game's units are summed up where it lies: they are about as many as plays, so that summing them up before a shuffle saves nothing.
+    """
+    own = plays.na.drop(subset=["game_id"]).select(
+        "season", "week", "game_id", "posteam", "defteam", "series", "drive", F.col("series_success").cast("double").alias("success"), S.clock_seconds(F.col("drive_time_of_possession")).cast("double").alias("sec")
+    ).repartition(int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions")), "season", "week", "game_id")
+    # not a number is no unit either
+    has_drive = F.when(F.col("drive").isNotNull() & (F.col("drive").cast("string") != "NaN"), F.lit(0))
+    entries = [("off", "posteam", F.col("series"), F.col("success")), ("def", "defteam", F.col("series"), F.col("success")), ("drive", "posteam", F.col("drive"), F.col("sec")), ("game", "posteam", has_drive, F.lit(None).cast("double"))]
+    structs = [F.struct(F.lit(kind).alias("kind"), F.col(team).alias("team"), unit.alias("unit"), x.alias("x")) for kind, team, unit, x in entries]
+    long = own.select("season", "week", "game_id", F.inline(F.array(*structs))).na.drop(subset=["team", "unit"])
+    unit = long.groupBy("season", "week", "game_id", "kind", "team", "unit").agg((F.coalesce(F.sum("x"), F.lit(0.0)) / F.count("*")).alias("m"))
+    part = unit.groupBy(F.col("season").alias("h_season"), F.col("week").alias("h_week"), "kind", "team").agg(F.sum("m").alias("s"), F.count("*").alias("c"))
+    return scratch.written(part, "unit-sums")
+
+
+def _series(units: DataFrame, history: DataFrame) -> DataFrame:
     """Success per series, then the mean over series: units of one game share a date, so their weights cancel out."""
-    unit = sides.na.drop(subset=["game_id", "series", "team"]).groupBy("season", "week", "game_id", "series", "side", "team").agg((F.coalesce(F.sum("series_success"), F.lit(0.0)) / F.count("*")).alias("m"))
-    part = unit.groupBy(F.col("season").alias("h_season"), F.col("week").alias("h_week"), "side", "team").agg(F.sum("m").alias("s"), F.count("*").alias("c"))
-    per = part.join(F.broadcast(history), ["h_season", "h_week"]).groupBy(*TARGET, "team").pivot("side", ["off", "def"]).agg((F.sum("s") / F.sum("c")).alias("x"))
+    laid = units.where("kind in ('off', 'def')").join(F.broadcast(history), ["h_season", "h_week"])
+    per = laid.groupBy(*TARGET, "team").pivot("kind", ["off", "def"]).agg((F.sum("s") / F.sum("c")).alias("x"))
     return per.select(*TARGET, "team", F.col("off").alias("off_series_success_%"), F.col("def").alias("def_series_success_%"))
 
 
-def _possession(sides: DataFrame, history: DataFrame) -> DataFrame:
+def _possession(units: DataFrame, history: DataFrame) -> DataFrame:
     """Seconds per drive, summed over a game, averaged over games."""
-    own = sides.where("side = 'off'").withColumn("sec", S.clock_seconds(F.col("drive_time_of_possession")))
-    drive = own.na.drop(subset=["game_id", "drive", "team"]).groupBy("season", "week", "game_id", "drive", "team").agg((F.coalesce(F.sum("sec"), F.lit(0)) / F.count("*")).alias("m"))
-    game = drive.groupBy("season", "week", "game_id", "team").agg((F.sum("m") / 3600).alias("m"))
-    part = game.groupBy(F.col("season").alias("h_season"), F.col("week").alias("h_week"), "team").agg(F.sum("m").alias("s"), F.count("*").alias("c"))
-    return part.join(F.broadcast(history), ["h_season", "h_week"]).groupBy(*TARGET, "team").agg((F.sum("s") / F.sum("c")).alias("off_possession_%"))
+    seconds, games = F.sum(F.when(F.col("kind") == "drive", F.col("s"))), F.sum(F.when(F.col("kind") == "game", F.col("c")))
+    laid = units.where("kind in ('drive', 'game')").join(F.broadcast(history), ["h_season", "h_week"])
+    return laid.groupBy(*TARGET, "team").agg((seconds / 3600 / games).alias("off_possession_%"))
 
 
 def passer_games(plays: DataFrame) -> DataFrame:
