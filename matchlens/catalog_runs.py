@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .catalog import BETS, HISTORY, KEYED, ODDS, ORACLES, PASSER_VALUES, TEAM_COLUMNS, TEAM_STATS, odds_feed, odds_mapping, query, r
+from .functions import scalars as S
 from .operators import aggregates as A
 from .operators import windows as W
 from .operators.median import exact_median
@@ -42,7 +43,7 @@ def season_features(spark, d):
     cal = W.calendar(games)
     stats = features.team_stats(plays, W.history_weeks(cal, LOOKBACK))
     kept = [c for c in stats.columns if c in PLACES]
-    stats = scratch.written(stats.select("season", "week", "team", *[F.round(F.col(f"`{c}`"), PLACES[c]).alias(c) for c in kept]), "season-stats")
+    stats = scratch.written(stats.select("season", "week", "team", *[S.rounded(F.col(f"`{c}`"), PLACES[c]).alias(c) for c in kept]), "season-stats")
     matched = features.matchup_features(stats, games, wanted=WANTED)
     return model.label(games).join(matched, model.GAME, "left"), cal
 

@@ -53,6 +53,12 @@ def round_even(x: Column, places: int = 1) -> Column:
     return F.bround(x, places)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half away from zero of the scaled double, as the SQL rounds. F.round goes by the shortest decimal: 0.2621328125, whose double lies below the tie, goes up there."""
+    y = x * 10.0**places
+    return F.when(F.abs(y) < float("inf"), F.round(y) / 10.0**places).otherwise(x)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null for a zero denominator."""
     return F.try_divide(a, b)

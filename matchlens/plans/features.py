@@ -223,7 +223,7 @@ def _built(plays: DataFrame, sched: DataFrame, games: DataFrame, history: DataFr
     ratings = starters(games, own)
     best = ratings.where("team is not null").groupBy(*TARGET, "team").agg(F.min_by("weighted_qb_elo", "name").alias("off_qb_elo"))
     stats = reduce(lambda a, b: a.join(b, [*TARGET, "team"], "left"), [team_stats(plays, history), best, dee])
-    stats = stats.select(*[F.round(F.col(f"`{c}`"), places[c]).alias(c) if c in places else F.col(f"`{c}`") for c in stats.columns]) if places else stats
+    stats = stats.select(*[S.rounded(F.col(f"`{c}`"), places[c]).alias(c) if c in places else F.col(f"`{c}`") for c in stats.columns]) if places else stats
     # a row a week and team, read three times from here on
     stats = scratch.written(stats, "team-stats")
     return games.join(matchup_features(stats, games), [*TARGET, "away_team", "home_team"], "left"), ratings
