@@ -5,14 +5,18 @@ A document's set is its distinct word shingles, as 64-bit hashes; documents with
 Top of the tree: size ranges and parts. Sizes are cut into ranges such that linked sets lie in one range or two neighbouring ones, and a
 pair of neighbouring ranges fixes the largest possible symmetric difference D of a linked pair. The hash space is cut
 into D + u parts: a linked pair agrees exactly in at least u of them. Each set hands out keys of its parts, leaving
-out its fewer than u smallest ones, so a linked pair always shares a key. Sets that share keys, directly or over others, form
-one tree; all others are pruned without being compared.
+out its u - 1 smallest ones (equal sizes by a hash of the contents, the same for all sets), so a linked pair always shares a key.
 
-Inside a tree: leaves are sets with token bitmaps; inner nodes hold the OR of their bitmaps, their size range and their least
-bit count. A dual traversal from the roots keeps a pair of nodes only while the largest overlap that bitmaps and sizes
-allow reaches what the threshold asks of their sizes; surviving leaf pairs that aren't in one class yet are compared exactly. A tree
+Sets that share a key are a group, and groups of the same sets are one. Many sets share a key by a common passage only, and over chains of
+such groups nearly all sets would hang together. So each group is sifted by itself: leaves are sets with token bitmaps; inner nodes
+hold the OR of their bitmaps, their size range and their least bit count, and a dual traversal from the roots keeps a pair of nodes only
+while the largest overlap that bitmaps and sizes allow reaches what the threshold asks of their sizes. This takes 128 bytes a set. Sets
+that hang together by pairs that are left form one tree; all others are pruned without being compared.
+
+Inside a tree the traversal is made again, and surviving leaf pairs that aren't in one class yet are compared exactly. A group or tree
 larger than a block (`BLOCK_SETS` sets or `BLOCK_ITEMS` shingles) is cut by size, and each pair of blocks whose sizes can link is a
-task's work of its own. What leaves a task is at most one edge a set.
+task's work of its own. What leaves a task is at most one edge a set (of small groups: their pairs). A key that over `HOT` sets of a batch
+share isn't sifted: its sets are of one tree.
 
 Edge cases: a document with fewer words than a shingle has its whole word sequence as its only one; without words (null, empty,
 white space) the set is empty, linked with nothing; repeated rows and copies share a node; null ids are kept (a class's
@@ -21,7 +25,7 @@ id is its smallest id that isn't null); an empty table gives an empty result; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +42,12 @@ BLOCK_SETS, BLOCK_ITEMS = 2048, 1_500_000
 #: Parts beyond D, as a share of D.
 SPARE = 0.5
 BROADCAST_ROWS = 500_000
+#: Bits of a key that are shuffled, the others are 0: sets that share them by chance are sifted apart.
+KEY_BITS = 40
+#: A key that more sets of a batch share leaves the batch as one row.
+HOT = 64
+#: Groups of up to so many sets are sifted many at a time.
+SMALL = 32
 MAX_SIZE = 1 << 40
 #: Tells rows of one id apart.
 MARK = "xxhash64(text) as mark"
@@ -125,24 +135,26 @@ def keys(items: np.ndarray, lows: np.ndarray, rule: Rule) -> np.ndarray:
         count = np.bincount(part, minlength=k)
         order = np.argsort(part, kind="stable")
         content = _sums(vectors.mix(items[order], 32), np.concatenate([[0], np.cumsum(count)]))
-        least = np.sort(count)[spare - 1]  # fewer than `spare` parts are smaller than this
-        some = np.flatnonzero(count >= least)
-        out.append(vectors.mix(vectors.mix(content[some], 33) + some.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count[some].astype(np.uint64), 34 + c))
+        key = vectors.mix(vectors.mix(content, 33) + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64), 34 + c)
+        rank = (count.astype(np.uint64) << np.uint64(40)) + (key >> np.uint64(24))
+        out.append(key[rank >= np.partition(rank, spare - 1)[spare - 1]])  # of `spare` parts that agree, the largest by rank is in both sets' lists
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def _summaries(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, mark (a hash of the text), node, n of every document."""
+    """doc_id, mark (a hash of the text), node, n, bits (the token bitmap) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in vectors.pieces(batch, "text"):
                 grams, first = sets(data, off, rule.words)
+                bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(first) - 1, [None, pa.py_buffer(_bitmaps(grams, first))])
                 yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"], rows["mark"], pa.array(nodes(grams, first)), pa.array(np.diff(first))], names=["doc_id", "mark", "node", "n"]
+                    [rows["doc_id"], rows["mark"], pa.array(nodes(grams, first)), pa.array(np.diff(first)), bits.cast(pa.binary())], names=["doc_id", "mark", "node", "n", "bits"]
                 )
 
-    return docs.selectExpr("doc_id", "text", MARK).mapInArrow(run, docs.select("doc_id").schema.add("mark", "long").add("node", "long").add("n", "long"))
+    columns = docs.select("doc_id").schema.add("mark", "long").add("node", "long").add("n", "long").add("bits", "binary")
+    return docs.selectExpr("doc_id", "text", MARK).mapInArrow(run, columns)
 
 
 def near_by(flat: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +175,7 @@ def near_by(flat: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """key, node: nodes that share a key are of one tree."""
+    """key, node: nodes that share a key may link; a key with a row without a node is hot: other nodes stand behind some of its nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows = rule.ranges()
@@ -173,12 +185,26 @@ def _key_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 ids, at = np.unique(nodes(grams, first), return_index=True)
                 got = [keys(grams[a:b], lows, rule) if b > a else np.zeros(0, np.uint64) for a, b in zip(first[at].tolist(), first[at + 1].tolist())]
                 flat = np.concatenate(got) if got else np.zeros(0, np.uint64)
-                flat, own = near_by(flat, np.repeat(ids, [len(g) for g in got]))
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(own)], names=["key", "node"])
+                flat, own = flat >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS), np.repeat(ids, [len(g) for g in got])
+                _, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+                hot = many[at] > HOT
+                few, low = near_by(flat[hot], own[hot])
+                marks = np.unique(few)
+                none = np.repeat([False, True], [(~hot).sum() + len(few), len(marks)])
+                flat, own = np.concatenate([flat[~hot], few, marks]), np.concatenate([own[~hot], low, np.zeros(len(marks), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(own, mask=none)], names=["key", "node"])
 
     return docs.select("text").mapInArrow(run, "key long, node long")
 
 
+def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
+    """tree, node, low: the nodes of each key that several share, keys of the same nodes under one number; low, the least node, where the key is hot."""
+    same_key = Window.partitionBy("key")
+    of_key = {"low": F.min("node"), "high": F.max("node"), "hot": F.max(F.isnull("node")), "tree": F.sum(F.shiftright(F.xxhash64("node"), 24))}
+    rows = _key_rows(docs, rule).select("node", *[how.over(same_key).alias(name) for name, how in of_key.items()]).where("low < high and node is not null")
+    return rows.select("tree", "node", F.expr("if(hot, low, null)").alias("low")).distinct()
+
+
 def _members(docs: DataFrame, chosen: DataFrame, n_chosen: int, rule: Rule) -> DataFrame:
     """tree, block, node, items: the sets of the chosen nodes, made again from the text of one document of each."""
 
@@ -261,12 +287,40 @@ def _pairs(x: list[dict], y: list[dict], same: bool, rule: Rule) -> tuple[np.nda
     return (i[i < j], j[i < j]) if same else (i, j)
 
 
+def _spanning(i: np.ndarray, j: np.ndarray, n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of n nodes by those pairs (i, j) that are linked: `linked` gets a node and some of its partners and chooses."""
+    label = np.arange(n)
+    out: list[tuple[int, int]] = []
+    by = np.argsort(i, kind="stable")
+    i, j = i[by], j[by]
+    cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)]):
+        p = int(i[s])
+        others = j[s:e]
+        others = others[label[others] != label[p]]
+        for o in linked(p, others).tolist() if len(others) else []:
+            if label[o] != label[p]:
+                out.append((p, o))
+                label[label == label[o]] = label[p]
+    return out
+
+
+def sifted(n: np.ndarray, bits: np.ndarray, na: int | None, rule: Rule) -> list[tuple[int, int]]:
+    """Spanning pairs that sizes and bitmaps allow, among all sets (na None), or between the first na and the others."""
+    order_a = np.argsort(n[:na], kind="stable")
+    x = _levels(bits[order_a], n[order_a])
+    if na is None:
+        i, j = _pairs(x, x, True, rule)
+        return _spanning(order_a[i], order_a[j], len(n), lambda p, others: others)
+    order_b = na + np.argsort(n[na:], kind="stable")
+    i, j = _pairs(x, _levels(bits[order_b], n[order_b]), False, rule)
+    return _spanning(order_a[i], order_b[j], len(n), lambda p, others: others)
+
+
 def links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule: Rule) -> list[tuple[int, int]]:
     """Spanning links among sets_a (sets_b None), or between sets_a and sets_b; b's are numbered after a's."""
     everything = sets_a + (sets_b or [])
     na = len(sets_a)
-    label = np.arange(len(everything))
-    out: list[tuple[int, int]] = []
 
     def tree(group: list[np.ndarray]):
         n = np.array([len(s) for s in group], np.int64)
@@ -277,16 +331,8 @@ def links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule: Rule)
     order_a, x = tree(sets_a)
     order_b, y = (order_a, x) if sets_b is None else tree(sets_b)
     i, j = _pairs(x, y, sets_b is None, rule)
-    i, j = order_a[i], order_b[j] + (0 if sets_b is None else na)
-    by = np.argsort(i, kind="stable")
-    i, j = i[by], j[by]
-    cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)]):
-        p = int(i[s])
-        others = j[s:e]
-        others = others[label[others] != label[p]]
-        if not len(others):
-            continue
+
+    def linked(p: int, others: np.ndarray) -> np.ndarray:
         mine = everything[p]
         sizes = np.array([len(everything[o]) for o in others])
         flat = np.concatenate([everything[o] for o in others])
@@ -294,11 +340,81 @@ def links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule: Rule)
         inside = np.concatenate([[0], np.cumsum(mine[at] == flat)])
         ends = np.cumsum(sizes)
         shared = inside[ends] - inside[ends - sizes]
-        for o in others[shared * rule.den >= rule.num * (len(mine) + sizes - shared)].tolist():
-            if label[o] != label[p]:
-                out.append((p, o))
-                label[label == label[o]] = label[p]
-    return out
+        return others[shared * rule.den >= rule.num * (len(mine) + sizes - shared)]
+
+    return _spanning(order_a[i], order_b[j] + (0 if sets_b is None else na), len(everything), linked)
+
+
+def _sift(placed: DataFrame, rule: Rule) -> DataFrame:
+    """placed: tree, i, j, side, node, n, bits, sorted by (tree, i, j, side). u, v: pairs of each pair of blocks that sizes and bitmaps allow,
+    of small groups all, else spanning ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(key, side, node, n, bits) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+            size = np.diff(np.append(start, len(key)))
+            small = np.repeat((size <= SMALL) & (key[start, 1] == key[start, 2]), size)
+            leaf = {"bits": bits, "lo": n, "hi": n, "pop": np.bitwise_count(bits).sum(1).astype(np.int64)}
+            run_of, u, v = np.repeat(np.arange(len(start)), size), [], []
+            for apart in range(1, SMALL):
+                a = np.flatnonzero(small[:-apart] & (run_of[apart:] == run_of[:-apart]))
+                if not len(a):
+                    break
+                a = a[possible(leaf, leaf, a, a + apart, rule)]
+                u.append(node[a])
+                v.append(node[a + apart])
+            for s, e in zip(start[~small[start]].tolist(), (start + size)[~small[start]].tolist()):
+                na = None if key[s, 1] == key[s, 2] else int((side[s:e] == 0).sum())
+                if na is None or 0 < na < e - s:
+                    found = np.array(sifted(n[s:e], bits[s:e], na, rule), np.int64).reshape(-1, 2)
+                    u.append(node[s:e][found[:, 0]])
+                    v.append(node[s:e][found[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)], names=["u", "v"])
+
+        left = None
+        for batch in batches:
+            key, side, node, n = np.stack([batch[c].to_numpy() for c in ("tree", "i", "j")], 1), batch["side"].to_numpy(), batch["node"].to_numpy(), batch["n"].to_numpy()
+            bits = np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            rows = (key, side, node, n, bits) if left is None else tuple(np.concatenate(x) for x in zip(left, (key, side, node, n, bits)))
+            if not len(rows[0]):
+                continue
+            cut = int(np.flatnonzero((rows[0] != rows[0][-1]).any(1)).max(initial=-1)) + 1  # the last group may go on
+            if cut:
+                yield pairs(*[x[:cut] for x in rows])
+            left = tuple(x[cut:] for x in rows)
+        if left is not None:
+            yield pairs(*left)
+
+    return placed.mapInArrow(run, "u long, v long")
+
+
+def _tasks(placed: DataFrame, rule: Rule, name: str) -> DataFrame:
+    """placed: tree, block, n. Both sides (tree, block, i, j, side) of each pair of blocks whose sizes can link."""
+    blocks = placed.groupBy("tree", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = blocks.select("tree", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    tasks = common.written(
+        blocks.withColumnRenamed("block", "i").join(other, "tree").where((F.col("i") <= F.col("j")) & (F.col("lo2") * rule.num <= F.col("hi") * rule.den) & (F.col("lo") * rule.num <= F.col("hi2") * rule.den))
+        .select("tree", "i", "j"), name,
+    )
+    return tasks.select("tree", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).unionByName(
+        tasks.where("i != j").select("tree", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side"))
+    )
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Each pair of blocks in one task, the first side first."""
+    return placed.repartition(common.shuffle_partitions(placed.sparkSession), "tree", "i", "j").sortWithinPartitions("tree", "i", "j", "side")
+
+
+def _trees(docs: DataFrame, by_node: DataFrame, rule: Rule) -> DataFrame:
+    """node, comp: the trees of sets that may link."""
+    groups = common.written(_groups(docs, rule), "join-groups")
+    sized = groups.where("low is null").join(by_node.select("node", "n"), "node").select("tree", "node", "n")
+    chosen = common.written(_blocks(sized).select("tree", "node", "n", "block"), "join-group-blocks")
+    sides = _tasks(chosen, rule, "join-group-tasks")
+    placed = chosen.join(sides, ["tree", "block"]).select("tree", "i", "j", "side", "node", "n").join(by_node.select("node", "bits"), "node")
+    left = _sift(_dealt(placed), rule)
+    return components(left.unionByName(groups.where("low is not null").select(F.col("node").alias("u"), F.col("low").alias("v"))))
 
 
 def _compare(placed: DataFrame, rule: Rule) -> DataFrame:
@@ -341,26 +457,16 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     common.small_batches(spark)
     summary = common.written(_summaries(docs, rule), "join-sets")
     one = F.coalesce(F.min_by("mark", "doc_id"), F.min("mark"))
-    by_node = common.written(summary.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), one.alias("rep_mark"), F.min("n").alias("n")), "join-nodes")
-    # trees: sets that share keys
-    same_key = Window.partitionBy("key")
-    pairs = _key_rows(docs, rule).withColumn("low", F.min("node").over(same_key)).where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
-    trees = common.written(components(pairs), "join-trees")
-    reps = common.written(by_node.join(trees, "node").withColumnRenamed("comp", "tree"), "join-reps")
-    chosen = common.written(_blocks(reps).select("tree", "node", "rep", "rep_mark", "n", "block"), "join-members")
-    blocks = chosen.groupBy("tree", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = blocks.select("tree", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    tasks = common.written(
-        blocks.withColumnRenamed("block", "i").join(other, "tree").where((F.col("i") <= F.col("j")) & (F.col("lo2") * rule.num <= F.col("hi") * rule.den) & (F.col("lo") * rule.num <= F.col("hi2") * rule.den))
-        .select("tree", "i", "j"), "join-tasks",
-    )
-    sides = tasks.select("tree", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).unionByName(
-        tasks.where("i != j").select("tree", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side"))
+    by_node = common.written(
+        summary.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), one.alias("rep_mark"), F.min("n").alias("n"), F.first("bits").alias("bits")), "join-nodes"
     )
+    trees = common.written(_trees(docs, by_node, rule), "join-trees")
+    reps = common.written(by_node.drop("bits").join(trees, "node").withColumnRenamed("comp", "tree"), "join-reps")
+    chosen = common.written(_blocks(reps).select("tree", "node", "rep", "rep_mark", "n", "block"), "join-members")
+    sides = _tasks(chosen, rule, "join-tasks")
     members = common.written(_members(docs, chosen.drop("n"), chosen.count(), rule).dropDuplicates(["node"]), "join-member-sets")
     placed = members.join(sides, ["tree", "block"]).select("tree", "i", "j", "side", "node", "items")
-    spread = placed.repartition(common.shuffle_partitions(spark), "tree", "i", "j").sortWithinPartitions("tree", "i", "j", "side")
-    found = components(_compare(spread, rule))
+    found = components(_compare(_dealt(placed), rule))
     # first documents of classes of nodes, then of nodes: what meets on a large class or node is a table, whose join adaptive execution splits
     grouped = common.written(by_node.join(found, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("class")), "join-classes")
     first = common.written(grouped.groupBy("class").agg(F.min("rep").alias("first_id")), "join-firsts")

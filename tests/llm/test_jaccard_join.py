@@ -106,3 +106,34 @@ def test_many_rows_without_id(spark):
     got = jj.classes(docs, jj.Rule(3, 8, 10)).collect()
     assert len(got) == 300 and {r.component_id for r in got} == {None}
     assert jj.one_of_each(docs, jj.Rule(3, 8, 10)).count() == 1
+
+
+@pytest.mark.parametrize("name, value", [("HOT", 0), ("SMALL", 1), ("KEY_BITS", 8)])
+def test_any_way_of_grouping(spark, name, value, monkeypatch):
+    monkeypatch.setattr(jj, name, value)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 40)
+    rows, rule = rows_of(9), jj.Rule(5, 8, 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.classes(docs, rule).collect()}
+    assert got == brute.jaccard_classes(rows, rule.words, rule.num, rule.den)
+
+
+def test_shared_passages_dont_gather_sets(spark, monkeypatch):
+    """Texts that hang together over common passages only are told apart before their sets are laid out for comparing."""
+    rnd = random.Random(4)
+    passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(8)]
+    rows = [(d, " ".join([*[f"d{d}w{i}" for i in range(30)], *rnd.sample(passages, 3)])) for d in range(300)]
+    rows += [(1000 + d, rows[d][1] + " more") for d in range(5)]
+    compared, written = [], jj.common.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "join-member-sets":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj.common, "written", counted)
+    rule = jj.Rule(5, 8, 10)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.classes(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()}
+    assert got == brute.jaccard_classes(rows, rule.words, rule.num, rule.den)
+    assert compared[0] <= 20
