@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
@@ -29,6 +29,18 @@ def plain_stat(df: DataFrame, group: Sequence[str], stat: str, agg: str) -> Data
     return _present(df, group).groupBy(*group).agg(fn.alias(stat))
 
 
+def mean_in_order(df: DataFrame, group: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:
+    """The mean of column in each group, its values added up one by one in the given order. Sums of doubles differ in their last places by the
+    order of additions, so those of partial sums depend on how rows are dealt out, and ranks by them with it. A group's rows pass through one
+    task, which holds none of them. Nulls don't count; a group of nulls has no row."""
+    so_far = Window.partitionBy(*group).orderBy(*order)
+    rows = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = df.where(F.col(column).isNotNull()).select(
+        *group, F.sum(column).over(rows).alias("__sum"), F.count(column).over(rows).alias("__n"), F.lead(F.lit(1)).over(so_far).isNull().alias("__last")
+    )
+    return added.where("__last").select(*group, (F.col("__sum") / F.col("__n")).alias(column))
+
+
 def _finish(agg: str, sx: Column, sw: Column, z: Column | None, n: Column) -> Column:
     return {
         "mean": S.ratio(F.coalesce(F.sum(sx), F.lit(0.0)), F.sum(sw)),
